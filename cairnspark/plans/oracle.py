@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import analytics_queries, search_queries
+
+ORACLES: dict[str, str] = {**search_queries.ORACLES, **analytics_queries.ORACLES}

@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from . import analytics_queries, search_queries
+
+QUERIES = {**search_queries.QUERIES, **analytics_queries.QUERIES}
