@@ -28,7 +28,7 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | Non
 
     Listing and reading are Spark's; skipped directories and extensions are
     filters on the path, which prune before content is read.  A file that is not
-    UTF-8 has null content and valid = false.
+    UTF-8 has null content and valid = false; Spark lists no empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     skip = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
