@@ -80,3 +80,16 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: join_few broadcasts up to so many rows of a few numbers each (some 20 MB in an executor).
+FEW_ROWS = 250_000
+
+
+def join_few(large: DataFrame, few: DataFrame, on: str, limit: int = FEW_ROWS) -> DataFrame:
+    """Inner join of a large side with a stored table that may be small.
+
+    ``few`` is counted; up to ``limit`` rows it is broadcast, so that the large
+    side stays where it is, and beyond that Spark shuffles both.
+    """
+    return large.join(F.broadcast(few) if few.count() <= limit else few, on)

@@ -8,12 +8,14 @@ band.  With 48 permutations and 4 rows there are 24 bands: a pair at Jaccard
 
 Equal sets are one class, named after its smallest doc_id, before anything is
 banded; so copies cost one row each however many there are.  Classes meet in
-band buckets.  In each bucket the smallest member is the pivot and is compared
-with the others on full sets (no pairs within the bucket); buckets whose other
-members are already in one component are done, the rest take another pivot.
-After ``PIVOTS`` pivots the few remaining buckets' pairs across components are
-compared outright, so no link that a bucket offers is lost.  Components come
-from graph.py.
+band buckets.  A bucket's most central member is its pivot and is compared with
+the others on full sets (no pairs within the bucket); those it does not reach
+take up to two pivots among themselves.  A member still apart from the first
+pivot is compared with those others that it can be similar to at all: they share
+a shingle that the pivot lacks, or their sizes and their overlaps with the pivot
+leave room (_beyond_pivots).  So no link that a bucket offers is lost, and a
+large group of near copies never becomes all its pairs.  Components come from
+graph.py.
 
 Edge cases.  A text without words, or null, has an empty set and links with
 nothing.  One with fewer than five words has one shingle, all its words.  A null
@@ -31,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import join_few, materialize, pick
 from .graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 75
-PERMS, ROWS, SEED, PIVOTS = 48, 4, 77, 4
+PERMS, ROWS, SEED, PIVOTS, COMMON = 48, 4, 77, 3, 16
 SLICE = 32_768
 
 _rng = np.random.default_rng(SEED)
@@ -104,44 +106,101 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "items"])
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with a_items, a_n, b_items, b_n."""
+    s = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items"), F.col("n").alias(f"{x}_n"))
+    return pairs.join(s("b"), "b").join(s("a"), "a")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets (node, items) are similar."""
-    s = lambda n: sets.select(F.col("node").alias(n), F.col("items").alias(f"{n}_items"))
-    both = pairs.join(s("b"), "b").join(s("a"), "a")
-    common = F.size(F.array_intersect("a_items", "b_items"))
-    both = both.select("a", "b", common.alias("x"), (F.size("a_items") + F.size("b_items")).alias("n"))
+    """Those of the pairs (a, b) whose full sets (node, items, n) are similar."""
+    x = F.size(F.array_intersect("a_items", "b_items"))
+    both = _with_sets(pairs, sets).select("a", "b", x.alias("x"), (F.col("a_n") + F.col("b_n")).alias("n"))
     return both.where((100 * F.col("x")) >= percent * (F.col("n") - F.col("x"))).select("a", "b")
 
 
+def _named(df: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
+    """``df`` with the component of a node, itself if it has no link."""
+    return df.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _beyond_pivots(near: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a group that may be similar.
+
+    ``near``: pivot, node; a group is what shares the pivot.  Let a reference
+    hold the pivot's shingles and those that ``COMMON`` or more others of the
+    group have, and c be a node's overlap with it.  Then two nodes either share
+    a shingle outside the reference, which fewer than ``COMMON`` nodes have, or
+    all they share lies in it, hence no more than either c.  The first are met by
+    equality of such shingles.  The second need
+    (100 + percent) * min(c) >= percent * (nx + ny), which leaves few sizes;
+    they are met by equality of size.
+    """
+    rel = _with_sets(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets).select(
+        F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("b_n").alias("n"), F.array_except("b_items", "a_items").alias("own")
+    )
+    rel = _named(_named(rel, parts, "node", "part"), parts, "pivot", "main").withColumn("apart", F.col("part") != F.col("main")).drop("main")
+    rel = materialize(rel)
+    tok = rel.select("pivot", "node", "part", "apart", F.explode("own").alias("token"))
+    held = tok.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    few = materialize(held.where((F.col("df") < COMMON) & (F.col("lo") != F.col("hi"))).select("pivot", "token"))
+    rare = tok.join(held.where(F.col("df") < COMMON).select("pivot", "token"), ["pivot", "token"]).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("rare"))
+    tok = materialize(tok.join(few, ["pivot", "token"]))
+    y = tok.select("pivot", "token", F.col("node").alias("other"), F.col("part").alias("op"))
+    by_token = tok.where("apart").join(y, ["pivot", "token"]).where("node != other and part != op")
+    rel = rel.drop("own").join(rare, ["pivot", "node"], "left").withColumn("c", F.col("n") - F.coalesce("rare", F.lit(0)))
+    rel = materialize(rel)
+    sizes = rel.groupBy("pivot").agg(F.collect_set("n").alias("sizes"))
+    room = (100 + percent) * F.col("c") - percent * F.col("n")
+    fits = lambda s: (percent * s <= room) & (100 * s >= percent * F.col("n")) & (100 * F.col("n") >= percent * s)
+    x = rel.where("apart").join(sizes, "pivot").withColumn("size", F.explode(F.filter("sizes", fits)))
+    y = rel.select("pivot", F.col("node").alias("other"), F.col("part").alias("op"), F.col("n").alias("size"), F.col("c").alias("oc"))
+    by_size = x.join(y, ["pivot", "size"]).where("node != other and part != op").where((100 + percent) * F.col("oc") >= percent * (F.col("n") + F.col("size")))
+    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    return by_token.select(*pair).unionByName(by_size.select(*pair)).distinct()
+
+
 def link_buckets(members: DataFrame, sets: DataFrame, percent: int = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """(node, component) of the similar members of common buckets.
 
-    ``members``: bucket, node, n (set size).  ``sets``: node, items.
+    ``members``: bucket, node.  ``sets``: node, items, n.
     """
+    m = materialize(members.join(sets.select("node", "n"), "node"))
+    # a member of large buckets is like many others: the best pivot
+    weight = m.join(m.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    m = m.join(weight, "node")
+    best = F.max(F.struct("weight", (-F.col("node")).alias("low"), "n")).alias("p")
+    first = m.groupBy("bucket").agg(best).select("bucket", (-F.col("p.low")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.weight").alias("pw"))
+    stars = materialize(m.join(first, "bucket").where("node != pivot"))
     similar = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    left, parts, edges = members.withColumn("component", F.col("node")), None, None
-    for turn in range(pivots + 1):
-        if turn < pivots:
-            pivot = left.groupBy("bucket").agg(F.min(F.struct("node", "n", "component")).alias("p"))
-            met = left.join(pivot, "bucket").select("bucket", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), (F.col("component") != F.col("p.component")).alias("apart"))
-            left = materialize(met.where("node != pivot"))
-            pairs = left.where("apart").where(similar).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = lambda p: p.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts, pairs = None, stars
+    for turn in range(pivots):
+        new = confirm(pairs.where(similar).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+        if parts is None:
+            parts = materialize(connected_components(materialize(new)))
         else:
-            x = left.select("bucket", "node", "n", "component")
-            y = left.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-            pairs = x.join(y, "bucket").where((F.col("pivot") < F.col("node")) & (F.col("pc") != F.col("component"))).where(similar)
-            pairs = pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        new = confirm(pairs, sets, percent)
-        edges = materialize(new if edges is None else edges.unionByName(new))
-        parts = materialize(connected_components(edges))
-        if turn == pivots:
-            return parts
-        left = left.select("bucket", "node", "n").join(parts, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        open_ = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        left = materialize(left.join(open_, "bucket", "left_semi"))
-        if left.isEmpty():
-            return parts
-    return parts
+            new = materialize(new)
+            if new.isEmpty():
+                break
+            parts = materialize(connected_components(links(parts).unionByName(new)))
+        # members that no path links with their bucket's first pivot
+        apart = _named(_named(stars, parts, "node", "part"), parts, "pivot", "main").where("part != main")
+        apart = materialize(apart.select("bucket", "node", "n", "weight", "part"))
+        if turn == pivots - 1:
+            break
+        chosen = apart.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("low"), "n", "part")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        pairs = apart.join(chosen.select("bucket", (-F.col("p.low")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.part").alias("main")), "bucket").where("part != main")
+    # what stays apart from its first pivot may still be like another member; buckets whose
+    # pivots are of one component are one group, and its most central pivot is the group's
+    several = stars.join(apart.select("bucket").distinct(), "bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    left = materialize(_named(stars.join(several, "bucket"), parts, "pivot", "main").select("pivot", "pw", "main", "node"))
+    if left.isEmpty():
+        return parts
+    chief = left.groupBy("main").agg(F.max(F.struct("pw", (-F.col("pivot")).alias("low"))).alias("p")).select("main", (-F.col("p.low")).alias("chief"))
+    near = materialize(left.join(chief, "main").where("node != chief").select(F.col("chief").alias("pivot"), "node").distinct())
+    new = materialize(confirm(_beyond_pivots(near, sets, parts, percent), sets, percent))
+    return parts if new.isEmpty() else connected_components(links(parts).unionByName(new))
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
@@ -150,15 +209,12 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     t = materialize(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, bands array<long>"))
     key = ["one", "two", "n_shingles"]
     classes = materialize(t.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node")))
-    first = t.join(classes, key).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    first = t.join(classes, key).where("doc_id = node").select("node", F.explode("bands").alias("bucket"))
     shared = first.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("bucket")
-    members = materialize(first.join(shared, "bucket").select("bucket", "node", "n").distinct())
-    sets = materialize(
-        docs.join(members.select("node").distinct(), F.col("doc_id") == F.col("node"))
-        .select("node", "text")
-        .mapInArrow(_sets, "node long, items array<long>")
-        .dropDuplicates(["node"])
-    )
+    members = materialize(first.join(shared, "bucket").select("bucket", "node").distinct())
+    nodes = materialize(members.select(F.col("node").alias("doc_id")).distinct())
+    texts = join_few(docs, nodes, "doc_id").select(F.col("doc_id").alias("node"), "text")
+    sets = materialize(texts.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]).withColumn("n", F.size("items").cast("long")))
     parts = link_buckets(members, sets, percent)
     named = classes.join(parts, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     out = t.select("doc_id", *key).join(named, key, "left")
