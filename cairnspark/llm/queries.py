@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, langid, linededup, lm, mixing, neardup, pieces, quality, url_filter
+from . import hamming, langid, linededup, lm, mixing, neardup, passages, pieces, quality, url_filter
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_rules, op3_hamming_topk, op4_language_id, op5_lm_score,
-        op6_sentencepiece, op7_line_dedup, op8_mixing, op10_minhash_near_dedup,
+        op6_sentencepiece, op7_line_dedup, op8_mixing, op9_substring_dedup, op10_minhash_near_dedup,
     )
 }
