@@ -58,6 +58,24 @@ LINE_RULES = (
     LineRule("CFG001", "configuration", "warning", r"\"(https?://(localhost|127\.0\.0\.1)|[A-Za-z0-9.-]+:[0-9]{2,5})\"", "hard-coded address", r"^\s*//"),
     LineRule("VIS001", "visibility", "info", r"^\s*pub (fn|struct) (helper|internal|util)\w*", "helper is public"),
     LineRule("LAYER001", "layers", "error", r"^\s*use \w+_(infrastructure|server|providers)::", "forbidden import", path=r"/domain/"),
+    LineRule("QUAL021", "quality", "info", r"#\[allow\(unused", "unused code is allowed"),
+    LineRule("QUAL022", "quality", "info", r"#!?\[allow\(clippy::", "a lint is switched off"),
+    LineRule("PAT001", "architecture", "warning", r"\bArc<(?!dyn\b|Mutex\b|RwLock\b|Atomic|str\b|\[)[A-Z]\w*>", "concrete type where an interface is injected", r"^\s*(let|//)", path=r"(?i)(di/|container|bootstrap)"),
+    LineRule("PAT002", "architecture", "info", r"^\s*pub trait \w+\s*(<[^>]*>)?\s*\{", "trait without Send + Sync", path=r"/ports/"),
+    LineRule("SOLID004", "solid", "warning", r"^\s*(pub\s+)?\w+\s*:\s*(Box|Arc)<(?!dyn\b)[A-Z]\w*(Service|Repository|Provider)>", "field depends on a concrete type"),
+    LineRule("SOLID008", "solid", "info", r"\bmatch\s+[\w.]+\.as_str\(\)", "dispatch on strings"),
+    LineRule("ORG003", "organization", "info", r"^\s*(pub\s+)?const \w+", "constant outside a constants module", path=r"^(?!.*(constant|config)).*$"),
+    LineRule("IMPL006", "implementation", "warning", r"^\s*_\s*=>\s*(\{\s*\}|\(\))\s*,?\s*$", "catch-all arm does nothing"),
+    LineRule("ERR002", "error-boundary", "warning", r"\b(std::io::Error|reqwest::Error|sqlx::Error)\b", "error type of an outer layer", path=r"/domain/"),
+    LineRule("ERR003", "error-boundary", "warning", r"(Json|body|respond)\w*\(.*\b(err|error|e)\.to_string\(\)", "internal error text leaves the boundary", path=r"/handlers/"),
+    LineRule("TST005", "testing", "warning", r"\bassert!\(\s*true\s*[,)]", "assertion that cannot fail", skip_tests=False),
+    LineRule("CFG002", "configuration", "info", r"\"(Content-Type|Authorization|X-[A-Za-z-]+)\"", "hard-coded header", path=r"^(?!.*constant).*$"),
+    LineRule("CFG003", "configuration", "info", r"\bnamespace\s*[:=]\s*\"", "hard-coded namespace"),
+    LineRule("CA004", "clean-architecture", "warning", r"\b[A-Z]\w*(Service|Repository)::new\(", "handler builds its dependency", path=r"/handlers/"),
+    LineRule("CA006", "clean-architecture", "warning", r"^\s*pub fn set_\w+\(&mut self", "value object can be changed", path=r"/value_objects/"),
+    LineRule("LAYER003", "layers", "error", r"^\s*use (tokio|reqwest|axum|sqlx|redis)\b", "outer library in the domain", path=r"/domain/"),
+    LineRule("PORT004", "ports", "warning", r"^\s*use .*::adapters?::\w+", "adapter uses another adapter", path=r"/adapters?/"),
+    LineRule("VIS002", "visibility", "info", r"^\s*pub(\(crate\))? struct \w*(Internal|Private)\b", "internal type is visible"),
     LineRule("CA001", "clean-architecture", "error", r"^\s*use \w+_(infrastructure|server)::", "outer layer imported", path=r"/(domain|application)/"),
 )
 
@@ -171,6 +189,136 @@ BLOCK_LIMITS = {
 }
 
 
+FUNCTION = re.compile(r"^\s*(pub(?:\([a-z]+\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+(\w+)")
+ASSERTS = re.compile(r"\b(assert\w*|panic|unreachable|matches)!|\.unwrap_err\(|#\[should_panic")
+BACKGROUND = ("spawn", "background", "worker", "daemon", "start", "run", "listen", "serve", "watch", "loop", "task", "monitor")
+
+
+def functions(rows: list[str]) -> list[dict]:
+    """Functions with name, line (1-based), parameters, body (stripped lines without
+    comments), notes (comment lines), tests (whether #[test] stands above) and documented."""
+    out, i = [], 0
+    while i < len(rows):
+        m = FUNCTION.search(rows[i])
+        if not m or rows[i].lstrip().startswith("//"):
+            i += 1
+            continue
+        head, j = rows[i], i
+        while "{" not in head and ";" not in head and j + 1 < len(rows):
+            j += 1
+            head += " " + rows[j]
+        above, k = [], i - 1
+        while k >= 0 and re.match(r"\s*(#\[|///|//)", rows[k]):
+            above.append(rows[k].strip())
+            k -= 1
+        f = {"name": m[2], "line": i + 1, "public": bool(m[1]), "parameters": parameters(head), "tests": any(re.match(r"#\[(\w+::)?test\b", a) for a in above),
+             "documented": any(a.startswith("///") for a in above), "body": [], "notes": 0}
+        if "{" in head and head.index("{") < (head.index(";") if ";" in head.split("{")[0] else len(head)):
+            depth, text = 0, []
+            for r in [head[head.index("{") :], *rows[j + 1 :]]:
+                depth += r.count("{") - r.count("}")
+                text.append(r)
+                if depth <= 0:
+                    break
+            whole = "\n".join(text).strip()[1:]
+            whole = whole[: whole.rindex("}")] if "}" in whole else whole
+            inner = [r.strip() for r in whole.split("\n") if r.strip()]
+            f["notes"] = sum(r.startswith("//") for r in inner)
+            f["body"] = [r for r in inner if not r.startswith("//")]
+            out.append(f)
+        i = j + 1
+    return out
+
+
+def parameters(head: str) -> int:
+    """Parameters of a signature besides self."""
+    at = head.index("(") if "(" in head else len(head)
+    depth, parts, part = 0, [], ""
+    for c in head[at:]:
+        depth += (c in "([{<") - (c in ")]}>")
+        if depth == 0:
+            break
+        if c == "," and depth == 1:
+            parts.append(part)
+            part = ""
+        elif not (c == "(" and depth == 1 and not part):
+            part += c
+    return sum(bool(p.strip()) and not re.fullmatch(r"(&\s*)?('\w+\s+)?(mut\s+)?self(:.*)?", p.strip()) for p in [*parts, part])
+
+
+def function_findings_of(rows: list[str]) -> list[tuple[str, str, str, int, str]]:
+    """(id, category, severity, line, message) of the rules on single functions."""
+    out = []
+    cut = next((i for i, r in enumerate(rows) if "#[cfg(test)]" in r), len(rows))
+    for f in functions(rows):
+        body, add = f["body"], lambda i, c, s, m, line=f["line"]: out.append((i, c, s, line, m))
+        one = body[0].rstrip(";") if len(body) == 1 else ""
+        if f["tests"]:
+            if not f["name"].startswith("test_"):
+                add("TEST003", "testing", "info", "test's name does not begin with test_")
+            if not body:
+                add("TEST007" if f["notes"] else "TST003", "testing", "warning", "test holds only comments" if f["notes"] else "test is empty")
+            elif not any(ASSERTS.search(r) for r in body):
+                unwraps = any(".unwrap()" in r for r in body)
+                add("TEST006" if unwraps else "TEST004", "testing", "warning", "test asserts nothing but unwrap" if unwraps else "test has no assertion")
+            if not f["documented"]:
+                add("TST004", "testing", "info", "test lacks documentation")
+        elif f["line"] <= cut:
+            if f["parameters"] > 5:
+                add("KISS002", "kiss", "warning", "function has many parameters")
+            if not body:
+                add("IMPL001", "implementation", "warning", "function is empty")
+            elif re.fullmatch(r"(return\s+)?(Ok\()?(true|false|None|\d+|\"[^\"]*\"(\.to_string\(\)|\.into\(\))?|Vec::new\(\)|String::new\(\)|\(\))\)?", one):
+                add("IMPL002", "implementation", "info", "function returns a fixed value")
+            elif re.fullmatch(r"self\.\w+\." + re.escape(f["name"]) + r"\([\w\s,&]*\)(\.await)?\??", one):
+                add("IMPL003", "implementation", "info", "function only passes its call on")
+            elif all(re.match(r"(log::|tracing::)?(trace|debug|info|warn|error|println|eprintln)!\(.*\);?$|Ok\(\(\)\)$", r) for r in body):
+                add("IMPL004", "implementation", "info", "function only logs")
+            if any("tokio::spawn(" in r and not re.search(r"\blet\b|=\s*tokio|\.await|\.push\(", r) for r in body) and not any(w in f["name"] for w in BACKGROUND):
+                add("ASYNC004", "async", "info", "spawned task is not awaited")
+    return out
+
+
+def file_findings_of(rows: list[str]) -> list[tuple[str, str, str, int, str]]:
+    """Rules on a whole file: its length, module documentation, nesting, and its blocks' make-up."""
+    out, depth, base = [], 0, []
+    if len(rows) > 500:
+        out.append(("QUAL004", "quality", "warning", 1, "file has more than 500 lines"))
+    if any(r.strip() for r in rows) and not next(r for r in rows if r.strip()).lstrip().startswith("//!"):
+        out.append(("DOC001", "documentation", "info", 1, "module lacks documentation"))
+    last = -5
+    for i, r in enumerate(rows):
+        if "#[cfg(test)]" in r:
+            break
+        if FUNCTION.search(r):
+            base.append(depth)
+        depth += r.count("{") - r.count("}")
+        while base and "}" in r and depth <= base[-1]:
+            base.pop()
+        # a function's own brace is the first level; one finding in five lines
+        if base and depth - base[-1] - 1 > 3 and "{" in r and i - last >= 5:
+            out.append(("KISS004", "kiss", "warning", i + 1, "code is nested deeper than three levels"))
+            last = i
+    found = block_table(rows)
+    structs = [b for b in found if b[0] == "struct"]
+    if len(structs) > 3 and len({(re.match(r"[A-Z][a-z0-9]*", b[1] or "") or [""])[0] for b in structs}) > 3:
+        out.append(("SOLID005", "solid", "info", structs[0][2], "file defines several unrelated structs"))
+    for kind, _, start, end, _ in found:
+        text = rows[start - 1 : end]
+        if kind == "impl" and any(re.search(r"\b(todo|unimplemented)!", r) for r in text):
+            out.append(("SOLID006", "solid", "warning", start, "impl block is not complete"))
+        if kind == "struct" and "Builder" in text[0] and sum("Option<" in r for r in text) > 7:
+            out.append(("KISS003", "kiss", "warning", start, "builder has many optional fields"))
+        if kind == "trait" and sum(bool(FUNCTION.search(r)) for r in text) < 2:
+            out.append(("PORT002", "ports", "info", start, "port is small"))
+        if kind == "trait" and any("async fn" in r for r in text) and (start < 2 or "async_trait" not in rows[start - 2]):
+            out.append(("PAT003", "architecture", "info", start, "trait with async functions lacks async_trait"))
+    tests = [i for i, r in enumerate(rows) if "#[cfg(test)]" in r]
+    if tests and tests[0] + 1 < len(rows) and re.match(r"\s*mod tests?\b", rows[tests[0] + 1]):
+        out.append(("TEST001", "testing", "info", tests[0] + 1, "tests stand in the source file"))
+    return out
+
+
 def _per_file(files: DataFrame, key: str, text: str, schema: str, rows_of) -> DataFrame:
     kind = files.schema[key].dataType.simpleString()
     names = [key, *[x.split()[0] for x in schema.split(", ")]]
@@ -201,6 +349,38 @@ def stateful_findings(files: DataFrame, key: str = "file", text: str = "content"
     return out.select("id", "category", "severity", F.col(key).cast("string").alias("file"), "line", "message")
 
 
+def _rows_as_findings(files: DataFrame, key: str, text: str, of) -> DataFrame:
+    out = _per_file(files, key, text, "id string, category string, severity string, line long, message string", of)
+    return out.select("id", "category", "severity", F.col(key).cast("string").alias("file"), "line", "message")
+
+
+def function_findings(files: DataFrame, key: str = "file", text: str = "content") -> DataFrame:
+    return _rows_as_findings(files, key, text, function_findings_of)
+
+
+def file_findings(files: DataFrame, key: str = "file", text: str = "content") -> DataFrame:
+    return _rows_as_findings(files, key, text, file_findings_of)
+
+
+def path_findings(files: DataFrame, key: str = "file") -> DataFrame:
+    """NAME004: a source file's name is not snake_case.  TEST002: a file in tests/ is not named for its kind."""
+    name = F.regexp_extract(F.col(key), r"([^/]+)\.rs$", 1)
+    rules = (
+        ("NAME004", "naming", (name != "") & ~T.is_snake_case(name), "file is not snake_case"),
+        ("TEST002", "testing", F.col(key).rlike(r"/tests/.*\.rs$") & ~name.rlike(r"(_tests?|^mod|^test_.*|^integration.*|^common|^utils)$"), "test file is not named for its kind"),
+    )
+    hits = [F.when(ok, F.struct(F.lit(i).alias("id"), F.lit(c).alias("category"), F.lit(m).alias("message"))) for i, c, ok, m in rules]
+    out = files.select(F.col(key).cast("string").alias("file"), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r"))
+    return out.select("r.id", "r.category", F.lit("info").alias("severity"), "file", F.lit(1).cast("long").alias("line"), "r.message")
+
+
+def utility_findings(lines: DataFrame, key: str = "file", limit: int = 3) -> DataFrame:
+    """VIS003: a utility module with more than ``limit`` public functions."""
+    pub = lines.where(F.col(key).rlike(r"(utils?|helpers?)(/mod)?\.rs$") & F.col("line").rlike(r"^\s*pub fn\b"))
+    many = pub.groupBy(F.col(key).cast("string").alias("file")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    return many.select(F.lit("VIS003").alias("id"), F.lit("visibility").alias("category"), F.lit("info").alias("severity"), "file", F.lit(1).cast("long").alias("line"), F.lit("utility module has many public functions").alias("message"))
+
+
 def naming_findings(lines: DataFrame, key: str = "file") -> DataFrame:
     """NAME001 types, NAME002 functions, NAME003 constants that miss their case."""
     name = lambda p: F.regexp_extract("line", p, 1)
@@ -262,6 +442,10 @@ VALIDATORS = {
     "documentation": lambda files, lines: undocumented(lines),
     "state": lambda files, lines: stateful_findings(files),
     "blocks": lambda files, lines: block_findings(blocks(files)),
+    "functions": lambda files, lines: function_findings(files),
+    "files": lambda files, lines: file_findings(files),
+    "paths": lambda files, lines: path_findings(files),
+    "utilities": lambda files, lines: utility_findings(lines),
 }
 
 

@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import itertools
 
@@ -120,6 +121,55 @@ def test_block_table():
     assert validators.block_table(rows) == [("impl", "A", 1, 9, 2), ("fn", "a", 2, 7, 0), ("match", "x", 3, 6, 2), ("fn", "b", 8, 8, 0), ("struct", "S", 10, 13, 2)]
 
 
+FUNCTIONS = """//! Module.
+/// Documented.
+pub fn many(a: u32, b: Vec<(u8, u8)>, c: u32, d: &str, e: u32, f: u32) -> u32 {
+    a + 1
+}
+fn few(&self, a: u32) {}
+fn fixed() -> bool { true }
+fn go(&self, x: u32) -> u32 {
+    self.inner.go(x)
+}
+fn talk() {
+    info!("x");
+}
+fn deep() {
+    if a {
+        for b in c {
+            while d {
+                if e {
+                    f();
+                }
+            }
+        }
+    }
+}
+#[cfg(test)]
+mod tests {
+    #[test]
+    fn checks_nothing() {
+        let x = 1;
+    }
+    /// Fine.
+    #[test]
+    fn test_fine() { assert_eq!(1, 1); }
+    #[test]
+    fn test_notes() {
+        // later
+    }
+}
+"""
+
+
+def test_function_rules(spark):
+    f = spark.createDataFrame([("a/src/BadName.rs", FUNCTIONS), ("a/utils.rs", "//! U\n" + "pub fn a() {}\n" * 4)], "file string, content string")
+    got = collections.Counter((r.id, r.line) for r in validators.validate(f, ["functions", "files", "paths", "utilities"]).where("file like '%BadName.rs'").collect())
+    assert got == collections.Counter({("KISS002", 3): 1, ("IMPL001", 6): 1, ("IMPL002", 7): 1, ("IMPL003", 8): 1, ("IMPL004", 11): 1, ("KISS004", 18): 1, ("TEST003", 28): 1, ("TEST004", 28): 1,
+                                       ("TST004", 28): 1, ("TEST007", 35): 1, ("TST004", 35): 1, ("TEST001", 25): 1, ("NAME004", 1): 1})
+    assert [r.id for r in validators.validate(f, ["utilities"]).collect()] == ["VIS003"]
+
+
 def test_reports(spark):
     rows = [("A1", "quality", "error", "f", 1, "m"), ("A2", "quality", "info", "f", 2, "m")]
     v = spark.createDataFrame(rows, validators.FINDING)
