@@ -101,9 +101,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, items of (node, one, text), where the text is the one that the sketch saw."""
     for b in batches:
-        own = [np.unique(shingles(word_hashes(t.as_py()))).view(np.int64) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "items"])
+        nodes, items = [], []
+        for node, one, t in zip(b.column("node").to_pylist(), b.column("one").to_pylist(), b.column("text").to_pylist(), strict=True):
+            own = np.unique(shingles(word_hashes(t)))
+            if int(mixed(own).sum(dtype=np.uint64, keepdims=True).view(np.int64)[0]) == one:
+                nodes.append(node)
+                items.append(own.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["node", "items"])
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,35 +135,48 @@ def _beyond_pivots(near: DataFrame, sets: DataFrame, parts: DataFrame, percent:
 
     ``near``: pivot, node; a group is what shares the pivot.  Let a reference
     hold the pivot's shingles and those that ``COMMON`` or more others of the
-    group have, and c be a node's overlap with it.  Then two nodes either share
-    a shingle outside the reference, which fewer than ``COMMON`` nodes have, or
-    all they share lies in it, hence no more than either c.  The first are met by
-    equality of such shingles.  The second need
-    (100 + percent) * min(c) >= percent * (nx + ny), which leaves few sizes;
-    they are met by equality of size.
+    group have, and a node's core be its part of it.  Two nodes either share a
+    shingle outside the reference, which fewer than ``COMMON`` nodes have: these
+    pairs are met by equality of such shingles.  Or all they share lies in both
+    cores, so that cores and sizes decide: nodes of one core and size are one
+    class, classes are compared, and a class that is similar to another (or to
+    itself) ties all its nodes to that one's first.  Classes meet by equality of
+    size, for the few sizes that (100 + percent) * core >= percent * (nx + ny)
+    leaves.
     """
     rel = _with_sets(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets).select(
-        F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("b_n").alias("n"), F.array_except("b_items", "a_items").alias("own")
+        F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("b_n").alias("n"), F.col("b_items").alias("items"), F.array_except("b_items", "a_items").alias("own")
     )
     rel = _named(_named(rel, parts, "node", "part"), parts, "pivot", "main").withColumn("apart", F.col("part") != F.col("main")).drop("main")
     rel = materialize(rel)
     tok = rel.select("pivot", "node", "part", "apart", F.explode("own").alias("token"))
-    held = tok.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    few = materialize(held.where((F.col("df") < COMMON) & (F.col("lo") != F.col("hi"))).select("pivot", "token"))
-    rare = tok.join(held.where(F.col("df") < COMMON).select("pivot", "token"), ["pivot", "token"]).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("rare"))
+    held = tok.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).where(F.col("df") < COMMON)
+    rare = tok.join(held.select("pivot", "token"), ["pivot", "token"]).groupBy("pivot", "node").agg(F.collect_list("token").alias("rare"))
+    few = materialize(held.where("lo != hi").select("pivot", "token"))
     tok = materialize(tok.join(few, ["pivot", "token"]))
     y = tok.select("pivot", "token", F.col("node").alias("other"), F.col("part").alias("op"))
     by_token = tok.where("apart").join(y, ["pivot", "token"]).where("node != other and part != op")
-    rel = rel.drop("own").join(rare, ["pivot", "node"], "left").withColumn("c", F.col("n") - F.coalesce("rare", F.lit(0)))
-    rel = materialize(rel)
-    sizes = rel.groupBy("pivot").agg(F.collect_set("n").alias("sizes"))
+
+    core = F.array_sort(F.array_except("items", F.coalesce("rare", F.array().cast("array<bigint>"))))
+    rel = rel.join(rare, ["pivot", "node"], "left").select("pivot", "node", "n", "part", "apart", core.alias("core"))
+    rel = materialize(rel.withColumn("kind", F.xxhash64("n", "core")))
+    kinds = rel.groupBy("pivot", "kind").agg(
+        F.first("n").alias("n"), F.first("core").alias("core"), F.min("node").alias("rep"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("apart").alias("apart")
+    )
+    kinds = materialize(kinds.withColumn("c", F.size("core").cast("long")))
+    sizes = kinds.groupBy("pivot").agg(F.collect_set("n").alias("sizes"))
     room = (100 + percent) * F.col("c") - percent * F.col("n")
     fits = lambda s: (percent * s <= room) & (100 * s >= percent * F.col("n")) & (100 * F.col("n") >= percent * s)
-    x = rel.where("apart").join(sizes, "pivot").withColumn("size", F.explode(F.filter("sizes", fits)))
-    y = rel.select("pivot", F.col("node").alias("other"), F.col("part").alias("op"), F.col("n").alias("size"), F.col("c").alias("oc"))
-    by_size = x.join(y, ["pivot", "size"]).where("node != other and part != op").where((100 + percent) * F.col("oc") >= percent * (F.col("n") + F.col("size")))
-    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    return by_token.select(*pair).unionByName(by_size.select(*pair)).distinct()
+    x = kinds.where("apart").join(sizes, "pivot").withColumn("size", F.explode(F.filter("sizes", fits))).drop("sizes")
+    y = kinds.select("pivot", F.col("n").alias("size"), *[F.col(k).alias(f"y_{k}") for k in ("kind", "core", "rep", "lo", "hi", "c")])
+    met = x.join(y, ["pivot", "size"]).where("lo != hi or y_lo != y_hi or lo != y_lo")
+    met = met.where((100 + percent) * F.col("y_c") >= percent * (F.col("n") + F.col("size")))
+    met = met.where((100 + percent) * F.size(F.array_intersect("core", "y_core")) >= percent * (F.col("n") + F.col("size")))
+    met = materialize(met.select("pivot", "kind", "rep", "y_kind", "y_rep"))
+    partner = met.select("pivot", "kind", F.col("y_rep").alias("to")).unionByName(met.select("pivot", F.col("y_kind").alias("kind"), F.col("rep").alias("to")))
+    ties = rel.join(partner.groupBy("pivot", "kind").agg(F.min("to").alias("to")), ["pivot", "kind"])
+    pair = lambda df, i, j: df.where(F.col(i) != F.col(j)).select(F.least(i, j).alias("a"), F.greatest(i, j).alias("b"))
+    return pair(by_token, "node", "other").unionByName(pair(met, "rep", "y_rep")).unionByName(pair(ties, "node", "to")).distinct()
 
 
 def link_buckets(members: DataFrame, sets: DataFrame, percent: int = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
@@ -212,8 +231,8 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     first = t.join(classes, key).where("doc_id = node").select("node", F.explode("bands").alias("bucket"))
     shared = first.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("bucket")
     members = materialize(first.join(shared, "bucket").select("bucket", "node").distinct())
-    nodes = materialize(members.select(F.col("node").alias("doc_id")).distinct())
-    texts = join_few(docs, nodes, "doc_id").select(F.col("doc_id").alias("node"), "text")
+    nodes = materialize(classes.join(members.select("node").distinct(), "node").select(F.col("node").alias("doc_id"), "one"))
+    texts = join_few(docs, nodes, "doc_id").select(F.col("doc_id").alias("node"), "one", "text")
     sets = materialize(texts.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]).withColumn("n", F.size("items").cast("long")))
     parts = link_buckets(members, sets, percent)
     named = classes.join(parts, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))

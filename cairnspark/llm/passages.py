@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_few, materialize, pick
+from .common import materialize, pick
 from .neardup import FLIP, MULT, SHINGLE, SIMILARITY, link_buckets, mixed, shingles, word_hashes
 
 REACH, MIN_WORDS = 6, 15
@@ -92,14 +92,16 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, items of (node, first, words, text), if the paragraph is there in the text."""
+    """node, items of (parts, text): those parts that are there in the text."""
     for b in batches:
         nodes, out = [], []
-        for node, first, n, t in zip(*(b.column(c).to_pylist() for c in ("node", "first", "words", "text")), strict=True):
-            sh = shingles(word_hashes(t)[first : first + n])
-            if int(mixed(mixed(sh ^ FLIP[2]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) == node:
-                nodes.append(node)
-                out.append(np.unique(sh).view(np.int64))
+        for parts, t in zip(b.column("parts").to_pylist(), b.column("text").to_pylist(), strict=True):
+            words = word_hashes(t)
+            for p in parts:
+                sh = shingles(words[p["first"] : p["first"] + p["words"]])
+                if int(mixed(mixed(sh ^ FLIP[2]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) == p["node"]:
+                    nodes.append(p["node"])
+                    out.append(np.unique(sh).view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "items"])
 
 
@@ -110,12 +112,12 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int
     keys = u.select("class", F.explode(F.array(*KEYS)).alias("bucket"))
     # buckets in which different classes meet
     met = keys.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-    members = materialize(join_few(keys, materialize(met), "bucket").select("bucket", F.col("class").alias("node")).distinct())
-    nodes = materialize(members.select("node").distinct())
-    place = join_few(u.select(F.col("class").alias("node"), "doc_id", "first", "words"), nodes, "node")
-    place = materialize(place.groupBy("node").agg(F.min(F.struct("doc_id", "first", "words")).alias("p")).select("node", "p.doc_id", "p.first", "p.words"))
+    members = materialize(keys.join(met, "bucket").select("bucket", F.col("class").alias("node")).distinct())
+    place = u.select(F.col("class").alias("node"), "doc_id", "first", "words").join(members.select("node").distinct(), "node")
+    place = place.groupBy("node").agg(F.min(F.struct("doc_id", "first", "words")).alias("p"))
+    place = place.groupBy("p.doc_id").agg(F.collect_list(F.struct("node", "p.first", "p.words")).alias("parts"))
     texts = pick(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
-    sets = join_few(texts, place, "doc_id").select("node", "first", "words", "text").mapInArrow(_sets, "node long, items array<long>")
+    sets = texts.join(place, "doc_id").select("parts", "text").mapInArrow(_sets, "node long, items array<long>")
     sets = materialize(sets.dropDuplicates(["node"]).withColumn("n", F.size("items").cast("long")))
     parts = link_buckets(members, sets, percent)
     # a class of one document that links with no other repeats nothing
@@ -123,7 +125,7 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int
     named = materialize(named.select("class", "lo", "hi", F.coalesce("component", "class").alias("component")))
     home = named.groupBy("component").agg(F.min("lo").alias("home"), F.max("hi").alias("hi")).where("home != hi").select("component", "home")
     again = materialize(named.join(home, "component").select("class", "home"))
-    hits = join_few(u.select("doc_id", "at", "first", "words", "class"), again, "class")
+    hits = u.select("doc_id", "at", "first", "words", "class").join(again, "class")
     # neighbouring repeats of a document form a passage, and within it those of one home a row
     w = W.partitionBy("doc_id").orderBy("at")
     hits = hits.distinct().withColumn("run", F.col("at") - F.row_number().over(w))
