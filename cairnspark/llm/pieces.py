@@ -28,20 +28,27 @@ result.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_key, blocks_of, pack, unpack
-from .common import materialize, pick
+from .common import pick
 
-MARK, FOLD_CHARS, BLOCK = "▁", 60, 32_000_000
-WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+MARK, FOLD_CHARS, BLOCK = "▁", 60, 16_000_000
+COARSE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+
+
+def coarse_words(text: str | None) -> list[str]:
+    """Cuts at spaces and line feeds; a leading space is added to all but empty texts."""
+    return COARSE.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 @dataclass(frozen=True)
@@ -53,6 +60,30 @@ class PieceTable:
     byte: list[int]  # id of each byte
     unknown: int
     bpe: bool
+    fine: bool  # no piece holds letters and other characters
+
+    def piece_ids(self, piece: str) -> list[int]:
+        """A piece's id; of an unknown character, those of its bytes."""
+        hit = self.normal.get(piece)
+        return [hit[0]] if hit else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
+
+    def parts(self, word: str) -> list[str]:
+        """What a coarse word is cut into further."""
+        body = word[1:] if word[0] == MARK else word
+        if not self.fine or body.isalpha():
+            return [word]
+        if body[:-1].isalpha():
+            return [word[:-1], body[-1]]
+        body = word.lstrip(MARK)
+        if not body:
+            return [word]
+        runs = ["".join(g) for _, g in itertools.groupby(body, str.isalpha)]
+        runs[0] = word[: len(word) - len(body)] + runs[0]
+        return runs
+
+    def words(self, text: str | None) -> list[str]:
+        """The words that a text is cut into."""
+        return [p for w in coarse_words(text) for p in self.parts(w)]
 
     @property
     def longest(self) -> int:
@@ -79,11 +110,21 @@ def load_pieces(model_file: str, bpe: bool = True) -> PieceTable:
             normal[piece] = (i, sp.get_score(i))
     if any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in normal):
         raise ValueError("a piece continues over a space or a line feed; such models are not cut into words here")
-    return PieceTable(normal, raw, byte, sp.unk_id(), bpe)
+    fine = not any(a.isalpha() != b.isalpha() for p in normal for a, b in zip(p, p[1:], strict=False) if a != MARK)
+    return PieceTable(normal, raw, byte, sp.unk_id(), bpe, fine)
+
+
+def short_words(block: pa.Table, t: PieceTable) -> list[str]:
+    """Distinct words of a block that the fold takes, in order of appearance."""
+    coarse = dict.fromkeys(itertools.chain.from_iterable(map(coarse_words, block.column("text").to_pylist())))
+    fine = dict.fromkeys(itertools.chain.from_iterable(map(t.parts, coarse)))
+    return [w for w in fine if 1 < len(w) <= FOLD_CHARS]
 
 
-def split_words(text: str) -> list[str]:
-    return WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
+def cut_word(word: str, cut: int, t: PieceTable) -> list[int]:
+    """Ids of a word whose pieces begin at the set bits of ``cut``."""
+    at = [i for i in range(len(word)) if cut >> i & 1]
+    return [i for a, b in zip(at, [*at[1:], len(word)], strict=True) for i in t.piece_ids(word[a:b])]
 
 
 def encode_word(word: str, t: PieceTable) -> list[int]:
@@ -124,101 +165,145 @@ def encode_word(word: str, t: PieceTable) -> list[int]:
             parts.append(word[best[e][1] : e])
             e = best[e][1]
         parts.reverse()
-    return [i for p in parts for i in ([t.normal[p][0]] if p in t.normal else [t.byte[b] for b in p.encode("utf-8", "surrogatepass")])]
+    return [i for p in parts for i in t.piece_ids(p)]
 
 
 #: b is the set of positions between pieces; the best enabled edge removes the one inside it.
-_MERGE = """aggregate(sequence(1, n), shiftleft(1L, n + 1) - 1L, (b, i) -> coalesce(
-    b & ~get(filter(multi, x -> (b & x.ends) = x.ends AND bit_count(b & x.inner) = 1), 0).inner, b))"""
+#: Once no edge is enabled b is negated, which ends the work.
+_MERGE = """transform(array(transform(edges, x -> struct(
+        shiftleft(1L, cast(shiftright(x, 8) & 255 AS int)) | shiftleft(1L, cast(x & 255 AS int)) AS ends,
+        shiftleft(1L, cast(x & 255 AS int)) - shiftleft(1L, cast((shiftright(x, 8) & 255) + 1 AS int)) AS inner))),
+    multi -> abs(aggregate(sequence(1, n), shiftleft(1L, n + 1) - 1L, (b, i) -> if(b < 0, b, coalesce(
+        b & ~get(filter(multi, x -> (b & x.ends) = x.ends AND bit_count(b & x.inner) = 1), 0).inner, -b)))))[0]"""
 #: Best (score, path) for each position: edges come by end, so a position is final before it is used.
-_VITERBI = """element_at(aggregate(by_end,
+_VITERBI = """aggregate(element_at(aggregate(array_sort(edges, (x, y) -> case when x.e != y.e then x.e - y.e else x.s - y.s end),
     transform(sequence(0, n), i -> struct(if(i = 0, 0.0D, -1e300D) AS score, cast(array() AS array<int>) AS path)),
     (best, x) -> if(best[x.s].score + x.score > best[x.e].score,
         transform(best, (v, i) -> if(i = x.e, struct(best[x.s].score + x.score AS score, concat(best[x.s].path, array(x.s)) AS path), v)), best)),
-    -1).path"""
+    -1).path, shiftleft(1L, n), (b, s) -> b | shiftleft(1L, s))"""
 
 
-def encode_words(words: DataFrame, t: PieceTable) -> DataFrame:
-    """(word, ids) of distinct words of at most FOLD_CHARS characters."""
+def cut_words(words: DataFrame, t: PieceTable) -> DataFrame:
+    """(word, cut) of distinct words of at most FOLD_CHARS characters: the bits of
+    ``cut`` are the positions where pieces begin, and the end.
+
+    Words of which no piece but single characters is a part may be missing.
+    """
     spark = words.sparkSession
-    rows = [(p, i, float(s)) for p, (i, s) in t.normal.items()]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))  # bounded by the model
-    lowest = min((s for _, s in t.normal.values()), default=0.0) - 10
-    sub = words.select("word", F.char_length("word").alias("n")).select(
-        "word", "n",
-        F.expr(f"""inline(flatten(transform(sequence(0, n - 1), s -> transform(sequence(1, least({t.longest}, n - s)),
-            k -> struct(s, s + k AS e, substring(word, s + 1, k) AS piece)))))"""),
-    )
-    edge = F.expr(f"""struct(-coalesce(score, {lowest}D) AS cost, s, e, coalesce(id, -1) AS id, coalesce(score, {lowest}D) AS score,
-        shiftleft(1L, s) | shiftleft(1L, e) AS ends, shiftleft(1L, e) - shiftleft(1L, s + 1) AS inner)""")
-    lattice = (
-        sub.join(table, "piece", "left")
-        .where("id is not null or e = s + 1")
-        .groupBy("word")
-        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    )
+    order = sorted({s for _, s in t.normal.values()}, reverse=True)
+    rank = {s: i for i, s in enumerate(order)}
+    rows = [(p, rank[s], float(s)) for p, (_, s) in t.normal.items()]
+    table = F.broadcast(spark.createDataFrame(rows, "piece string, rank long, score double"))  # bounded by the model
+    least = 2 if t.bpe else 1
+    n = F.char_length("word").alias("n")
+    sub = words.select("word", n).where(F.col("n") >= least).select("word", "n", F.expr(f"explode(sequence(0, n - {least})) AS s"))
+    sub = sub.select("word", "n", "s", F.expr(f"explode(sequence({least}, least({t.longest}, n - s))) AS k"))
+    sub = sub.select("word", "n", "s", "k", F.expr("substring(word, s + 1, k) AS piece"))
     if t.bpe:
-        fold = lattice.withColumn("multi", F.expr("filter(edges, x -> x.e > x.s + 1)")).withColumn("cut", F.expr(_MERGE))
-    else:
-        by_end = "array_sort(edges, (x, y) -> case when x.e != y.e then x.e - y.e else x.s - y.s end)"
-        fold = lattice.withColumn("by_end", F.expr(by_end)).withColumn("starts", F.expr(_VITERBI))
-        fold = fold.withColumn("cut", F.expr("aggregate(starts, shiftleft(1L, n), (b, s) -> b | shiftleft(1L, s))"))
-    # cut is bound as a lambda's variable, so that it is folded once and not once an edge
-    path = F.expr("""transform(array(cut), b -> array_sort(filter(edges, x -> (b & x.ends) = x.ends AND (b & x.inner) = 0L),
-        (x, y) -> x.s - y.s))[0]""")
-    ids = F.expr("""flatten(transform(path, x -> if(x.id >= 0, array(x.id), transform(
-        sequence(1, octet_length(substring(word, x.s + 1, 1))),
-        i -> cast(conv(substring(hex(encode(substring(word, x.s + 1, 1), 'UTF-8')), 2 * i - 1, 2), 16, 10) AS int) - 256))))""")
-    # a byte b of an unknown character stands as b - 256 until here
-    back = F.create_map(*[F.lit(x) for b, i in enumerate(t.byte) for x in (b - 256, i)]) if len(set(t.byte)) > 1 else None
-    out = fold.withColumn("path", path).withColumn("ids", ids)
-    low = F.exists("ids", lambda x: x < 0)
-    fixed = F.transform("ids", lambda x: F.when(x >= 0, x).otherwise(back[x] if back is not None else F.lit(t.unknown)))
-    return out.select("word", F.when(low, fixed).otherwise(F.col("ids")).alias("ids"))
+        # best rank first, then leftmost: the order of packed longs
+        edge = F.expr("shiftleft(rank, 16) + cast(s * 256 + s + k AS long)").alias("edge")
+        lattice = sub.join(table, "piece").select("word", edge).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+        return lattice.select("word", n, "edges").select("word", F.expr(_MERGE).alias("cut"))
+    lowest = order[-1] - 10 if order else -10.0
+    edge = F.expr(f"struct(s, s + k AS e, coalesce(score, {lowest}D) AS score)")
+    lattice = sub.join(table, "piece", "left").where("score is not null or k = 1").groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    return lattice.select("word", F.expr(_VITERBI).alias("cut"))
+
+
+def pack_ids(number: np.ndarray, ids: pa.ListArray) -> bytes:
+    """Numbers of words in ascending order and their ids, compressed."""
+    lengths = np.diff(ids.offsets.to_numpy()).astype(np.int32)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    head = np.array([len(number)], np.int32)
+    return zstandard.compress(b"".join(x.tobytes() for x in (head, np.diff(number, prepend=np.int32(0)).astype(np.int32), lengths, flat)), 5)
+
+
+def unpack_ids(packed: bytes) -> Iterator[tuple[int, list[int]]]:
+    flat = np.frombuffer(zstandard.decompress(packed), np.int32)
+    n = int(flat[0])
+    number, end, ids = np.cumsum(flat[1 : n + 1]).tolist(), np.cumsum(flat[n + 1 : 2 * n + 1]).tolist(), flat[2 * n + 1 :].tolist()
+    start = 0
+    for i, e in zip(number, end, strict=True):
+        yield i, ids[start:e]
+        start = e
+
+
+def part_ids(part: str, known: dict[str, list[int]], t: PieceTable) -> list[int]:
+    """Ids of a word: as the fold gave them; of a long one by the heap; else by character."""
+    if part in known:
+        return known[part]
+    return encode_word(part, t) if len(part) > FOLD_CHARS else [i for c in part for i in t.piece_ids(c)]
 
 
 def encode(docs: DataFrame, t: PieceTable, block_bytes: int = BLOCK) -> DataFrame:
-    """doc_id, ids, text_md5 (of the text with marks as spaces)."""
+    """doc_id, ids, round_trip: whether the ids decode to the text (a mark in it as a space)."""
     docs = pick(docs, doc_id="long", text="string")
     pieces = docs.sparkSession.sparkContext.broadcast(t)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of(batches, block_bytes):
-            seen: set[str] = set()
-            for x in block.column("text").to_pylist():
-                seen.update(split_words(x or ""))
-            some = [w for w in seen if len(w) <= FOLD_CHARS]
+            some = short_words(block, pieces.value)
             yield pa.RecordBatch.from_arrays([pa.array([block_key(block)]), pa.array([some], pa.list_(pa.string()))], ["block", "words"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of(batches, block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([block_key(block)]), pa.array([pack(block)], pa.binary())], ["block", "payload"])
 
-    each = materialize(docs.mapInArrow(words, "block string, words array<string>")).select("block", F.explode("words").alias("word"))
-    known = each.join(encode_words(each.select("word").distinct(), t), "word").select(F.col("block").alias("of"), "word", "ids")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's answers for each block in one compressed binary; rows of a word follow each other."""
+        held: list[tuple[np.ndarray, np.ndarray, pa.ListArray]] = []
+
+        def flush() -> pa.RecordBatch:
+            block, number = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            ids = pa.concat_arrays([x[2] for x in held])
+            held.clear()
+            by = np.lexsort((number, block))
+            block, number = block[by], number[by].astype(np.int32)
+            edge = [*np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)]
+            packed = [pack_ids(number[i:j], ids.take(pa.array(by[i:j]))) for i, j in itertools.pairwise(edge)]
+            return pa.RecordBatch.from_arrays([pa.array(block[edge[:-1]]), pa.array(packed, pa.binary())], ["of", "packed"])
+
+        for b in batches:
+            word = b.column("word").dictionary_encode()
+            at = word.indices.to_numpy()
+            cut = np.zeros(len(word.dictionary), np.int64)
+            cut[at] = b.column("cut").to_numpy()
+            ids = [cut_word(w, c, pieces.value) for w, c in zip(word.dictionary.to_pylist(), cut.tolist(), strict=True)]
+            held.append((b.column("block").to_numpy(), b.column("number").to_numpy(), pa.array(ids, pa.list_(pa.int32())).take(word.indices)))
+            if sum(len(x[0]) for x in held) >= 500_000:
+                yield flush()
+        if sum(len(x[0]) for x in held):
+            yield flush()
+
+    each = docs.mapInArrow(words, "block long, words array<string>").select("block", F.posexplode("words").alias("number", "word")).repartition("word")
+    # all columns are used on this branch too, so that both read one exchange
+    distinct = each.groupBy("word").agg(F.min("block").alias("b"), F.min("number").alias("n")).where("b is not null and n is not null")
+    known = each.join(cut_words(distinct.select("word"), t), "word").select("block", "number", "word", "cut").mapInArrow(gather, "of long, packed binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids_of = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        docs_, ids, sums = [], [], []
+        table, docs_, ids, same = pieces.value, [], [], []
         for payload in left.column("payload").to_pylist():
-            for i, x in zip(*unpack(payload), strict=True):
+            own_ids, own_texts = unpack(payload)
+            order = short_words(pa.table({"text": pa.array(own_texts, pa.string())}), table)
+            known_ids = {order[i]: x for p in right.column("packed").to_pylist() for i, x in unpack_ids(p)}
+            for i, x in zip(own_ids, own_texts, strict=True):
                 docs_.append(i)
                 if x is None:
                     ids.append(None)
-                    sums.append(None)
+                    same.append(None)
                     continue
                 own: list[int] = []
-                for w in split_words(x):
-                    got = ids_of.get(w)
-                    if got is None:  # a long word
-                        got = ids_of[w] = encode_word(w, pieces.value)
-                    own.extend(got)
-                ids.append(own)
-                sums.append(hashlib.md5(x.replace(MARK, " ").encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest())
-        return pa.Table.from_arrays([pa.array(docs_, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sums, pa.string())], ["doc_id", "ids", "text_md5"])
-
-    texts = docs.mapInArrow(packed, "block string, payload binary")
-    return texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(finish, "doc_id long, ids array<int>, text_md5 string")
+                for w in coarse_words(x):
+                    got = known_ids.get(w)
+                    if got is None:  # not a word of its own
+                        got = known_ids[w] = [i for p in table.parts(w) for i in part_ids(p, known_ids, table)]
+                    own += got
+                ids.append(np.array(own, np.int32))
+                same.append(decode_ids(own, table) == x.replace(MARK, " "))
+        return pa.Table.from_arrays([pa.array(docs_, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
+
+    packed = docs.mapInArrow(texts, "block long, payload binary")
+    return packed.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(finish, "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode_ids(ids: list[int] | None, t: PieceTable) -> str | None:
