@@ -1,5 +1,165 @@
-"""DuckDB SQL for the registered queries that SQL can express."""
+"""DuckDB SQL for the registered queries that SQL can express.
+
+Language ID (vectors), LM scoring (context trees), SentencePiece (a fold over a
+model's pieces) and substring dedup (hashed cuts) have none; their tests compare
+with brute force, the library, or held-out labels.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import hamming, linededup, mixing, neardup, quality, url_filter
+
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _urls() -> str:
+    """The levels of the template tree, written out."""
+    host = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[1]))
+
+    def choose(value):
+        cases = []
+        for kind, text in rules:
+            name, _, tail = text.partition("/")
+            cases.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{tail}') THEN '{value(kind, text)}'")
+        return "CASE " + " ".join(cases) + " END"
+
+    out = rf"""WITH rests AS (SELECT page_id, coalesce({host}, '') AS rest FROM pages),
+ u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), {_UPPER}, {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+ cut AS (SELECT *, string_split(regexp_replace(regexp_replace(path, '^/|/$', '', 'g'), '[0-9]+', '#', 'g'), '/') AS all_segs FROM u),
+ shaped AS (SELECT page_id, host, path, CASE WHEN len(all_segs) > {url_filter.DEPTH} THEN list_append(all_segs[1:{url_filter.DEPTH}], '**') ELSE all_segs END AS segs FROM cut),
+ lab AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+ known AS (SELECT page_id, max(bad) AS bad FROM u JOIN lab ON TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) = doc_id GROUP BY 1),
+ t0 AS (SELECT host, segs, '' AS template, count(bad) AS lab, coalesce(sum(bad), 0) AS bad FROM shaped LEFT JOIN known USING (page_id) GROUP BY 1, 2)"""
+    for i in range(url_filter.DEPTH + 1):
+        out += f""",
+ c{i} AS (SELECT host, template, segs[{i + 1}] AS seg, sum(lab) AS cl, sum(bad) AS cb FROM t{i} WHERE len(segs) > {i} GROUP BY 1, 2, 3),
+ n{i} AS (SELECT host, template, sum(cl) AS pl, sum(cb) AS pb FROM c{i} GROUP BY 1, 2),
+ o{i} AS (SELECT host, template, seg FROM c{i} JOIN n{i} USING (host, template) WHERE cl >= {url_filter.MIN_LABELS} AND pl > cl AND pb > 0 AND pb < pl
+   AND (cb / cl - (pb - cb) / (pl - cl)) * (cb / cl - (pb - cb) / (pl - cl)) >= {url_filter.Z2}::DOUBLE * (pb / pl) * (1 - pb / pl) * (1 / cl + 1 / (pl - cl))),
+ t{i + 1} AS (SELECT t.host, segs, lab, bad, CASE WHEN len(segs) <= {i} THEN t.template WHEN o.seg IS NOT NULL OR segs[{i + 1}] = '**' THEN t.template || '/' || segs[{i + 1}] ELSE t.template || '/*' END AS template
+   FROM t{i} t LEFT JOIN o{i} o ON t.host = o.host AND t.template = o.template AND segs[{i + 1}] = o.seg)"""
+    last, prior = f"t{url_filter.DEPTH + 1}", f"{url_filter.PRIOR}::DOUBLE"
+    return out + f""",
+ leaf AS (SELECT host, template, sum(lab) AS lab, sum(bad) AS bad FROM {last} GROUP BY 1, 2),
+ hosts AS (SELECT host, (sum(bad) + {prior} * (SELECT sum(bad) FROM leaf) / (SELECT sum(lab) FROM leaf)) / (sum(lab) + {prior}) AS rate FROM leaf GROUP BY 1 HAVING (SELECT sum(lab) FROM leaf) > 0),
+ rejected AS (SELECT host, template FROM leaf JOIN hosts USING (host) WHERE lab >= {url_filter.MIN_LABELS} AND (bad + {prior} * rate) / (lab + {prior}) >= {url_filter.REJECT}),
+ gone AS (SELECT host, segs, template FROM {last} JOIN rejected USING (host, template))
+SELECT page_id, s.host, path, {choose(lambda k, r: r)} AS rule,
+  coalesce({choose(lambda k, r: k)}, CASE WHEN g.template IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, g.template AS template
+FROM shaped s LEFT JOIN gone g ON s.host = g.host AND s.segs = g.segs""".replace("(host = '", "(s.host = '").replace("ends_with(host,", "ends_with(s.host,")
+
+
+def _quality() -> str:
+    rate = {"symbol_rate": "10000 * n_symbols // n_words", "dup_line_rate": "10000 * n_dup_lines // n_lines", "repeat_rate": "10000 * n_repeat_words // n_words", "word_length": "10000 * word_chars // n_words"}
+    bucket = "(v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0)"
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM d WHERE n_words > 0" for m in rate)
+
+    def quartiles(name, keys):
+        part = ", ".join([*keys, "metric"])
+        return f"""{name}_m AS (SELECT {part}, bucket, sum(n) AS n FROM sk GROUP BY ALL),
+ {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {part}) AS docs, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto FROM {name}_m),
+ {name} AS (SELECT {part}, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= 3 * docs) AS q3 FROM {name}_c GROUP BY ALL)"""
+
+    take = lambda q: f"CASE WHEN o.docs >= {quality.MIN_GROUP} THEN o.{q} WHEN l.docs >= {quality.MIN_GROUP} THEN l.{q} ELSE e.{q} END"
+    outside = []
+    for m, (floor, low) in quality.METRICS.items():
+        spread = f"{quality.REACH} * greatest(q3 - q1, {floor})"
+        outside.append(f"(f.metric = '{m}' AND ({m} > q3 + {spread}" + (f" OR {m} < q1 - {spread}))" if low else "))"))
+    return rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+ tri AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 0))) AS i FROM w)),
+ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM tri) WHERE c > 1) GROUP BY 1),
+ ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+ m AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+   len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+ d AS (SELECT *, {", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {k}" for k, e in rate.items())} FROM m),
+ long AS ({long}), sk AS (SELECT lang, source, metric, {bucket} AS bucket, count(*) AS n FROM long GROUP BY ALL),
+ {quartiles("own", ["lang", "source"])}, {quartiles("langs", ["lang"])}, {quartiles("every", [])},
+ f AS (SELECT o.lang, o.source, o.metric, {take("q1")} AS q1, {take("q3")} AS q3 FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN every e ON o.metric = e.metric),
+ far AS (SELECT DISTINCT d.doc_id FROM d JOIN f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source WHERE {" OR ".join(outside)}),
+ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept, symbol_rate, dup_line_rate, repeat_rate, word_length FROM b"""
+
+
+_HAMMING = f"""WITH c AS (SELECT vec_id, CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS code FROM embeddings),
+ d AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(q.code, c.code)) AS BIGINT) AS distance FROM c q, c WHERE q.vec_id % 50 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= {hamming.K}"""
+
+
+def _lines() -> str:
+    roll = " + ".join(["h"] + [f"coalesce(lag(h, {j}) OVER w, 0) * {pow(linededup.BASE, j, linededup.PRIME)} % {linededup.PRIME}" for j in range(1, linededup.WINDOW)])
+    return rf"""WITH ls AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+ hs AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT >> 1 AS h FROM ls),
+ ends AS (SELECT *, (({roll}) % {linededup.PRIME} % {linededup.MODULUS} = 0 OR i = n - 1)::INT AS e FROM hs WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ grp AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM ends),
+ chunks AS (SELECT doc_id, g, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk FROM grp GROUP BY 1, 2),
+ many AS (SELECT * FROM chunks WHERE last > first AND regexp_matches(chunk, '[^\x20\x09-\x0D]')),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS r FROM many),
+ gone AS (SELECT doc_id, g, last - first + 1 AS n FROM ranked WHERE r > 1),
+ lost AS (SELECT doc_id, sum(n) AS n_lines, count(*) AS n_chunks FROM gone GROUP BY 1),
+ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM grp WHERE (doc_id, g) NOT IN (SELECT doc_id, g FROM gone) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_removed_lines, coalesce(n_chunks, 0)::BIGINT AS n_removed_chunks,
+  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(kept.text, '')) END AS text_md5 FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _mixing() -> str:
+    def position(share):
+        cases = []
+        for w, knots in mixing.SCHEDULES.items():
+            step, area = 1 / (len(knots) - 1), [0.0]
+            for a, b in zip(knots, knots[1:], strict=False):
+                area.append(area[-1] + step * (a + b) / 2)
+            inner = "1.0::DOUBLE"
+            for i in reversed(range(len(knots) - 1)):
+                slope, left = (knots[i + 1] - knots[i]) / step, f"({share} * {area[-1]}::DOUBLE - {area[i]}::DOUBLE)"
+                x = f"2 * {left} / ({knots[i]}::DOUBLE + sqrt(greatest(0, {knots[i] * knots[i]}::DOUBLE + 2 * {slope}::DOUBLE * {left})))"
+                inner = f"CASE WHEN {share} * {area[-1]}::DOUBLE < {area[i + 1]}::DOUBLE THEN {i * step}::DOUBLE + {x} ELSE {inner} END"
+            cases.append(f"WHEN weight = {w} THEN {inner}")
+        return "CASE " + " ".join(cases) + " END"
+
+    e = mixing.MAX_EPOCHS
+    fills = ""
+    for i in range(mixing.FILLS):
+        fills += f""",
+ g{i} AS (SELECT source, max(rest) - coalesce(sum(size) FILTER (fits), 0) AS gap FROM f{i} GROUP BY 1),
+ x{i} AS (SELECT f.source, min((abs(gap - size), start))[2] AS extra FROM f{i} f JOIN g{i} g ON f.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND size > 0 AND rest > 0 AND abs(gap - size) < gap GROUP BY 1),
+ f{i + 1} AS (SELECT f.* EXCLUDE (fits), fits OR coalesce(extra = start AND size > 0 AND rest > 0, false) AS fits FROM f{i} f LEFT JOIN x{i} x ON f.source IS NOT DISTINCT FROM x.source)"""
+    return rf"""WITH s AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size,
+   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '#' || coalesce(source, 'null') || '#' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS u FROM documents),
+ so AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY 1),
+ wt AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, {e} * source_size AS cap FROM so),
+ lv AS (SELECT *, cap / weight AS level, sum(source_size) OVER () AS total FROM wt),
+ wa AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+   / sum(weight) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM lv),
+ lowest AS (SELECT arg_min(water, (level, source)) AS water FROM wa WHERE water <= level),
+ goals AS (SELECT source, source_size, weight, least(cap::DOUBLE, coalesce((SELECT water FROM lowest), level) * weight) AS target FROM wa),
+ gr AS (SELECT *, round(target)::BIGINT AS goal FROM goals),
+ gf AS (SELECT *, CASE WHEN source_size > 0 THEN least({e}, goal // source_size) ELSE 0 END AS full_passes FROM gr),
+ gg AS (SELECT *, greatest(0, CASE WHEN full_passes < {e} THEN goal - full_passes * source_size ELSE 0 END) AS rest FROM gf),
+ st AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size) - size AS start FROM s),
+ f0 AS (SELECT st.*, source_size, weight, target, full_passes, rest, size > 0 AND start + size <= rest AS fits FROM st JOIN gg ON st.source IS NOT DISTINCT FROM gg.source){fills},
+ c AS (SELECT *, CASE WHEN size > 0 THEN full_passes + fits::INT ELSE 0 END AS copies, least(1, (start + size / 2) / greatest(target, 1)) AS share FROM f{mixing.FILLS})
+SELECT doc_id, size, source_size, target, size * copies::BIGINT AS taken, copies::BIGINT AS copies, CASE WHEN copies > 0 THEN round({position("share")}, 9) END AS position FROM c"""
+
+
+_NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), {_UPPER}, {_LOWER})")} AS w FROM documents),
+ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+   ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s FROM w),
+ sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+ edges AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+   HAVING 100 * count(*) >= {neardup.SIMILARITY} * (a.n + b.n - count(*))),
+ sym AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN sym e ON r.b = e.a),
+ comp AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN comp ON doc_id = a"""
+
+ORACLES: dict[str, str] = {
+    "op1_url_filter": _urls(),
+    "op2_quality_rules": _quality(),
+    "op3_hamming_topk": _HAMMING,
+    "op7_line_dedup": _lines(),
+    "op8_mixing": _mixing(),
+    "op10_minhash_near_dedup": _NEAR,
+}
