@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, md5_int, pick, word_count
 
-MAX_EPOCHS, ROWS_PER_BUCKET, HASH_BITS, FILLS = 3, 20_000, 48, 3
+MAX_EPOCHS, ROWS_PER_BUCKET, HASH_BITS, FILLS = 3, 5_000, 48, 3
 #: Weight over training time by a source's weight: early, even, late.
 SCHEDULES = {1: (1.5, 1.0, 0.5), 2: (1.0, 1.0, 1.0), 3: (0.5, 1.0, 1.5)}
 
