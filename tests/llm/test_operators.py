@@ -292,6 +292,34 @@ def test_context_tree(spark):
     assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_exact_contexts_grow_with_the_corpus(spark):
+    """score() against dictionaries: contexts of 3 to 6 exact bytes over the quantised tree."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.randrange(20)) + rng.choice(["", "é ö", "xAbQ", "xabq", "\n"])) for i in range(60)] + [(60, None), (61, "")]
+    raw = {i: (t or "").encode() for i, t in rows}
+    train = [t for i, t in raw.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    seen = collections.defaultdict(collections.Counter)
+    for t in train:
+        h = b"\xff" * 6 + t + b"\xff"
+        for k in range(6, len(h)):
+            for d in range(3, 7):
+                seen[h[k - d : k]][h[k]] += 1
+    counts = lm.context_counts(spark.createDataFrame([(t.decode(),) for t in train], "text string")).collect()
+    table = lm.log_table(np.array([r.key for r in counts]), np.array([r.n for r in counts]))
+
+    def score(t):
+        h, prior, total = b"\xff" * 6 + t + b"\xff", 10.0 ** table.reshape(-1)[lm.context_keys([t])[0]].astype(float), 0
+        for k, p in enumerate(prior, 6):
+            for d in range(3, 7):
+                c = seen.get(h[k - d : k])
+                p = (c[h[k]] + len(c) * p) / (sum(c.values()) + len(c)) if c else p
+            total += math.log10(p)
+        return total
+
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[i] == pytest.approx(score(t), rel=1e-5) for i, t in raw.items()) and len(got) == len(rows)
+
+
 def test_base_scores(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randrange(30)), "en", "s") for i in range(60)] + awkward()[:6]
