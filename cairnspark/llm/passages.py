@@ -11,9 +11,10 @@ value a band (the minimum and maximum under one permutation and the minimum
 under another): at Jaccard 0.75 a pair shares a band with probability 0.98, equal
 paragraphs always do.  Colliding classes are compared on exact Jaccard
 (neardup.link_buckets), and components of classes that reach two documents are
-repeats.  Each document's neighbouring repeats form a passage; passages of
-``MIN_WORDS`` or more are reported, and removed in all but the component's
-smallest doc_id.
+repeats.  Each document's neighbouring repeats form a passage.  Its outermost
+paragraphs that are also in the component's smallest doc_id (there, the first
+such) grow outwards in both documents as long as their words are equal.  Passages of ``MIN_WORDS`` or more are reported, and removed in all but
+the smallest doc_id.
 
 Edge cases.  Texts of fewer than five words, null and empty ones, and null
 doc_ids take no part.  Rows of one doc_id are one document, which repeats
@@ -35,6 +36,8 @@ from .neardup import FLIP, MULT, SHINGLE, SIMILARITY, link_buckets, mixed, shing
 
 REACH, MIN_WORDS = 6, 15
 KEYS = ("k0", "k1", "k2")
+#: Words that a passage may grow by in a round; rounds go on until none grows so far.
+GROW = 32
 
 
 def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -124,14 +127,84 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int
     named = classes.join(parts, F.col("class") == F.col("node"), "left").where("component is not null or lo != hi")
     named = materialize(named.select("class", "lo", "hi", F.coalesce("component", "class").alias("component")))
     home = named.groupBy("component").agg(F.min("lo").alias("home"), F.max("hi").alias("hi")).where("home != hi").select("component", "home")
-    again = materialize(named.join(home, "component").select("class", "home"))
-    hits = u.select("doc_id", "at", "first", "words", "class").join(again, "class")
-    # neighbouring repeats of a document form a passage, and within it those of one home a row
-    w = W.partitionBy("doc_id").orderBy("at")
-    hits = hits.distinct().withColumn("run", F.col("at") - F.row_number().over(w))
-    hits = hits.withColumn("all", F.sum("words").over(W.partitionBy("doc_id", "run"))).where(F.col("all") >= min_words)
+    again = materialize(named.join(home, "component").select("class", "component", "home"))
+    hits = materialize(u.select("doc_id", "at", "first", "words", "class").join(again, "class").distinct())
+    # neighbouring repeats of one home form a run
     w = W.partitionBy("doc_id", "home").orderBy("at")
-    hits = hits.withColumn("part", F.col("at") - F.row_number().over(w))
-    return hits.groupBy("doc_id", "home", "part").agg(F.min("first").cast("long").alias("first_word"), F.sum("words").cast("long").alias("n_words")).select(
-        "doc_id", "first_word", "n_words", F.col("home").alias("component_id"), (F.col("doc_id") != F.col("home")).alias("removed")
+    p = F.struct("first", "words", "class")
+    same = hits.where("doc_id = home").groupBy("class").agg(F.min(p).alias("same"))
+    runs = hits.withColumn("part", F.col("at") - F.row_number().over(w)).join(same, "class", "left")
+    # a run grows from its outermost paragraphs that are also in the home, else from those like the home's
+    runs = runs.groupBy("doc_id", "home", "part").agg(
+        F.min("first").alias("a"), F.max(F.col("first") + F.col("words")).alias("b"),
+        *[F.max_by(F.struct("first", "words", "class", "component", "same"), F.struct(F.col("same").isNotNull(), F.col("at") * side)).alias(name) for name, side in (("left", -1), ("right", 1))],
+    )
+    runs = materialize(runs)
+    ends = runs.select("doc_id", "home", F.inline(F.array(F.struct(F.lit(-1).alias("side"), F.col("left").alias("own")), F.struct(F.lit(1).alias("side"), F.col("right").alias("own")))))
+    grown = _grown(ends.where("doc_id != home"), hits.where("doc_id = home"), texts)
+    span = lambda c, n: (F.when(F.col("side") < 0, F.col(f"{c}.first") - n).otherwise(F.col(f"{c}.first")).alias("a"), (F.col(f"{c}.first") + F.col(f"{c}.words") + F.when(F.col("side") > 0, n).otherwise(0)).alias("b"))
+    spans = runs.select("doc_id", "home", "a", "b")
+    spans = spans.unionByName(grown.select("doc_id", "home", *span("own", F.col("n")))).unionByName(grown.select(F.col("home").alias("doc_id"), "home", *span("there", F.col("n"))))
+    spans = spans.groupBy("doc_id", "home", "a").agg(F.max("b").alias("b"))
+    spans = _joined(spans, "doc_id", "home").groupBy("doc_id", "home", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+    whole = W.partitionBy("doc_id", "island")
+    spans = _joined(spans, "doc_id").withColumn("all", F.max("b").over(whole) - F.min("a").over(whole)).where(F.col("all") >= min_words)
+    return spans.select(
+        "doc_id", F.col("a").cast("long").alias("first_word"), (F.col("b") - F.col("a")).cast("long").alias("n_words"), F.col("home").alias("component_id"), (F.col("doc_id") != F.col("home")).alias("removed")
     )
+
+
+def _joined(spans: DataFrame, *keys: str) -> DataFrame:
+    """``spans`` and ``island``: which of a key's spans, from a to before b, touch or overlap."""
+    w = W.partitionBy(*keys).orderBy("a", "b")
+    far = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("opens", F.coalesce((F.col("a") > far).cast("int"), F.lit(1)))
+    return spans.withColumn("island", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("opens")
+
+
+def _grown(ends: DataFrame, homes: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, home, side, own, there, n of (doc_id, home, side, own): the home's
+    paragraph of the same class, or else component, and by how many equal words both grow to the side."""
+    p = F.struct("first", "words", "class")
+    like = homes.groupBy("component").agg(F.min(p).alias("like"))
+    pairs = ends.select("doc_id", "home", "side", F.struct("own.first", "own.words", "own.class").alias("own"), F.col("own.same").alias("same"), F.col("own.component").alias("component"))
+    pairs = pairs.join(like, "component")
+    pairs = materialize(pairs.select("doc_id", "home", "side", "own", F.coalesce("same", "like").alias("there"), F.lit(0).alias("n")))
+    done = None
+    open_, k = pairs, 0
+    while done is None or not open_.isEmpty():
+        asked = open_.select("doc_id", "side", F.col("own").alias("p")).unionByName(open_.select(F.col("home").alias("doc_id"), "side", F.col("there").alias("p"))).distinct()
+        asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("side", "p.first", "p.words", "p.class")).alias("parts"))
+        near = texts.join(asked, "doc_id").select("doc_id", "parts", "text").mapInArrow(_neighbours(k), "d long, s int, f int, w int, c long, near array<long>")
+        near = materialize(near.groupBy("d", "s", "f", "w", "c").agg(F.max("near").alias("near")))
+        at = lambda t, d, p: (F.col(d) == t["d"]) & (F.col("side") == t["s"]) & (F.col(f"{p}.first") == t["f"]) & (F.col(f"{p}.words") == t["w"]) & (F.col(f"{p}.class") == t["c"])
+        mine = open_.join(near, at(near, "doc_id", "own")).select("doc_id", "home", "side", "own", "there", "n", F.col("near").alias("mine"))
+        met = mine.join(near, at(near, "home", "there"))
+        equal = F.zip_with("mine", "near", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        first = F.array_position(equal, F.lit(False))
+        met = met.withColumn("more", F.when(first > 0, first - 1).otherwise(F.size(equal)).cast("int"))
+        met = materialize(met.select("doc_id", "home", "side", "own", "there", (F.col("n") + F.col("more")).alias("n"), (F.col("more") == GROW).alias("on")))
+        out = met.where("not on").drop("on")
+        done = out if done is None else done.unionByName(out)
+        open_, k = met.where("on").drop("on"), k + 1
+    return done
+
+
+def _neighbours(k: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k-th GROW words to the side of each part, outwards, where the part is there in the text."""
+        for b in batches:
+            rows = []
+            for i, parts, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "parts", "text")), strict=True):
+                words = word_hashes(t)
+                for p in parts:
+                    side, first, n, kind = p["side"], p["first"], p["words"], p["class"]
+                    sh = shingles(words[first : first + n])
+                    if int(mixed(mixed(sh ^ FLIP[2]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) == kind:
+                        out = words[:first][::-1] if side < 0 else words[first + n :]
+                        rows.append((i, side, first, n, kind, out[k * GROW : (k + 1) * GROW].view(np.int64)))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], ["d", "s", "f", "w", "c", "near"])
+
+    return near

@@ -485,6 +485,27 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_reach_their_ends(spark):
+    """Short passages and long ones, in two foreign texts each, are reported from their first to their last word."""
+    rng = random.Random(15)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(30):
+        passage = say(51) if k else ["same"] * 90 + say(20)
+        for i in (2 * k, 2 * k + 1):
+            before = say(rng.randrange(20, 60))
+            rows.append((i, " ".join(before + passage + say(40))))
+            want[i] = (len(before), len(passage), 2 * k, i % 2 == 1)
+    got = collections.defaultdict(list)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.first_word, r.n_words, r.component_id, r.removed))
+    assert len(got) >= 58
+    for i, spans in got.items():
+        (first, n, home, removed), (at, size, *rest) = spans[0], want[i]
+        # a similar paragraph may bring a word or two of its neighbourhood
+        assert len(spans) == 1 and [home, removed] == rest and at - 3 <= first <= at and at + size <= first + n <= at + size + 3, (i, spans, want[i])
+
+
 # ---- 10
 
 
