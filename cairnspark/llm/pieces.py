@@ -5,8 +5,8 @@ model's identity normaliser has it.  No piece continues over the mark or over a
 line feed, so texts are cut there into words, and only distinct words are
 encoded: their substrings of bounded length are exploded and equi-joined to the
 piece table, edges are grouped by word, and the path through the lattice is
-folded with Spark's higher-order ``aggregate``.  The ids come back to the texts
-by blocks (blocks.py).
+folded with Spark's higher-order ``aggregate``.  Texts travel in blocks
+(blocks.py) as numbers of their words, and the words' ids come back to the blocks.
 
 The fold follows the kind of model.  For a unigram model it is Viterbi.  The
 installed model is BPE, for which the best sum of scores is *not* what
@@ -15,7 +15,9 @@ the enabled edge of the best score, leftmost first, until none is left.  Both
 are exact.  A character outside the vocabulary becomes its bytes' pieces.
 
 Words of more than ``FOLD_CHARS`` characters do not fit the fold's bit set; they
-are encoded, equally exactly, by ``encode_word`` where texts are put together.
+are encoded, equally exactly, by ``encode_word`` where texts are put together.  So
+is a word whose answer does not come back (a source that gives other rows when a
+task is repeated), so ids are never wrong.
 
 Decoding concatenates pieces (bytes for byte pieces), turns marks into spaces
 and drops the leading one; ill-formed UTF-8 becomes U+FFFD, control ids nothing.
@@ -35,14 +37,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_key, blocks_of, pack, unpack
+from .blocks import block_key, blocks_of
 from .common import pick
 
-MARK, FOLD_CHARS, BLOCK = "▁", 60, 16_000_000
+MARK, FOLD_CHARS, BLOCK = "▁", 60, 24_000_000
+#: Begins the key of a row that is a block's, not a word's.
+BLOCK_MARK = "\0block "
 COARSE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -114,11 +120,107 @@ def load_pieces(model_file: str, bpe: bool = True) -> PieceTable:
     return PieceTable(normal, raw, byte, sp.unk_id(), bpe, fine)
 
 
-def short_words(block: pa.Table, t: PieceTable) -> list[str]:
-    """Distinct words of a block that the fold takes, in order of appearance."""
-    coarse = dict.fromkeys(itertools.chain.from_iterable(map(coarse_words, block.column("text").to_pylist())))
-    fine = dict.fromkeys(itertools.chain.from_iterable(map(t.parts, coarse)))
-    return [w for w in fine if 1 < len(w) <= FOLD_CHARS]
+def coarse_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The coarse words of all texts one after the other (dictionary-encoded), how
+    many each text has, and the texts' order here.
+
+    Texts without runs of spaces are split by Arrow, the others by COARSE.
+    """
+    texts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.replace_substring(texts.cast(pa.large_string()), MARK, " "), pa.scalar("", pa.large_string()))
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.match_substring(texts, "\0"), pc.equal(texts, " ")))
+    odd = pc.fill_null(odd, True).to_numpy(zero_copy_only=False)
+    first, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+    cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts.take(first), " ", "\0 "), "\n", "\0\n\0"), "\0")
+    flat = cut.flatten()
+    real = pc.not_equal(flat, "")
+    edge = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[cut.offsets.to_numpy()]
+    own = [coarse_words(t[1:] if t else t) for t in texts.take(rest).to_pylist()]
+    tokens = pa.concat_arrays([flat.filter(real), pa.array([w.replace(MARK, " ") for ws in own for w in ws], pa.large_string())])
+    sizes = np.concatenate([np.diff(edge), np.array([len(ws) for ws in own], np.int64)]).astype(np.int64)
+    return tokens.dictionary_encode(), sizes, np.concatenate([first, rest])
+
+
+def cut_block(block: pa.Table, t: PieceTable) -> tuple[list[str], bytes]:
+    """A block's distinct words, and all that is needed to put its ids together: the
+    documents, their tokens by number, what each is cut into, and hashes of the texts."""
+    texts = block.column("text").combine_chunks()
+    tokens, sizes, order = coarse_tokens(texts)
+    number: dict[str, int] = {}
+    counts, parts = [], []
+    for w in pc.replace_substring(tokens.dictionary, " ", MARK).to_pylist():
+        own = t.parts(w)
+        counts.append(len(own))
+        for p in own:
+            new = len(number)
+            i = number.setdefault(p, new)
+            parts.append(0 if i == new else i + 1)
+    said = [None if x is None else xxhash.xxh3_128_digest(x.replace(MARK, " ").encode("utf-8", "surrogatepass")) for x in texts.take(order).to_pylist()]
+    one = {
+        "doc_id": block.column("doc_id").combine_chunks().take(pa.array(order)), "size": pa.array(sizes, pa.int32()), "said": pa.array(said, pa.binary(16)),
+        "tokens": planes(tokens.indices.to_numpy()), "counts": planes(counts), "parts": planes(parts), "words": pa.array([*number], pa.string()),
+    }
+    one = pa.table({k: pa.LargeListArray.from_arrays([0, len(v)], v) for k, v in one.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
+        w.write_table(one)
+    return [*number], sink.getvalue().to_pybytes()
+
+
+def planes(values) -> pa.Array:
+    """Numbers as bytes, the lowest of all first, then the next ones: they compress better."""
+    return pa.array(np.ascontiguousarray(np.asarray(values, np.int32).view(np.uint8).reshape(-1, 4).T).ravel())
+
+
+def from_planes(values: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(values.to_numpy().reshape(4, -1).T).view(np.int32).ravel().astype(np.int64)
+
+
+def take_lists(offsets: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of the lists at ``at``."""
+    size = np.diff(offsets)[at]
+    out = np.append(0, np.cumsum(size))
+    return out, flat[np.repeat(offsets[at] - out[:-1], size) + np.arange(out[-1])]
+
+
+def put_together(payload: bytes, answers: list[bytes], t: PieceTable, raw: pa.Array) -> pa.Table:
+    """doc_id, ids, round_trip of a block, given the packed ids of its words.
+
+    A word without an answer (a single character, a long one, or one whose answer
+    was lost) is encoded here, exactly.
+    """
+    one = {k: c[0].values for k, c in zip(*(lambda x: (x.schema.names, x.columns))(pa.ipc.open_stream(payload).read_all()), strict=True)}
+    if not len(one["doc_id"]):
+        return EMPTY
+    packed = [unpack_ids(x) for x in answers]
+    number = np.concatenate([np.zeros(0, np.int64), *[n for n, _, _ in packed]])
+    size = np.concatenate([np.zeros(0, np.int64), *[s for _, s, _ in packed]])
+    flat = np.concatenate([np.zeros(0, np.int32), *[f for _, _, f in packed]])
+    n = len(one["words"])
+    at = np.full(n, -1, np.int64)
+    at[number] = np.arange(len(number))
+    missing = np.flatnonzero(at < 0)
+    known = [encode_word(w, t) for w in one["words"].take(pa.array(missing)).to_pylist()]
+    at[missing] = len(number) + np.arange(len(missing))
+    offsets = np.append(0, np.cumsum(np.concatenate([size, np.array([len(x) for x in known], np.int64)])))
+    flat = np.concatenate([flat, np.array([i for x in known for i in x], np.int32)])
+    # ids of words, of coarse words, of texts
+    parts = from_planes(one["parts"])
+    parts = np.where(parts == 0, np.cumsum(parts == 0) - 1, parts - 1)
+    by_part, flat = take_lists(offsets, flat, at[parts])
+    offsets = by_part[np.append(0, np.cumsum(from_planes(one["counts"])))]
+    by_token, flat = take_lists(offsets, flat, from_planes(one["tokens"]))
+    edge = by_token[np.append(0, np.cumsum(one["size"].to_numpy().astype(np.int64)))]
+    null = one["said"].is_null().to_numpy(zero_copy_only=False)
+    ids = pa.ListArray.from_arrays(pa.array(edge, pa.int32(), mask=np.append(null, False)), pa.array(flat))
+    back = raw.take(pa.array(flat))
+    data, place = memoryview(back.buffers()[2] or b""), back.buffers()[1]
+    place = np.frombuffer(place, np.int64)[edge] if place else np.zeros(len(edge), np.int64)
+    said = one["said"].to_pylist()
+    same = [None if x is None else xxhash.xxh3_128_digest(data[min(a + 1, b) : b]) == x for x, a, b in zip(said, place[:-1].tolist(), place[1:].tolist(), strict=True)]
+    return pa.Table.from_arrays([one["doc_id"], ids, pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
+
+
+EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "round_trip": pa.array([], pa.bool_())})
 
 
 def cut_word(word: str, cut: int, t: PieceTable) -> list[int]:
@@ -184,20 +286,19 @@ _VITERBI = """aggregate(element_at(aggregate(array_sort(edges, (x, y) -> case wh
 
 
 def cut_words(words: DataFrame, t: PieceTable) -> DataFrame:
-    """(word, cut) of distinct words of at most FOLD_CHARS characters: the bits of
-    ``cut`` are the positions where pieces begin, and the end.
-
-    Words of which no piece but single characters is a part may be missing.
-    """
+    """(word, cut) of distinct words of 2 to FOLD_CHARS characters: the bits of
+    ``cut`` are the positions where pieces begin, and the end."""
     spark = words.sparkSession
     order = sorted({s for _, s in t.normal.values()}, reverse=True)
     rank = {s: i for i, s in enumerate(order)}
     rows = [(p, rank[s], float(s)) for p, (_, s) in t.normal.items()]
+    rows += [("", 0, 0.0)] * t.bpe  # an edge from 0 to 0, never enabled, so that every word comes back
     table = F.broadcast(spark.createDataFrame(rows, "piece string, rank long, score double"))  # bounded by the model
     least = 2 if t.bpe else 1
     n = F.char_length("word").alias("n")
-    sub = words.select("word", n).where(F.col("n") >= least).select("word", "n", F.expr(f"explode(sequence(0, n - {least})) AS s"))
-    sub = sub.select("word", "n", "s", F.expr(f"explode(sequence({least}, least({t.longest}, n - s))) AS k"))
+    sub = words.select("word", n).select("word", "n", F.expr(f"explode(sequence(0, greatest(0, n - {least}))) AS s"))
+    ends = f"sequence({least}, greatest({least}, least({t.longest}, n - s)))"
+    sub = sub.select("word", "n", "s", F.expr(f"explode(if(s = 0, concat(array(0), {ends}), {ends})) AS k" if t.bpe else f"explode({ends}) AS k"))
     sub = sub.select("word", "n", "s", "k", F.expr("substring(word, s + 1, k) AS piece"))
     if t.bpe:
         # best rank first, then leftmost: the order of packed longs
@@ -218,21 +319,11 @@ def pack_ids(number: np.ndarray, ids: pa.ListArray) -> bytes:
     return zstandard.compress(b"".join(x.tobytes() for x in (head, np.diff(number, prepend=np.int32(0)).astype(np.int32), lengths, flat)), 5)
 
 
-def unpack_ids(packed: bytes) -> Iterator[tuple[int, list[int]]]:
+def unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of words, how many ids each has, and the ids."""
     flat = np.frombuffer(zstandard.decompress(packed), np.int32)
     n = int(flat[0])
-    number, end, ids = np.cumsum(flat[1 : n + 1]).tolist(), np.cumsum(flat[n + 1 : 2 * n + 1]).tolist(), flat[2 * n + 1 :].tolist()
-    start = 0
-    for i, e in zip(number, end, strict=True):
-        yield i, ids[start:e]
-        start = e
-
-
-def part_ids(part: str, known: dict[str, list[int]], t: PieceTable) -> list[int]:
-    """Ids of a word: as the fold gave them; of a long one by the heap; else by character."""
-    if part in known:
-        return known[part]
-    return encode_word(part, t) if len(part) > FOLD_CHARS else [i for c in part for i in t.piece_ids(c)]
+    return np.cumsum(flat[1 : n + 1]), flat[n + 1 : 2 * n + 1].astype(np.int64), flat[2 * n + 1 :]
 
 
 def encode(docs: DataFrame, t: PieceTable, block_bytes: int = BLOCK) -> DataFrame:
@@ -240,14 +331,17 @@ def encode(docs: DataFrame, t: PieceTable, block_bytes: int = BLOCK) -> DataFram
     docs = pick(docs, doc_id="long", text="string")
     pieces = docs.sparkSession.sparkContext.broadcast(t)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each word to be encoded, and one with what is left of the block."""
         for block in blocks_of(batches, block_bytes):
-            some = short_words(block, pieces.value)
-            yield pa.RecordBatch.from_arrays([pa.array([block_key(block)]), pa.array([some], pa.list_(pa.string()))], ["block", "words"])
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks_of(batches, block_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array([block_key(block)]), pa.array([pack(block)], pa.binary())], ["block", "payload"])
+            of = block_key(block)
+            words, payload = cut_block(block, pieces.value)
+            asked = [(w, i) for i, w in enumerate(words) if 1 < len(w) <= FOLD_CHARS]
+            n = len(asked)
+            cols = [pa.array([w for w, _ in asked] + [BLOCK_MARK + str(of)]), pa.array([of] * (n + 1), pa.int64()), pa.array([i for _, i in asked] + [None], pa.int32()), pa.array([None] * n + [payload], pa.binary())]
+            whole = pa.RecordBatch.from_arrays(cols, ["word", "block", "number", "payload"])
+            for i in range(0, n + 1, 50_000):
+                yield whole.slice(i, 50_000)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's answers for each block in one compressed binary; rows of a word follow each other."""
@@ -261,7 +355,7 @@ def encode(docs: DataFrame, t: PieceTable, block_bytes: int = BLOCK) -> DataFram
             block, number = block[by], number[by].astype(np.int32)
             edge = [*np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)]
             packed = [pack_ids(number[i:j], ids.take(pa.array(by[i:j]))) for i, j in itertools.pairwise(edge)]
-            return pa.RecordBatch.from_arrays([pa.array(block[edge[:-1]]), pa.array(packed, pa.binary())], ["of", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array([BLOCK_MARK + str(x) for x in block[edge[:-1]]]), pa.array(packed, pa.binary())], ["of", "packed"])
 
         for b in batches:
             word = b.column("word").dictionary_encode()
@@ -275,35 +369,20 @@ def encode(docs: DataFrame, t: PieceTable, block_bytes: int = BLOCK) -> DataFram
         if sum(len(x[0]) for x in held):
             yield flush()
 
-    each = docs.mapInArrow(words, "block long, words array<string>").select("block", F.posexplode("words").alias("number", "word")).repartition("word")
-    # all columns are used on this branch too, so that both read one exchange
-    distinct = each.groupBy("word").agg(F.min("block").alias("b"), F.min("number").alias("n")).where("b is not null and n is not null")
-    known = each.join(cut_words(distinct.select("word"), t), "word").select("block", "number", "word", "cut").mapInArrow(gather, "of long, packed binary")
+    # words and blocks go through one exchange, which three branches read: each uses all columns and
+    # none has a filter of its own that can be pushed below, so that the texts are cut once
+    rows = docs.mapInArrow(cut, "word string, block long, number int, payload binary").repartition("word").where("word is not null")
+    distinct = rows.groupBy("word").agg(F.count("payload").alias("p"), F.min("block").alias("b"), F.min("number").alias("n")).where("p = 0 and b is not null and n is not null")
+    known = rows.join(cut_words(distinct.select("word"), t), "word").select("block", "number", "word", "cut", F.length("payload").alias("none"))
+    known = known.mapInArrow(gather, "of string, packed binary")
+    blocks = rows.where("payload is not null or monotonically_increasing_id() < 0")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, docs_, ids, same = pieces.value, [], [], []
-        for payload in left.column("payload").to_pylist():
-            own_ids, own_texts = unpack(payload)
-            order = short_words(pa.table({"text": pa.array(own_texts, pa.string())}), table)
-            known_ids = {order[i]: x for p in right.column("packed").to_pylist() for i, x in unpack_ids(p)}
-            for i, x in zip(own_ids, own_texts, strict=True):
-                docs_.append(i)
-                if x is None:
-                    ids.append(None)
-                    same.append(None)
-                    continue
-                own: list[int] = []
-                for w in coarse_words(x):
-                    got = known_ids.get(w)
-                    if got is None:  # not a word of its own
-                        got = known_ids[w] = [i for p in table.parts(w) for i in part_ids(p, known_ids, table)]
-                    own += got
-                ids.append(np.array(own, np.int32))
-                same.append(decode_ids(own, table) == x.replace(MARK, " "))
-        return pa.Table.from_arrays([pa.array(docs_, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
-
-    packed = docs.mapInArrow(texts, "block long, payload binary")
-    return packed.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(finish, "doc_id long, ids array<int>, round_trip boolean")
+        raw = pa.array([x.replace(MARK.encode(), b" ") for x in pieces.value.raw], pa.large_binary())
+        answers = right.column("packed").to_pylist()
+        return pa.concat_tables([EMPTY, *[put_together(x, answers, pieces.value, raw) for x in left.column("payload").to_pylist()]])
+
+    return blocks.groupBy("word").cogroup(known.groupBy("of")).applyInArrow(finish, "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode_ids(ids: list[int] | None, t: PieceTable) -> str | None:

@@ -350,6 +350,33 @@ def test_pieces_equal_the_library_and_round_trip(spark, odd):
         assert out[i].text == (None if t is None else t.replace("▁", " "))
 
 
+def test_a_lost_answer_changes_no_ids():
+    """A block put together without any answer, with some, and with all."""
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in awkward()] + ["language, languages and 3 language", "a  b\n\n c", "x\0y z"]
+    block = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    words, payload = pieces.cut_block(block, TABLE)
+    raw = pa.array([x.replace("▁".encode(), b" ") for x in TABLE.raw], pa.large_binary())
+    at = np.array([i for i, w in enumerate(words) if 1 < len(w) <= pieces.FOLD_CHARS][::2], np.int32)
+    some = pieces.pack_ids(at, pa.array([pieces.encode_word(words[i], TABLE) for i in at], pa.list_(pa.int32())))
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=model_file())
+    for answers in ([], [some], [some, some]):
+        got = {r["doc_id"]: r for r in pieces.put_together(payload, answers, TABLE, raw).to_pylist()}
+        assert all(got[i]["ids"] == (None if t is None else sp.encode(t)) and got[i]["round_trip"] in (None, True) for i, t in enumerate(texts))
+
+
+def test_texts_are_cut_once(spark):
+    """Words and blocks go through one exchange, though three branches read it."""
+    d = spark.createDataFrame([(1, "some words"), (2, "more words")], "doc_id long, text string").repartition(2)
+    out = pieces.encode(d, TABLE)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") >= 2 and len(re.findall(r"MapInArrow cut\(", plan)) == 1
+
+
 def test_unigram_fold_is_the_best_path(spark):
     normal = {p: (i, s) for i, (p, s) in enumerate({"▁": -3, "a": -4, "b": -4, "c": -5, "ab": -5, "bc": -5.5, "abc": -9, "▁a": -4.5, "▁ab": -8}.items())}
     t = pieces.PieceTable(normal, [p.encode() for p in normal], [0] * 256, 0, False, False)
