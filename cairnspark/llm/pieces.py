@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .blocks import block_key, blocks_of
 from .common import pick
 
-MARK, FOLD_CHARS, BLOCK = "▁", 60, 24_000_000
+MARK, FOLD_CHARS, BLOCK = "▁", 60, 16_000_000
 #: Begins the key of a row that is a block's, not a word's.
 BLOCK_MARK = "\0block "
 COARSE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -140,7 +140,7 @@ def coarse_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return tokens.dictionary_encode(), sizes, np.concatenate([first, rest])
 
 
-def cut_block(block: pa.Table, t: PieceTable) -> tuple[list[str], bytes]:
+def cut_block(block: pa.Table, t: PieceTable) -> tuple[pa.Array, bytes]:
     """A block's distinct words, and all that is needed to put its ids together: the
     documents, their tokens by number, what each is cut into, and hashes of the texts."""
     texts = block.column("text").combine_chunks()
@@ -157,13 +157,14 @@ def cut_block(block: pa.Table, t: PieceTable) -> tuple[list[str], bytes]:
     said = [None if x is None else xxhash.xxh3_128_digest(x.replace(MARK, " ").encode("utf-8", "surrogatepass")) for x in texts.take(order).to_pylist()]
     one = {
         "doc_id": block.column("doc_id").combine_chunks().take(pa.array(order)), "size": pa.array(sizes, pa.int32()), "said": pa.array(said, pa.binary(16)),
-        "tokens": planes(tokens.indices.to_numpy()), "counts": planes(counts), "parts": planes(parts), "words": pa.array([*number], pa.string()),
+        "tokens": planes(tokens.indices.to_numpy()), "counts": planes(counts), "parts": planes(parts), "words": pa.array(number.keys(), pa.string()),
     }
+    words = one["words"]
     one = pa.table({k: pa.LargeListArray.from_arrays([0, len(v)], v) for k, v in one.items()})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
         w.write_table(one)
-    return [*number], sink.getvalue().to_pybytes()
+    return words, sink.getvalue().to_pybytes()
 
 
 def planes(values) -> pa.Array:
@@ -336,9 +337,16 @@ def encode(docs: DataFrame, t: PieceTable, block_bytes: int = BLOCK) -> DataFram
         for block in blocks_of(batches, block_bytes):
             of = block_key(block)
             words, payload = cut_block(block, pieces.value)
-            asked = [(w, i) for i, w in enumerate(words) if 1 < len(w) <= FOLD_CHARS]
+            del block
+            length = pc.utf8_length(words)
+            asked = np.flatnonzero(pc.and_(pc.greater(length, 1), pc.less_equal(length, FOLD_CHARS)).to_numpy(zero_copy_only=False))
             n = len(asked)
-            cols = [pa.array([w for w, _ in asked] + [BLOCK_MARK + str(of)]), pa.array([of] * (n + 1), pa.int64()), pa.array([i for _, i in asked] + [None], pa.int32()), pa.array([None] * n + [payload], pa.binary())]
+            cols = [
+                pa.concat_arrays([words.take(pa.array(asked)), pa.array([BLOCK_MARK + str(of)])]), pa.array(np.full(n + 1, of, np.int64)),
+                pa.array(np.append(asked, 0), pa.int32(), mask=np.arange(n + 1) == n), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([payload], pa.binary())]),
+            ]
+            del words, payload, length, asked
+            pa.default_memory_pool().release_unused()
             whole = pa.RecordBatch.from_arrays(cols, ["word", "block", "number", "payload"])
             for i in range(0, n + 1, 50_000):
                 yield whole.slice(i, 50_000)

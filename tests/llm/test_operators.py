@@ -357,6 +357,7 @@ def test_a_lost_answer_changes_no_ids():
     texts = [t for _, t, *_ in awkward()] + ["language, languages and 3 language", "a  b\n\n c", "x\0y z"]
     block = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
     words, payload = pieces.cut_block(block, TABLE)
+    words = words.to_pylist()
     raw = pa.array([x.replace("▁".encode(), b" ") for x in TABLE.raw], pa.large_binary())
     at = np.array([i for i, w in enumerate(words) if 1 < len(w) <= pieces.FOLD_CHARS][::2], np.int32)
     some = pieces.pack_ids(at, pa.array([pieces.encode_word(words[i], TABLE) for i in at], pa.list_(pa.int32())))
