@@ -8,7 +8,6 @@ together again.  A task holds one block at a time.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,16 +36,6 @@ def blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
         yield pa.Table.from_batches(held)
 
 
-def block_key(block: pa.Table) -> int:
-    """A key made from the block's content alone, so that a second evaluation finds it again."""
-    h = hashlib.md5(usedforsecurity=False)
-    for i, t in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
-        raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
-        h.update(f"{i},{t is None},{len(raw)}:".encode())
-        h.update(raw)
-    return int.from_bytes(h.digest()[:8], "little", signed=True)
-
-
 def pack(block: pa.Table, level: int = 7) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as w:

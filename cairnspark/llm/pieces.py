@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,10 +44,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_key, blocks_of
+from .blocks import blocks_of
 from .common import pick
 
-MARK, FOLD_CHARS, BLOCK = "▁", 60, 16_000_000
+MARK, FOLD_CHARS = "▁", 60
+#: Texts are cut in chunks; a block is so many chunks, or fewer if they have so many different words.
+CHUNK, CHUNKS, MOST_WORDS = 6_000_000, 10, 600_000
 #: Begins the key of a row that is a block's, not a word's.
 BLOCK_MARK = "\0block "
 COARSE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -140,31 +143,66 @@ def coarse_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return tokens.dictionary_encode(), sizes, np.concatenate([first, rest])
 
 
-def cut_block(block: pa.Table, t: PieceTable) -> tuple[pa.Array, bytes]:
-    """A block's distinct words, and all that is needed to put its ids together: the
-    documents, their tokens by number, what each is cut into, and hashes of the texts."""
-    texts = block.column("text").combine_chunks()
-    tokens, sizes, order = coarse_tokens(texts)
-    number: dict[str, int] = {}
-    counts, parts = [], []
-    for w in pc.replace_substring(tokens.dictionary, " ", MARK).to_pylist():
-        own = t.parts(w)
-        counts.append(len(own))
-        for p in own:
-            new = len(number)
-            i = number.setdefault(p, new)
-            parts.append(0 if i == new else i + 1)
-    said = [None if x is None else xxhash.xxh3_128_digest(x.replace(MARK, " ").encode("utf-8", "surrogatepass")) for x in texts.take(order).to_pylist()]
-    one = {
-        "doc_id": block.column("doc_id").combine_chunks().take(pa.array(order)), "size": pa.array(sizes, pa.int32()), "said": pa.array(said, pa.binary(16)),
-        "tokens": planes(tokens.indices.to_numpy()), "counts": planes(counts), "parts": planes(parts), "words": pa.array(number.keys(), pa.string()),
-    }
-    words = one["words"]
-    one = pa.table({k: pa.LargeListArray.from_arrays([0, len(v)], v) for k, v in one.items()})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
-        w.write_table(one)
-    return words, sink.getvalue().to_pybytes()
+class WordBlock:
+    """Documents as numbers of their words: first of coarse ones, and what those are cut into."""
+
+    def __init__(self, t: PieceTable):
+        self.t = t
+        self.coarse: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.counts, self.parts = array("i"), array("i")
+        self.doc_id: list[pa.Array] = []
+        self.size: list[np.ndarray] = []
+        self.tokens: list[np.ndarray] = []
+        self.said: list[bytes | None] = []
+
+    def add(self, block: pa.Table) -> None:
+        texts = block.column("text").combine_chunks()
+        tokens, sizes, order = coarse_tokens(texts)
+        coarse, words, counts, parts, cut = self.coarse, self.words, self.counts, self.parts, self.t.parts
+        at = []
+        for w in pc.replace_substring(tokens.dictionary, " ", MARK).to_pylist():
+            new = len(coarse)
+            k = coarse.setdefault(w, new)
+            at.append(k)
+            if k == new:
+                own = cut(w)
+                counts.append(len(own))
+                for p in own:
+                    new = len(words)
+                    i = words.setdefault(p, new)
+                    parts.append(0 if i == new else i + 1)  # 0: the next new one
+        at = np.array(at, np.int32)
+        self.tokens.append(at[tokens.indices.to_numpy()])
+        self.size.append(sizes)
+        self.doc_id.append(block.column("doc_id").combine_chunks().take(pa.array(order)))
+        self.said += [None if x is None else xxhash.xxh3_128_digest(x.replace(MARK, " ").encode("utf-8", "surrogatepass")) for x in texts.take(order).to_pylist()]
+
+    def pack(self) -> tuple[pa.Array, bytes]:
+        """The distinct words, and all that is needed to put the ids together."""
+        words = pa.array(self.words.keys(), pa.string())
+        one = {
+            "doc_id": pa.concat_arrays(self.doc_id), "size": pa.array(np.concatenate(self.size), pa.int32()), "said": pa.array(self.said, pa.binary(16)),
+            "tokens": planes(np.concatenate(self.tokens)), "counts": planes(self.counts), "parts": planes(self.parts), "words": words,
+        }
+        one = pa.table({k: pa.LargeListArray.from_arrays([0, len(v)], v) for k, v in one.items()})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
+            w.write_table(one)
+        return words, sink.getvalue().to_pybytes()
+
+
+def word_blocks(batches: Iterator[pa.RecordBatch], t: PieceTable, chunk_bytes: int, chunks: int, most_words: int) -> Iterator[tuple[pa.Array, bytes]]:
+    """Packed blocks of up to ``chunks`` chunks, or until there are ``most_words`` coarse words."""
+    held, n = WordBlock(t), 0
+    for chunk in blocks_of(batches, chunk_bytes):
+        held.add(chunk)
+        n += 1
+        if n >= chunks or len(held.coarse) >= most_words:
+            yield held.pack()
+            held, n = WordBlock(t), 0
+    if n:
+        yield held.pack()
 
 
 def planes(values) -> pa.Array:
@@ -172,8 +210,8 @@ def planes(values) -> pa.Array:
     return pa.array(np.ascontiguousarray(np.asarray(values, np.int32).view(np.uint8).reshape(-1, 4).T).ravel())
 
 
-def from_planes(values: pa.Array) -> np.ndarray:
-    return np.ascontiguousarray(values.to_numpy().reshape(4, -1).T).view(np.int32).ravel().astype(np.int64)
+def from_planes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.reshape(4, -1).T).view(np.int32).ravel().astype(np.int64)
 
 
 def take_lists(offsets: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +243,11 @@ def put_together(payload: bytes, answers: list[bytes], t: PieceTable, raw: pa.Ar
     offsets = np.append(0, np.cumsum(np.concatenate([size, np.array([len(x) for x in known], np.int64)])))
     flat = np.concatenate([flat, np.array([i for x in known for i in x], np.int32)])
     # ids of words, of coarse words, of texts
-    parts = from_planes(one["parts"])
+    parts = from_planes(one["parts"].to_numpy())
     parts = np.where(parts == 0, np.cumsum(parts == 0) - 1, parts - 1)
     by_part, flat = take_lists(offsets, flat, at[parts])
-    offsets = by_part[np.append(0, np.cumsum(from_planes(one["counts"])))]
-    by_token, flat = take_lists(offsets, flat, from_planes(one["tokens"]))
+    offsets = by_part[np.append(0, np.cumsum(from_planes(one["counts"].to_numpy())))]
+    by_token, flat = take_lists(offsets, flat, from_planes(one["tokens"].to_numpy()))
     edge = by_token[np.append(0, np.cumsum(one["size"].to_numpy().astype(np.int64)))]
     null = one["said"].is_null().to_numpy(zero_copy_only=False)
     ids = pa.ListArray.from_arrays(pa.array(edge, pa.int32(), mask=np.append(null, False)), pa.array(flat))
@@ -317,33 +355,34 @@ def pack_ids(number: np.ndarray, ids: pa.ListArray) -> bytes:
     lengths = np.diff(ids.offsets.to_numpy()).astype(np.int32)
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
     head = np.array([len(number)], np.int32)
-    return zstandard.compress(b"".join(x.tobytes() for x in (head, np.diff(number, prepend=np.int32(0)).astype(np.int32), lengths, flat)), 5)
+    cols = [planes(x).to_numpy().tobytes() for x in (np.diff(number, prepend=np.int32(0)), lengths, flat)]
+    return zstandard.compress(head.tobytes() + b"".join(cols), 5)
 
 
 def unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of words, how many ids each has, and the ids."""
-    flat = np.frombuffer(zstandard.decompress(packed), np.int32)
-    n = int(flat[0])
-    return np.cumsum(flat[1 : n + 1]), flat[n + 1 : 2 * n + 1].astype(np.int64), flat[2 * n + 1 :]
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    n = int(raw[:4].view(np.int32)[0])
+    step, size, flat = (from_planes(x) for x in np.split(raw[4:], [4 * n, 8 * n]))
+    return np.cumsum(step), size, flat.astype(np.int32)
 
 
-def encode(docs: DataFrame, t: PieceTable, block_bytes: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, t: PieceTable, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, ids, round_trip: whether the ids decode to the text (a mark in it as a space)."""
     docs = pick(docs, doc_id="long", text="string")
     pieces = docs.sparkSession.sparkContext.broadcast(t)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each word to be encoded, and one with what is left of the block."""
-        for block in blocks_of(batches, block_bytes):
-            of = block_key(block)
-            words, payload = cut_block(block, pieces.value)
-            del block
+        for words, payload in word_blocks(batches, pieces.value, chunk_bytes, CHUNKS, MOST_WORDS):
+            of = int(np.uint64(xxhash.xxh3_64_intdigest(payload)).view(np.int64))
             length = pc.utf8_length(words)
             asked = np.flatnonzero(pc.and_(pc.greater(length, 1), pc.less_equal(length, FOLD_CHARS)).to_numpy(zero_copy_only=False))
             n = len(asked)
+            last = np.arange(n + 1) == n
             cols = [
                 pa.concat_arrays([words.take(pa.array(asked)), pa.array([BLOCK_MARK + str(of)])]), pa.array(np.full(n + 1, of, np.int64)),
-                pa.array(np.append(asked, 0), pa.int32(), mask=np.arange(n + 1) == n), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([payload], pa.binary())]),
+                pa.array(np.append(asked, 0), pa.int32(), mask=last), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([payload], pa.binary())]),
             ]
             del words, payload, length, asked
             pa.default_memory_pool().release_unused()

@@ -344,7 +344,7 @@ def test_pieces_equal_the_library_and_round_trip(spark, odd):
     rng = random.Random(8)
     texts = [t for _, t, *_ in awkward()] + ["  two  spaces\n\n tab\t", "a▁b", "don't (stop) x². 3½ <s> </s>", "".join(chr(rng.choice([97, 98, 32, 10, 233, 8364, 128512, 20013, 0x85])) for _ in range(800)), "ab" * 70 + " end"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = {r.doc_id: r for r in pieces.decode(pieces.encode(df, TABLE, block_bytes=4000), TABLE).collect()}
+    out = {r.doc_id: r for r in pieces.decode(pieces.encode(df, TABLE, chunk_bytes=4000), TABLE).collect()}
     for i, t in enumerate(texts):
         assert out[i].ids == (None if t is None else sp.encode(t))
         assert out[i].text == (None if t is None else t.replace("▁", " "))
@@ -356,7 +356,7 @@ def test_a_lost_answer_changes_no_ids():
 
     texts = [t for _, t, *_ in awkward()] + ["language, languages and 3 language", "a  b\n\n c", "x\0y z"]
     block = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
-    words, payload = pieces.cut_block(block, TABLE)
+    [(words, payload)] = pieces.word_blocks(iter(block.to_batches(max_chunksize=4)), TABLE, 1000, 100, 10**6)
     words = words.to_pylist()
     raw = pa.array([x.replace("▁".encode(), b" ") for x in TABLE.raw], pa.large_binary())
     at = np.array([i for i, w in enumerate(words) if 1 < len(w) <= pieces.FOLD_CHARS][::2], np.int32)
