@@ -49,7 +49,7 @@ from .common import pick
 
 MARK, FOLD_CHARS = "▁", 60
 #: Texts are cut in chunks; a block is so many chunks, or fewer if they have so many different words.
-CHUNK, CHUNKS, MOST_WORDS = 6_000_000, 10, 600_000
+CHUNK, CHUNKS, MOST_WORDS = 3_000_000, 20, 600_000
 #: Begins the key of a row that is a block's, not a word's.
 BLOCK_MARK = "\0block "
 COARSE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -197,6 +197,8 @@ def word_blocks(batches: Iterator[pa.RecordBatch], t: PieceTable, chunk_bytes: i
     held, n = WordBlock(t), 0
     for chunk in blocks_of(batches, chunk_bytes):
         held.add(chunk)
+        del chunk
+        pa.default_memory_pool().release_unused()
         n += 1
         if n >= chunks or len(held.coarse) >= most_words:
             yield held.pack()
