@@ -11,10 +11,13 @@ value a band (the minimum and maximum under one permutation and the minimum
 under another): at Jaccard 0.75 a pair shares a band with probability 0.98, equal
 paragraphs always do.  Colliding classes are compared on exact Jaccard
 (neardup.link_buckets), and components of classes that reach two documents are
-repeats.  Each document's neighbouring repeats form a passage.  Its outermost
+repeats.  Each document's neighbouring repeats form a run.  Its outermost
 paragraphs that are also in the component's smallest doc_id (there, the first
-such) grow outwards in both documents as long as their words are equal.  Passages of ``MIN_WORDS`` or more are reported, and removed in all but
-the smallest doc_id.
+such) grow outwards in both documents, up to the document's next run: over equal
+words, and over an edit of up to ``EDIT`` words that ``SHINGLE`` equal words follow.
+Runs of one home that are at most ``SHINGLE`` words apart are one passage.
+Passages of ``MIN_WORDS`` or more are reported, and removed in all but the
+smallest doc_id.
 
 Edge cases.  Texts of fewer than five words, null and empty ones, and null
 doc_ids take no part.  Rows of one doc_id are one document, which repeats
@@ -23,6 +26,7 @@ nothing of itself.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +38,13 @@ from pyspark.sql import functions as F
 from .common import materialize, pick
 from .neardup import FLIP, MULT, SHINGLE, SIMILARITY, link_buckets, mixed, shingles, word_hashes
 
-REACH, MIN_WORDS = 6, 15
+REACH, MIN_WORDS, EDIT = 6, 25, 3
 KEYS = ("k0", "k1", "k2")
-#: Words that a passage may grow by in a round; rounds go on until none grows so far.
-GROW = 32
+#: Words by which a passage may grow in the first round; those that do so go on with FASTER times as many.
+GROW, FASTER = 48, 4
+FAR = (1 << 31) - 1
+#: Words to skip in both documents at an edit, the fewest first.
+SKIPS = sorted(((i, j) for i in range(EDIT + 1) for j in range(EDIT + 1) if i + j), key=lambda x: (max(x), sum(x), x))
 
 
 def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -140,13 +147,17 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int
         *[F.max_by(F.struct("first", "words", "class", "component", "same"), F.struct(F.col("same").isNotNull(), F.col("at") * side)).alias(name) for name, side in (("left", -1), ("right", 1))],
     )
     runs = materialize(runs)
-    ends = runs.select("doc_id", "home", F.inline(F.array(F.struct(F.lit(-1).alias("side"), F.col("left").alias("own")), F.struct(F.lit(1).alias("side"), F.col("right").alias("own")))))
-    grown = _grown(ends.where("doc_id != home"), hits.where("doc_id = home"), texts)
+    # up to the document's next run on either side
+    near = W.partitionBy("doc_id").orderBy("a", "b")
+    runs = runs.withColumn("before", F.max("b").over(near.rowsBetween(W.unboundedPreceding, -1))).withColumn("after", F.lead("a").over(near))
+    room = lambda side: F.coalesce(F.col("a") - F.col("before"), F.lit(FAR)) if side < 0 else F.coalesce(F.col("after") - F.col("b"), F.lit(FAR))
+    ends = runs.select("doc_id", "home", F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.col(name).alias("own"), room(side).alias("room")) for name, side in (("left", -1), ("right", 1))])))
+    grown = _grown(ends.where("doc_id != home and room > 0"), hits.where("doc_id = home"), texts)
     span = lambda c, n: (F.when(F.col("side") < 0, F.col(f"{c}.first") - n).otherwise(F.col(f"{c}.first")).alias("a"), (F.col(f"{c}.first") + F.col(f"{c}.words") + F.when(F.col("side") > 0, n).otherwise(0)).alias("b"))
     spans = runs.select("doc_id", "home", "a", "b")
-    spans = spans.unionByName(grown.select("doc_id", "home", *span("own", F.col("n")))).unionByName(grown.select(F.col("home").alias("doc_id"), "home", *span("there", F.col("n"))))
+    spans = spans.unionByName(grown.select("doc_id", "home", *span("own", F.col("n")))).unionByName(grown.select(F.col("home").alias("doc_id"), "home", *span("there", F.col("m"))))
     spans = spans.groupBy("doc_id", "home", "a").agg(F.max("b").alias("b"))
-    spans = _joined(spans, "doc_id", "home").groupBy("doc_id", "home", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+    spans = _joined(spans, "doc_id", "home", gap=SHINGLE).groupBy("doc_id", "home", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
     whole = W.partitionBy("doc_id", "island")
     spans = _joined(spans, "doc_id").withColumn("all", F.max("b").over(whole) - F.min("a").over(whole)).where(F.col("all") >= min_words)
     return spans.select(
@@ -154,57 +165,92 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int
     )
 
 
-def _joined(spans: DataFrame, *keys: str) -> DataFrame:
-    """``spans`` and ``island``: which of a key's spans, from a to before b, touch or overlap."""
+def _joined(spans: DataFrame, *keys: str, gap: int = 0) -> DataFrame:
+    """``spans`` and ``island``: which of a key's spans, from a to before b, overlap or are at most ``gap`` words apart."""
     w = W.partitionBy(*keys).orderBy("a", "b")
     far = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
-    spans = spans.withColumn("opens", F.coalesce((F.col("a") > far).cast("int"), F.lit(1)))
+    spans = spans.withColumn("opens", F.coalesce((F.col("a") > far + gap).cast("int"), F.lit(1)))
     return spans.withColumn("island", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("opens")
 
 
+def advance(x: np.ndarray, y: np.ndarray, more_x: bool, more_y: bool) -> tuple[int, int, bool]:
+    """How many words of x and of y follow each other in both, over edits, and
+    whether it may go on: more of a text follows and decides."""
+    i = j = 0
+    while True:
+        k = min(len(x) - i, len(y) - j)
+        apart = np.flatnonzero(x[i : i + k] != y[j : j + k])
+        e = int(apart[0]) if len(apart) else k
+        i, j = i + e, j + e
+        if e == k:
+            return i, j, (more_x or i < len(x)) and (more_y or j < len(y))
+        for p, q in SKIPS:
+            if min(len(x) - i - p, len(y) - j - q) >= SHINGLE and np.array_equal(x[i + p : i + p + SHINGLE], y[j + q : j + q + SHINGLE]):
+                i, j = i + p, j + q
+                break
+        else:
+            return i, j, (more_x and len(x) - i < SHINGLE + EDIT) or (more_y and len(y) - j < SHINGLE + EDIT)
+
+
+PLACE = ("d", "s", "f", "w", "c", "o")
+
+
 def _grown(ends: DataFrame, homes: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, home, side, own, there, n of (doc_id, home, side, own): the home's
-    paragraph of the same class, or else component, and by how many equal words both grow to the side."""
+    """doc_id, home, side, own, there, n, m of (doc_id, home, side, own, room): the home's
+    paragraph of the same class, or else component, and the words by which both grow to the side."""
     p = F.struct("first", "words", "class")
     like = homes.groupBy("component").agg(F.min(p).alias("like"))
-    pairs = ends.select("doc_id", "home", "side", F.struct("own.first", "own.words", "own.class").alias("own"), F.col("own.same").alias("same"), F.col("own.component").alias("component"))
+    pairs = ends.select("doc_id", "home", "side", "room", F.struct("own.first", "own.words", "own.class").alias("own"), F.col("own.same").alias("same"), F.col("own.component").alias("component"))
     pairs = pairs.join(like, "component")
-    pairs = materialize(pairs.select("doc_id", "home", "side", "own", F.coalesce("same", "like").alias("there"), F.lit(0).alias("n")))
-    done = None
-    open_, k = pairs, 0
+    open_ = materialize(pairs.select("doc_id", "home", "side", "room", "own", F.coalesce("same", "like").alias("there"), F.lit(0).alias("n"), F.lit(0).alias("m")))
+    done, size = None, GROW
     while done is None or not open_.isEmpty():
-        asked = open_.select("doc_id", "side", F.col("own").alias("p")).unionByName(open_.select(F.col("home").alias("doc_id"), "side", F.col("there").alias("p"))).distinct()
-        asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("side", "p.first", "p.words", "p.class")).alias("parts"))
-        near = texts.join(asked, "doc_id").select("doc_id", "parts", "text").mapInArrow(_neighbours(k), "d long, s int, f int, w int, c long, near array<long>")
-        near = materialize(near.groupBy("d", "s", "f", "w", "c").agg(F.max("near").alias("near")))
-        at = lambda t, d, p: (F.col(d) == t["d"]) & (F.col("side") == t["s"]) & (F.col(f"{p}.first") == t["f"]) & (F.col(f"{p}.words") == t["w"]) & (F.col(f"{p}.class") == t["c"])
-        mine = open_.join(near, at(near, "doc_id", "own")).select("doc_id", "home", "side", "own", "there", "n", F.col("near").alias("mine"))
-        met = mine.join(near, at(near, "home", "there"))
-        equal = F.zip_with("mine", "near", lambda x, y: F.coalesce(x == y, F.lit(False)))
-        first = F.array_position(equal, F.lit(False))
-        met = met.withColumn("more", F.when(first > 0, first - 1).otherwise(F.size(equal)).cast("int"))
-        met = materialize(met.select("doc_id", "home", "side", "own", "there", (F.col("n") + F.col("more")).alias("n"), (F.col("more") == GROW).alias("on")))
+        place = lambda doc, c, o: [F.col(x).alias(y) for x, y in zip((doc, "side", f"{c}.first", f"{c}.words", f"{c}.class", o), PLACE, strict=True)]
+        asked = open_.select(*place("doc_id", "own", "n")).unionByName(open_.select(*place("home", "there", "m"))).distinct()
+        asked = asked.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct(*PLACE[1:])).alias("parts"))
+        near = texts.join(asked, "doc_id").select("doc_id", "parts", "text").mapInArrow(_neighbours(size), "d long, s int, f int, w int, c long, o int, near array<long>")
+        near = materialize(near.groupBy(*PLACE).agg(F.max("near").alias("near")))
+        at = lambda t, *x: functools.reduce(lambda a, b: a & b, [c == t[k] for c, k in zip(x, PLACE, strict=True)])
+        of = lambda doc, c, o: [F.col(doc), F.col("side"), F.col(f"{c}.first"), F.col(f"{c}.words"), F.col(f"{c}.class"), F.col(o)]
+        names = ["doc_id", "home", "side", "room", "own", "there", "n", "m"]
+        mine = open_.join(near, at(near, *of("doc_id", "own", "n"))).select(*names, F.slice("near", 1, F.greatest(F.lit(0), F.col("room") - F.col("n"))).alias("mine"))
+        met = mine.join(near, at(near, *of("home", "there", "m"))).select(*names, "mine", "near")
+        met = materialize(met.mapInArrow(_advanced(size), open_.select(*names).withColumn("on", F.lit(True)).schema))
         out = met.where("not on").drop("on")
         done = out if done is None else done.unionByName(out)
-        open_, k = met.where("on").drop("on"), k + 1
+        open_, size = met.where("on").drop("on"), size * FASTER
     return done
 
 
-def _neighbours(k: int):
+def _advanced(size: int):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One round of growth of (..., room, ..., n, m, mine, near)."""
+        for b in batches:
+            side = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (b.column("mine"), b.column("near"))]
+            (x, xo), (y, yo) = side
+            room, n, m = (b.column(c).to_numpy() for c in ("room", "n", "m"))
+            rows = [advance(x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]], xo[i + 1] - xo[i] == size and room[i] - n[i] > size, yo[i + 1] - yo[i] == size) for i in range(b.num_rows)]
+            i, j, on = (np.array([r[k] for r in rows], kind) for k, kind in ((0, np.int32), (1, np.int32), (2, bool)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(n + i), pa.array(m + j), pa.array(on)], [*b.schema.names[:6], "n", "m", "on"])
+
+    return step
+
+
+def _neighbours(size: int):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k-th GROW words to the side of each part, outwards, where the part is there in the text."""
+        """``size`` words to the side of each part, outwards from the o-th, where the part is there in the text."""
         for b in batches:
             rows = []
-            for i, parts, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "parts", "text")), strict=True):
+            for d, parts, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "parts", "text")), strict=True):
                 words = word_hashes(t)
                 for p in parts:
-                    side, first, n, kind = p["side"], p["first"], p["words"], p["class"]
-                    sh = shingles(words[first : first + n])
-                    if int(mixed(mixed(sh ^ FLIP[2]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) == kind:
-                        out = words[:first][::-1] if side < 0 else words[first + n :]
-                        rows.append((i, side, first, n, kind, out[k * GROW : (k + 1) * GROW].view(np.int64)))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], ["d", "s", "f", "w", "c", "near"])
+                    s, f, w, c, o = (p[k] for k in PLACE[1:])
+                    sh = shingles(words[f : f + w])
+                    if int(mixed(mixed(sh ^ FLIP[2]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) == c:
+                        out = words[max(0, f - o - size) : max(0, f - o)][::-1] if s < 0 else words[f + w + o : f + w + o + size]
+                        rows.append((d, s, f, w, c, o, out.view(np.int64)))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], [*PLACE, "near"])
 
     return near

@@ -534,6 +534,45 @@ def test_passages_reach_their_ends(spark):
         assert len(spans) == 1 and [home, removed] == rest and at - 3 <= first <= at and at + size <= first + n <= at + size + 3, (i, spans, want[i])
 
 
+def test_recall_of_words(spark):
+    """Of exact and edited passages (Jaccard 0.75 and above) in foreign texts, 0.9 of the words or more are reported, and few others."""
+    rng = random.Random(16)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for size, edits in ((51, 0), (60, 1), (100, 2), (300, 6)):
+        for _ in range(25):
+            first = say(size)
+            second = list(first)
+            for at in rng.sample(range(5, size - 5), edits):
+                match rng.randrange(3):
+                    case 0:
+                        second[at] = "edit"
+                    case 1:
+                        second.insert(at, "more")
+                    case _:
+                        del second[at]
+            for text in (first, second):
+                before = say(rng.randrange(20, 60))
+                want[len(rows)] = (size, len(before), len(before) + len(text))
+                rows.append((len(rows), " ".join(before + text + say(40))))
+    got = collections.defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    for size in (51, 60, 100, 300):
+        own = {i: set(range(a, b)) for i, (n, a, b) in want.items() if n == size}
+        total = sum(map(len, own.values()))
+        assert sum(len(got[i] & x) for i, x in own.items()) >= 0.9 * total and sum(len(got[i] - x) for i, x in own.items()) <= 0.05 * total
+
+
+def test_growth_over_edits():
+    x = np.arange(40, dtype=np.uint64)
+    gone, more, other = np.delete(x, [9, 10]), np.insert(x, 9, [99, 98]), np.where(x == 9, 99, x).astype(np.uint64)
+    assert passages.advance(x, x, False, False) == (40, 40, False) and passages.advance(x, x, True, True) == (40, 40, True)
+    assert passages.advance(x, gone, False, False)[:2] == (40, 38) and passages.advance(x, more, False, False)[:2] == (40, 42)
+    assert passages.advance(x, other, False, False)[:2] == (40, 40) and passages.advance(x, np.where(x % 4 == 3, 99, x).astype(np.uint64), False, False)[:2] == (3, 3)
+    assert passages.advance(x[:12], other, True, True) == (9, 9, True)
+
+
 # ---- 10
 
 
