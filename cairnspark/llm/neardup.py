@@ -19,8 +19,11 @@ graph.py.
 
 Edge cases.  A text without words, or null, has an empty set and links with
 nothing.  One with fewer than five words has one shingle, all its words.  A null
-doc_id links with nothing: component_id is null and the row is kept.  Repeated
-rows of one document are one document.  An empty table gives an empty result.
+doc_id links with nothing: component_id is null and the row is kept.  Rows of one
+doc_id are one document: with several texts it is linked through each of them.
+near_duplicates gives each row, without_duplicates one row a kept document.
+Column names may differ in case; extra columns do no harm.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -53,10 +56,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random value for each byte (none for white space), and the powers of an odd multiplier by place.
+BYTE = _odd(256)
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+BYTE[SPACE] = 0
+TEXT_SLICE, LONG_WORD = 4_000_000, 65_536
+POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(LONG_WORD - 1, _odd(1)[0])]))
+
+
+def _slice_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lower-cased bytes (the sum of BYTE * POWER over a word), and where they start."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[raw], [True]])))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64), start
+    own = raw[start[0] :]
+    place = np.arange(len(own)) - np.repeat(start - start[0], np.diff(np.append(start, len(raw))))
+    out = np.add.reduceat(BYTE[own] * POWER[np.minimum(place, LONG_WORD - 1)], start - start[0])
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return mixed(out), start
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the lower-cased (A-Z) words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    """64-bit hashes of the lower-cased (A-Z) words; long texts are taken in slices that end at white space."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        end = at + TEXT_SLICE
+        while end < len(raw) and not SPACE[raw[end]]:
+            gap = np.flatnonzero(SPACE[raw[end : end + TEXT_SLICE]])
+            end += int(gap[0]) if len(gap) else TEXT_SLICE
+        out.append(_slice_hashes(raw[at:end])[0])
+        at = end
+    return np.concatenate(out)
+
+
+def words_of_texts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The hashes of the words of runs of texts: the run's first text, the hashes,
+    and where each text's begin, with the end."""
+    held: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if t is not None and len(t) > TEXT_SLICE // 4:
+            if held:
+                yield i - len(held), *_joined_hashes(held)
+                held, size = [], 0
+            own = word_hashes(t)
+            yield i, own, np.array([0, len(own)])
+            continue
+        held.append((t or "").encode("utf-8", "surrogatepass").lower())
+        size += len(held[-1])
+        if size >= TEXT_SLICE // 4:
+            yield i + 1 - len(held), *_joined_hashes(held)
+            held, size = [], 0
+    if held:
+        yield len(texts) - len(held), *_joined_hashes(held)
+
+
+def _joined_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    own, start = _slice_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    return own, np.searchsorted(start, begin)
 
 
 def shingles(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -88,8 +149,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     long = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64))
     for b in batches:
         size, one, two, bands = [], [], [], []
-        for t in b.column("text"):
-            own = np.unique(shingles(word_hashes(t.as_py())))
+        runs = words_of_texts(b.column("text").to_pylist())
+        for words in (x[e[k] : e[k + 1]] for _, x, e in runs for k in range(len(e) - 1)):
+            own = np.unique(shingles(words))
             size.append(len(own))
             one.append(mixed(own).sum(dtype=np.uint64))
             two.append(mixed(own ^ PLACE[0]).sum(dtype=np.uint64))
@@ -104,8 +166,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, items of (node, one, text), where the text is the one that the sketch saw."""
     for b in batches:
         nodes, items = [], []
-        for node, one, t in zip(b.column("node").to_pylist(), b.column("one").to_pylist(), b.column("text").to_pylist(), strict=True):
-            own = np.unique(shingles(word_hashes(t)))
+        runs = words_of_texts(b.column("text").to_pylist())
+        texts = (x[e[k] : e[k + 1]] for _, x, e in runs for k in range(len(e) - 1))
+        for node, one, words in zip(b.column("node").to_pylist(), b.column("one").to_pylist(), texts, strict=True):
+            own = np.unique(shingles(words))
             if int(mixed(own).sum(dtype=np.uint64, keepdims=True).view(np.int64)[0]) == one:
                 nodes.append(node)
                 items.append(own.view(np.int64))

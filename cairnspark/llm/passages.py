@@ -35,64 +35,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
-from .neardup import FLIP, MULT, SHINGLE, SIMILARITY, link_buckets, mixed, shingles, word_hashes
+from .common import join_few, materialize, pick
+from .neardup import FLIP, MULT, SHINGLE, SIMILARITY, link_buckets, mixed, shingles, words_of_texts
 
 REACH, MIN_WORDS, EDIT = 6, 25, 3
 KEYS = ("k0", "k1", "k2")
 #: Words by which a passage may grow in the first round; those that do so go on with FASTER times as many.
-GROW, FASTER = 48, 4
+GROW, FASTER = 48, 16
 FAR = (1 << 31) - 1
+#: Documents whose passages still grow after the first round: so many are broadcast (some 30 MB with their places).
+FEW_ENDS = 50_000
 #: Words to skip in both documents at an edit, the fewest first.
 SKIPS = sorted(((i, j) for i in range(EDIT + 1) for j in range(EDIT + 1) if i + j), key=lambda x: (max(x), sum(x), x))
 
 
-def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """First words of the paragraphs, and the number of words at the end."""
-    n = len(words)
-    if n < 2:
-        return np.array([0, n])
-    g = mixed(words[:-1] * MULT[0] + words[1:] * MULT[1])
-    top = ~np.uint64(0)
-    wide = np.concatenate([np.full(reach, top), g, np.full(reach, top)])
-    low = np.lib.stride_tricks.sliding_window_view(wide, reach).min(1)
-    before, after = low[: len(g)], low[reach + 1 : reach + 1 + len(g)]
-    # at the least hash; the first of equal ones
-    starts = np.flatnonzero((g < before) & (g <= after))
-    return np.concatenate([[0], starts[starts > 0], [n]])
-
-
-def paragraphs(words: np.ndarray) -> list[np.ndarray]:
-    """first word, words, class, and the band values of each paragraph of five words or more."""
-    edge = cuts(words)
-    first, size = edge[:-1], np.diff(edge)
-    sh = shingles(words)
-    end = np.repeat(edge[1:], size)[: len(sh)]
-    inside = np.arange(len(sh)) + SHINGLE <= end
-    at = first[first < len(sh)]
+def paragraphs(words: np.ndarray, edge: np.ndarray, reach: int = REACH) -> list[np.ndarray]:
+    """text, first word, words, class, and the band values of each paragraph of
+    five words or more, of texts whose words are words[edge[i]:edge[i+1]]."""
     top, none = ~np.uint64(0), np.uint64(0)
+    size = np.diff(edge)
+    # texts stand apart by more than the reach
+    begin = edge[:-1] + np.arange(len(size)) * (reach + SHINGLE)
+    place = np.arange(len(words)) + np.repeat(begin - edge[:-1], size)
+    w = np.zeros(len(words) + len(size) * (reach + SHINGLE) + 1, np.uint64)
+    w[place] = words
+    real = np.zeros(len(w), bool)
+    real[place] = True
+    g = np.where(real[:-1] & real[1:], mixed(w[:-1] * MULT[0] + w[1:] * MULT[1]), top)
+    low = np.concatenate([np.full(reach, top), g, np.full(reach, top)])
+    low = functools.reduce(np.minimum, [low[i : len(low) - reach + 1 + i] for i in range(reach)])
+    # a paragraph starts at the least hash, the first of equal ones
+    cut = (g < low[: len(g)]) & (g <= low[reach + 1 : reach + 1 + len(g)])
+    cut[begin[size > 0]] = True
+    first = np.flatnonzero(cut)
+    text = np.searchsorted(begin, first, "right") - 1
+    end = np.minimum(np.append(first[1:], len(w)), (begin + size)[text])
+    ok = end - first >= SHINGLE
+    first, end, text = first[ok], end[ok], text[ok]
+    if not len(first):
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 4
+    sh = shingles(w)
+    mark = np.zeros(len(sh) + 1, np.int8)
+    mark[first] += 1
+    mark[end - SHINGLE + 1] -= 1
+    inside = np.cumsum(mark[:-1], dtype=np.int8) > 0
     x, y = (sh ^ FLIP[0]) * MULT[2], (sh ^ FLIP[1]) * MULT[3]
-    low = np.minimum.reduceat(np.where(inside, x, top), at)
-    high = np.maximum.reduceat(np.where(inside, x, none), at)
-    other = np.minimum.reduceat(np.where(inside, y, top), at)
-    own = np.add.reduceat(np.where(inside, mixed(sh ^ FLIP[2]), none), at)
-    ok = size[: len(at)] >= SHINGLE
-    return [v[ok] for v in (at, size[: len(at)], mixed(own), low, high ^ FLIP[3], other ^ FLIP[4])]
+    least = np.minimum.reduceat(np.where(inside, x, top), first)
+    most = np.maximum.reduceat(np.where(inside, x, none), first)
+    other = np.minimum.reduceat(np.where(inside, y, top), first)
+    own = np.add.reduceat(np.where(inside, mixed(sh ^ FLIP[2]), none), first)
+    return [text, first - begin[text], end - first, mixed(own), least, most ^ FLIP[3], other ^ FLIP[4]]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, parts = [], []
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = word_hashes(t)
-            if len(words) >= SHINGLE:
-                got = paragraphs(words)
-                ids.append(np.full(len(got[0]), i, np.int64))
-                parts.append([np.arange(len(got[0])), *got])
-        if parts:
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            arrays = [pa.array(np.concatenate(ids)), *[pa.array(c.astype(np.int32)) for c in cols[:3]], *[pa.array(c.view(np.int64)) for c in cols[3:]]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "at", "first", "words", "class", *KEYS])
+        ids = b.column("doc_id").to_numpy()
+        for i, words, edge in words_of_texts(b.column("text").to_pylist()):
+            text, first, size, *values = paragraphs(words, edge)
+            at = np.arange(len(text)) - np.searchsorted(text, text)
+            arrays = [pa.array(ids[i + text]), *[pa.array(c.astype(np.int32)) for c in (at, first, size)], *[pa.array(c.view(np.int64)) for c in values]]
+            whole = pa.RecordBatch.from_arrays(arrays, ["doc_id", "at", "first", "words", "class", *KEYS])
+            for k in range(0, len(text), 50_000):
+                yield whole.slice(k, 50_000)
+
+
+def ragged(start: np.ndarray, size: np.ndarray, step: int | np.ndarray = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and numbers of the runs start, start + step, ... of these sizes."""
+    edge = np.append(0, np.cumsum(size))
+    return edge, np.repeat(start, size) + step * (np.arange(edge[-1]) - np.repeat(edge[:-1], size))
+
+
+class Parts:
+    """Paragraphs (struct column ``parts``) of a batch's texts: those that are there in the text."""
+
+    def __init__(self, column: pa.Array, lo: int, words: np.ndarray, edge: np.ndarray):
+        own = column.slice(lo, len(edge) - 1)
+        flat = own.flatten()
+        self.words = words
+        text = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+        self.f = {flat.type.field(i).name: flat.field(i).to_numpy() for i in range(flat.type.num_fields)}
+        # shingles of all texts; those that run over a text's end are never asked for
+        self.sh = shingles(np.concatenate([words, np.zeros(SHINGLE, np.uint64)]))
+        total = np.append(np.uint64(0), np.cumsum(mixed(self.sh ^ FLIP[2])))
+        n = self.f["words"] - SHINGLE + 1
+        self.begin, self.end = edge[:-1][text], edge[1:][text]
+        at = np.minimum(self.begin + self.f["first"], len(self.sh) - 1)
+        last = np.minimum(at + n, len(self.sh))
+        there = (self.begin + self.f["first"] + self.f["words"] <= self.end) & (mixed(total[last] - total[at]).view(np.int64) == self.f["class"])
+        self.f = {k: v[there] for k, v in self.f.items()}
+        self.begin, self.end, self.text = self.begin[there], self.end[there], lo + text[there]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, items of (parts, text): those parts that are there in the text."""
+    for b in batches:
+        for i, words, edge in words_of_texts(b.column("text").to_pylist()):
+            p = Parts(b.column("parts"), i, words, edge)
+            size = (p.f["words"] - SHINGLE + 1).astype(np.int64)
+            _, at = ragged(p.begin + p.f["first"], size)
+            of, items = np.repeat(np.arange(len(size)), size), p.sh[at]
+            by = np.lexsort((items, of))
+            of, items = of[by], items[by]
+            new = np.append(True, (of[1:] != of[:-1]) | (items[1:] != items[:-1]))[: len(of)]
+            of, items = of[new], items[new]
+            offsets = np.searchsorted(of, np.arange(len(size) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(p.f["class"]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items.view(np.int64)))], ["node", "items"])
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
@@ -101,20 +148,6 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_cut, "doc_id long, at int, first int, words int, class long, " + ", ".join(f"{k} long" for k in KEYS))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, items of (parts, text): those parts that are there in the text."""
-    for b in batches:
-        nodes, out = [], []
-        for parts, t in zip(b.column("parts").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = word_hashes(t)
-            for p in parts:
-                sh = shingles(words[p["first"] : p["first"] + p["words"]])
-                if int(mixed(mixed(sh ^ FLIP[2]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) == p["node"]:
-                    nodes.append(p["node"])
-                    out.append(np.unique(sh).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "items"])
-
-
 def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, first_word, n_words, component_id (the doc_id that keeps it), removed."""
     u = materialize(cut_documents(docs))
@@ -125,7 +158,7 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int
     members = materialize(keys.join(met, "bucket").select("bucket", F.col("class").alias("node")).distinct())
     place = u.select(F.col("class").alias("node"), "doc_id", "first", "words").join(members.select("node").distinct(), "node")
     place = place.groupBy("node").agg(F.min(F.struct("doc_id", "first", "words")).alias("p"))
-    place = place.groupBy("p.doc_id").agg(F.collect_list(F.struct("node", "p.first", "p.words")).alias("parts"))
+    place = place.groupBy("p.doc_id").agg(F.collect_list(F.struct(F.col("node").alias("class"), "p.first", "p.words")).alias("parts"))
     texts = pick(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
     sets = texts.join(place, "doc_id").select("parts", "text").mapInArrow(_sets, "node long, items array<long>")
     sets = materialize(sets.dropDuplicates(["node"]).withColumn("n", F.size("items").cast("long")))
@@ -205,10 +238,11 @@ def _grown(ends: DataFrame, homes: DataFrame, texts: DataFrame) -> DataFrame:
     open_ = materialize(pairs.select("doc_id", "home", "side", "room", "own", F.coalesce("same", "like").alias("there"), F.lit(0).alias("n"), F.lit(0).alias("m")))
     done, size = None, GROW
     while done is None or not open_.isEmpty():
-        place = lambda doc, c, o: [F.col(x).alias(y) for x, y in zip((doc, "side", f"{c}.first", f"{c}.words", f"{c}.class", o), PLACE, strict=True)]
-        asked = open_.select(*place("doc_id", "own", "n")).unionByName(open_.select(*place("home", "there", "m"))).distinct()
-        asked = asked.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct(*PLACE[1:])).alias("parts"))
-        near = texts.join(asked, "doc_id").select("doc_id", "parts", "text").mapInArrow(_neighbours(size), "d long, s int, f int, w int, c long, o int, near array<long>")
+        place = lambda doc, c, o, most: [F.col(x).alias(y) for x, y in zip((doc, "side", f"{c}.first", f"{c}.words", f"{c}.class", o), PLACE, strict=True)] + [most.alias("most")]
+        asked = open_.select(*place("doc_id", "own", "n", F.col("room") - F.col("n"))).unionByName(open_.select(*place("home", "there", "m", F.lit(size))))
+        asked = asked.groupBy(*PLACE).agg(F.max("most").alias("most"))
+        asked = asked.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct(F.col("s").alias("side"), F.col("f").alias("first"), F.col("w").alias("words"), F.col("c").alias("class"), "o", "most")).alias("parts"))
+        near = (texts.join(asked, "doc_id") if size == GROW else join_few(texts, materialize(asked), "doc_id", FEW_ENDS)).select("doc_id", "parts", "text").mapInArrow(_neighbours(size), "d long, s int, f int, w int, c long, o int, near array<long>")
         near = materialize(near.groupBy(*PLACE).agg(F.max("near").alias("near")))
         at = lambda t, *x: functools.reduce(lambda a, b: a & b, [c == t[k] for c, k in zip(x, PLACE, strict=True)])
         of = lambda doc, c, o: [F.col(doc), F.col("side"), F.col(f"{c}.first"), F.col(f"{c}.words"), F.col(f"{c}.class"), F.col(o)]
@@ -238,19 +272,17 @@ def _advanced(size: int):
 
 def _neighbours(size: int):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``size`` words to the side of each part, outwards from the o-th, where the part is there in the text."""
+        """Up to ``size`` words to the side of each part, outwards from the o-th, where the part is there in the text."""
         for b in batches:
-            rows = []
-            for d, parts, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "parts", "text")), strict=True):
-                words = word_hashes(t)
-                for p in parts:
-                    s, f, w, c, o = (p[k] for k in PLACE[1:])
-                    sh = shingles(words[f : f + w])
-                    if int(mixed(mixed(sh ^ FLIP[2]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) == c:
-                        out = words[max(0, f - o - size) : max(0, f - o)][::-1] if s < 0 else words[f + w + o : f + w + o + size]
-                        rows.append((d, s, f, w, c, o, out.view(np.int64)))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], [*PLACE, "near"])
+            ids = b.column("doc_id").to_numpy()
+            for i, words, edge in words_of_texts(b.column("text").to_pylist()):
+                p = Parts(b.column("parts"), i, words, edge)
+                left = p.f["side"] < 0
+                first = p.begin + p.f["first"]
+                start = np.where(left, first - 1 - p.f["o"], first + p.f["words"] + p.f["o"])
+                n = np.clip(np.where(left, start + 1 - p.begin, p.end - start), 0, np.minimum(size, p.f["most"]))
+                offsets, at = ragged(start, n, np.repeat(np.where(left, -1, 1), n))
+                cols = [pa.array(ids[p.text]), *[pa.array(p.f[k]) for k in ("side", "first", "words", "class", "o")]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words[at].view(np.int64)))], [*PLACE, "near"])
 
     return near
