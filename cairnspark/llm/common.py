@@ -4,6 +4,7 @@ that DuckDB can repeat."""
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used where a session names no ``spark.checkpoint.dir`` (tests, notebooks).
+#: Used where a session of one machine (master local) names no ``spark.checkpoint.dir``.
 DEFAULT_SCRATCH = "/tmp/checkpoints"
 
 
@@ -27,14 +28,20 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     plain = df.toDF(*[f"__c{i}" for i in range(len(names))])
     out = []
     for name, kind in types.items():
-        at = [i for i, n in enumerate(names) if n == name] or [
-            i for i, n in enumerate(names) if n.lower() == name.lower()
-        ]
-        col = F.col(f"__c{at[0]}") if at else F.lit(None)
+        there = any(n.lower() == name.lower() for n in names)
+        col = F.col(f"__c{place_of(names, name)}") if there else F.lit(None)
         out.append(col.cast(kind).alias(name))
     return plain.select(*out)
 
 
+def place_of(names: list[str], name: str) -> int:
+    """Where ``pick`` finds a column: an exact name wins over one that differs in case, the first of equal ones wins."""
+    found = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name} among {names}")
+    return found[0]
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z and leave every other character alone."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,8 +67,15 @@ def md5_int(col: Column, digits: int = 12) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the session's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH
+    """A fresh folder below the session's shared checkpoint folder.
+
+    Executors on several machines share no local folder, so without that setting a cluster raises.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = DEFAULT_SCRATCH
     return f"{root.rstrip('/')}/cairnspark/{uuid.uuid4().hex}"
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pick
+from .common import crc_mod, pick, place_of
 
 DIM, GRAM, SEED, UNKNOWN, MIN_SCORE = 1024, 3, 20250, "und", 0.05
 DOCS_AT_ONCE, CHARS_AT_ONCE, GRAMS_AT_ONCE, DENSE_GRAMS = 512, 2_000_000, 2048, 1 << 22
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, dim: int = DIM) -> DataFrame:
 def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = MIN_SCORE, dim: int = DIM) -> DataFrame:
     """The rows of ``docs`` whose language is known with ``min_score`` or more, all columns kept."""
     names, unit = _unit(prototypes, dim)
-    at = docs.columns.index("text")
+    at = place_of(docs.columns, "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, pick, place_of
 
 WINDOW, BASE, PRIME, MODULUS = 2, 1_000_003, 2_147_483_647, 4
 #: Where null ids sort: after every other.
@@ -94,7 +94,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, modulus: int = MODULUS)
     """``docs`` with repeated chunks cut from ``text``, all columns kept, and
     ``n_removed_lines``, ``n_removed_chunks`` at the end."""
     names = docs.columns
-    at = {n: names.index(n) for n in ("doc_id", "text")}
+    at = {n: place_of(names, n) for n in ("doc_id", "text")}
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     did, text = F.col(f"__c{at['doc_id']}"), F.col(f"__c{at['text']}")
     gone = dedup_lines(docs, window, modulus).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("removed").alias("__r"))

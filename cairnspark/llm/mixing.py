@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, md5_int, pick, word_count
+from .common import materialize, md5_int, pick, place_of, word_count
 
 MAX_EPOCHS, ROWS_PER_BUCKET, HASH_BITS, FILLS = 3, 5_000, 48, 3
 #: Weight over training time by a source's weight: early, even, late.
@@ -164,7 +164,7 @@ def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, schedules=SCH
     the same document; all columns are kept."""
     names = docs.columns
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
-    at = {n: f"__c{names.index(n)}" for n in ("doc_id", "text", "source")}
+    at = {n: f"__c{place_of(names, n)}" for n in ("doc_id", "text", "source")}
     plain = plain.withColumn("__u", place(at["doc_id"], at["text"], at["source"])).withColumn("__d", F.col(at["doc_id"]).cast("long"))
     order = training_order(mix(docs, max_epochs, schedules), schedules, ordered=False).select(F.col("doc_id").alias("__e"), F.col("u").alias("__v"), "position", "copy")
     one = plain.dropDuplicates(["__d", "__u"]).join(order, F.col("__d").eqNullSafe(F.col("__e")) & (F.col("__u") == F.col("__v")))

@@ -34,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_few, materialize, pick
+from .common import join_few, materialize, pick, place_of
 from .graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 75
@@ -288,27 +289,63 @@ def link_buckets(members: DataFrame, sets: DataFrame, percent: int = SIMILARITY,
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    return _judged(_sketches(docs), docs, percent)
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    sketch = pick(docs, doc_id="long", text="string").mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, bands array<long>")
+    return materialize(sketch)
+
+
+KEY = ["one", "two", "n_shingles"]
+
+
+def _judged(t: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of the sketches ``t``, a row each."""
     docs = pick(docs, doc_id="long", text="string")
-    t = materialize(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, bands array<long>"))
-    key = ["one", "two", "n_shingles"]
-    classes = materialize(t.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node")))
-    first = t.join(classes, key).where("doc_id = node").select("node", F.explode("bands").alias("bucket"))
+    sets = t.where("n_shingles > 0 and doc_id is not null")
+    # a class is named after its smallest doc_id; further classes of one doc_id get a name of their own
+    names = W.partitionBy("low").orderBy(*KEY)
+    classes = sets.groupBy(*KEY).agg(F.min("doc_id").alias("low")).withColumn("nth", F.row_number().over(names))
+    classes = materialize(classes.select(*KEY, "low", F.when(F.col("nth") == 1, F.col("low")).otherwise(F.xxhash64(*KEY)).alias("node")))
+    first = t.join(classes, KEY).where("doc_id = low").select("node", F.explode("bands").alias("bucket"))
     shared = first.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("bucket")
     members = materialize(first.join(shared, "bucket").select("bucket", "node").distinct())
-    nodes = materialize(classes.join(members.select("node").distinct(), "node").select(F.col("node").alias("doc_id"), "one"))
-    texts = join_few(docs, nodes, "doc_id").select(F.col("doc_id").alias("node"), "one", "text")
-    sets = materialize(texts.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]).withColumn("n", F.size("items").cast("long")))
-    parts = link_buckets(members, sets, percent)
-    named = classes.join(parts, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
-    out = t.select("doc_id", *key).join(named, key, "left")
+    nodes = materialize(classes.join(members.select("node").distinct(), "node").select(F.col("low").alias("doc_id"), "node", "one"))
+    texts = join_few(docs, nodes, "doc_id").select("node", "one", "text")
+    items = materialize(texts.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]).withColumn("n", F.size("items").cast("long")))
+    parts = link_buckets(members, items, percent)
+    # several texts of one doc_id are one document: their classes are linked
+    key = F.struct(*KEY)
+    several = sets.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x != y").select("doc_id")
+    several = materialize(several)
+    if not several.isEmpty():
+        own = sets.join(several, "doc_id").join(classes.select(*KEY, "node"), KEY).select("doc_id", "node").distinct()
+        own = own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+        parts = connected_components(materialize(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(own)))
+    named = materialize(classes.join(parts, "node", "left").select(*KEY, "low", "component"))
+    least = named.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
+    named = named.join(least, "component", "left").select(*KEY, F.coalesce("least", "low").alias("component"))
+    out = t.select("doc_id", *KEY).join(named, KEY, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def without_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose document its group keeps, all columns kept."""
+    """One row of each document that its group keeps, all columns kept; of several
+    rows of one doc_id the one whose hash is least.  Rows without a doc_id stay."""
     names = docs.columns
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("__k")).distinct()
+    t = _sketches(docs)
+    kept = _judged(t, docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("kept and doc_id is not null")
+    kept = materialize(kept.select(F.col("doc_id").alias("__k"), "rows"))
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
-    own = F.col(f"__c{names.index('doc_id')}").cast("long")
-    return plain.join(kept, own.eqNullSafe(F.col("__k")), "left_semi").toDF(*names)
+    own = F.col(f"__c{place_of(names, 'doc_id')}").cast("long")
+    alone = kept.where("rows = 1").select("__k")
+    out = plain.join(alone, own == F.col("__k"), "left_semi").unionByName(plain.where(own.isNull()))
+    again = kept.where("rows > 1").select("__k")
+    if not again.isEmpty():
+        text = F.col(f"__c{place_of(names, 'text')}").cast("string")
+        order = W.partitionBy(own).orderBy(F.md5(text.cast("binary")), F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in plain.columns]))
+        one = plain.join(again, own == F.col("__k"), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+        out = out.unionByName(one)
+    return out.toDF(*names)

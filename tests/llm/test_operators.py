@@ -631,6 +631,19 @@ def test_near_copies(spark, with_base):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values()) and got[5000].kept
 
 
+def test_several_texts_of_one_doc_id(spark):
+    """A document is linked through each of its texts, whatever the order of rows; its repeated rows are one."""
+    rng = random.Random(17)
+    a, b = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join([*a, "x"])), (9, " ".join([*b, "x"])), (3, " ".join(["y", *b])), (11, "q r s t u v"), (11, "q r s t u v"), (None, "z"), (None, "z")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame([(*r, "extra") for r in order], "DOC_ID long, Text string, node string")
+        got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+        assert got == {(7, 3, False), (8, 3, False), (9, 3, False), (3, 3, True), (11, 11, True), (None, None, True)}
+        left = neardup.without_duplicates(df)
+        assert left.columns == df.columns and sorted(str(r[0]) for r in left.collect()) == ["11", "3", "None", "None"]
+
+
 def test_bands_and_words_differ_in_rows(spark):
     rows = [(1, "a b c d e f g"), (2, None), (None, "a b c d e f g")]
     got = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
