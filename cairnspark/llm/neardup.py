@@ -319,13 +319,17 @@ def _judged(t: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     key = F.struct(*KEY)
     several = sets.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x != y").select("doc_id")
     several = materialize(several)
-    if not several.isEmpty():
+    multiple = not several.isEmpty()
+    if multiple:
         own = sets.join(several, "doc_id").join(classes.select(*KEY, "node"), KEY).select("doc_id", "node").distinct()
         own = own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
         parts = connected_components(materialize(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(own)))
-    named = materialize(classes.join(parts, "node", "left").select(*KEY, "low", "component"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
-    named = named.join(least, "component", "left").select(*KEY, F.coalesce("least", "low").alias("component"))
+    named = classes.join(parts, "node", "left").select(*KEY, "low", "component")
+    if multiple:  # else nodes are named after doc_ids, and so are components
+        named = materialize(named)
+        least = named.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
+        named = named.join(least, "component", "left").select(*KEY, "low", F.col("least").alias("component"))
+    named = named.select(*KEY, F.coalesce("component", "low").alias("component"))
     out = t.select("doc_id", *KEY).join(named, KEY, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks_of
+from .blocks import blocks_of, from_planes, planes
 from .common import pick
 
 MARK, FOLD_CHARS = "▁", 60
@@ -207,15 +207,6 @@ def word_blocks(batches: Iterator[pa.RecordBatch], t: PieceTable, chunk_bytes: i
         yield held.pack()
 
 
-def planes(values) -> pa.Array:
-    """Numbers as bytes, the lowest of all first, then the next ones: they compress better."""
-    return pa.array(np.ascontiguousarray(np.asarray(values, np.int32).view(np.uint8).reshape(-1, 4).T).ravel())
-
-
-def from_planes(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values.reshape(4, -1).T).view(np.int32).ravel().astype(np.int64)
-
-
 def take_lists(offsets: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and values of the lists at ``at``."""
     size = np.diff(offsets)[at]

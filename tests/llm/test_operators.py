@@ -242,82 +242,115 @@ def test_held_out_languages_change_nothing(spark):
 # ---- 5
 
 
-def ctw_by_hand(train, texts):
-    """Context-tree weighting with dictionaries and recursion, from the definition."""
-    ctx = lambda h: (h[-1], h[-2] & 31, (h[-3] ^ h[-3] >> 3) & 7)
+def model_by_hand(train, texts):
+    """The mixture of contexts with dictionaries, from the docstring: log10 probability of each text's tokens."""
+    tokens = lambda t: [w + b" " for w in (t or "").encode().lower().split()] + [b"\n"]
     count = collections.defaultdict(lambda: [0, 0])
     kids = collections.defaultdict(set)
 
-    def bits(data):
-        h = [255, 255, 255]
-        for byte in [*data, 255]:
+    def contexts(word, i):
+        h = [255, 255, *word[:i]]
+        return (), (h[-1],), (h[-1], h[-2]), ("whole", word[:i])
+
+    def bits(word):
+        for i, byte in enumerate(word):
             node = 1
             for k in range(7, -1, -1):
-                bit = byte >> k & 1
-                yield ctx(h), node, bit
-                node = 2 * node + bit
-            h.append(byte)
+                yield contexts(word, i), node, byte >> k & 1
+                node = 2 * node + (byte >> k & 1)
 
     for t in train:
-        for c, node, bit in bits(t):
-            for d in range(4):
-                count[c[:d], node][bit] += 1
-                if d:
-                    kids[c[: d - 1], node].add(c[:d])
+        for w in tokens(t):
+            for cs, node, bit in bits(w):
+                for c in cs:
+                    count[c, node][bit] += 1
+                kids[(), node].add(cs[1])
+                kids[cs[1], node].add(cs[2])
     pe = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
     memo = {}
 
     def pw(c, node):
         if (c, node) not in memo:
-            own = pe(*count.get((c, node), (0, 0)))
-            below = sum(pw(x, node)[0] for x in kids.get((c, node), ()))
-            memo[c, node] = (own, 1.0) if len(c) == 3 else (np.logaddexp(own, below) - math.log(2), 1 / (1 + math.exp(below - own)))
+            own, below = pe(*count.get((c, node), (0, 0))), sum(pw(x, node)[0] for x in kids.get((c, node), ()))
+            memo[c, node] = (own, 1.0) if len(c) == 2 else (np.logaddexp(own, below) - math.log(2), 1 / (1 + math.exp(min(700, below - own))))
         return memo[c, node]
 
-    def p(c, d, node, bit):
-        n = count.get((c[:d], node), (0, 0))
+    def short(cs, node, bit, d=0):
+        n = count.get((cs[d], node), (0, 0))
         est = (n[bit] + 0.5) / (sum(n) + 1)
-        w = pw(c[:d], node)[1]
-        return est if d == 3 else w * est + (1 - w) * p(c, d + 1, node, bit)
+        if d == 2 or not sum(count.get((cs[d + 1], node), (0, 0))):
+            return est
+        w = pw(cs[d], node)[1]
+        return w * est + (1 - w) * short(cs, node, bit, d + 1)
+
+    def p(cs, node, bit):
+        q, n = short(cs, node, bit), count.get((cs[3], node), (0, 0))
+        if not sum(n):
+            return q
+        a, b = pe(*n), n[bit] * math.log(q) + n[1 - bit] * math.log(1 - q)
+        w = 1 / (1 + math.exp(min(700, a - b)))
+        return w * q + (1 - w) * (n[bit] + 0.5) / (sum(n) + 1)
 
-    return [sum(math.log10(p(c, 0, node, bit)) for c, node, bit in bits(t)) for t in texts]
+    memo_word = {}
 
+    def word(w):
+        if w not in memo_word:
+            memo_word[w] = sum(math.log10(p(cs, node, bit)) for cs, node, bit in bits(w))
+        return memo_word[w]
 
-def test_context_tree(spark):
-    train = [b"abracadabra", b"abra\nkadabra", "né é".encode(), b""]
-    texts = [b"abra", b"", b"zebra\xc3\xa9", b"abracadabra"]
-    rows = lm.context_counts(spark.createDataFrame([(t.decode(),) for t in train], "text string")).collect()
-    table = lm.log_table(np.array([r.key for r in rows]), np.array([r.n for r in rows]))
-    assert np.allclose(lm.text_scores(texts, table), ctw_by_hand(train, texts), rtol=1e-5)
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
+    return [sum(map(word, tokens(t))) for t in texts]
 
 
-def test_exact_contexts_grow_with_the_corpus(spark):
-    """score() against dictionaries: contexts of 3 to 6 exact bytes over the quantised tree."""
+def test_contexts_by_hand(spark, monkeypatch):
+    """score() against dictionaries, with words of up to 40 bytes and several slabs."""
     rng = random.Random(14)
-    rows = [(i, prose(rng, rng.randrange(20)) + rng.choice(["", "é ö", "xAbQ", "xabq", "\n"])) for i in range(60)] + [(60, None), (61, "")]
-    raw = {i: (t or "").encode() for i, t in rows}
-    train = [t for i, t in raw.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    seen = collections.defaultdict(collections.Counter)
-    for t in train:
-        h = b"\xff" * 6 + t + b"\xff"
-        for k in range(6, len(h)):
-            for d in range(3, 7):
-                seen[h[k - d : k]][h[k]] += 1
-    counts = lm.context_counts(spark.createDataFrame([(t.decode(),) for t in train], "text string")).collect()
-    table = lm.log_table(np.array([r.key for r in counts]), np.array([r.n for r in counts]))
-
-    def score(t):
-        h, prior, total = b"\xff" * 6 + t + b"\xff", 10.0 ** table.reshape(-1)[lm.context_keys([t])[0]].astype(float), 0
-        for k, p in enumerate(prior, 6):
-            for d in range(3, 7):
-                c = seen.get(h[k - d : k])
-                p = (c[h[k]] + len(c) * p) / (sum(c.values()) + len(c)) if c else p
-            total += math.log10(p)
-        return total
-
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert all(got[i] == pytest.approx(score(t), rel=1e-5) for i, t in raw.items()) and len(got) == len(rows)
+    rows = [(i, prose(rng, rng.randrange(20)) + rng.choice(["", "é ö", "xAbQ", " xabq\x0b\x1cx", "\n", " " + "long" * 10, " " + "long" * 9 + "er", " a\x01 a"])) for i in range(60)] + [(60, None), (61, ""), (62, "\x85 \u3000x")]
+    want = model_by_hand([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], [t for _, t in rows])
+    monkeypatch.setattr(lm, "SLAB", 7)
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for (i, t), x in zip(rows, want, strict=True):
+        size = sum(len(w) + 1 for w in (t or "").encode().split()) + 1
+        assert got[i].score == pytest.approx(x, rel=1e-5) and got[i].bits_per_byte == pytest.approx(-x * math.log2(10) / size, rel=1e-5)
+
+
+def test_probabilities_sum_to_no_more_than_one():
+    """All short words over a small alphabet, and the end."""
+    train = ["ab a b ab", "ba ab", "a a"]
+    every = [w for n in range(1, 6) for w in map("".join, itertools.product("ab", repeat=n))]
+    end = model_by_hand(train, [""])[0]
+    total = sum(10 ** (x - end) for x in model_by_hand(train, every)) + 10**end
+    assert 0.3 < total <= 1
+
+
+def test_what_is_seen_twice_scores_higher(spark):
+    """Of two texts of rare words the one that the corpus holds twice costs fewer bits."""
+    rng = random.Random(15)
+    rare = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(30))
+    texts = [rare() for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:60])]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    got = {r.doc_id: r.bits_per_byte for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice, once = [got[i] for i in range(60) if fold(i) and fold(1000 + i)], [got[i] for i in range(60, 120) if fold(i)]
+    assert max(twice) < min(once)
+
+
+def test_beginnings_over_slabs():
+    rng = random.Random(16)
+    keys = sorted({("".join(rng.choice("ab\u00e9") for _ in range(rng.randrange(1, 6)))).encode() + b" " for _ in range(150)} | {b"\n", b"x" * 50 + b" ", b"x" * 51 + b" "})
+    counts = np.array([rng.randrange(4) for _ in keys])
+    slabs = [slice(i, i + 11) for i in range(0, len(keys), 11)]
+    rows = []
+    import pyarrow as pa
+
+    for x in slabs:
+        batch = pa.RecordBatch.from_arrays([pa.array([keys[x]], pa.list_(pa.binary())), pa.array([counts[x].tolist()], pa.list_(pa.int64()))], ["keys", "counts"])
+        rows += next(lm._summaries(iter([batch]))).to_pylist()
+    text = ["".join(f"{b:08b}" for b in k) for k in keys]
+    for x, beside in zip(slabs, lm.shared_over_slabs(rows), strict=True):
+        n, begin, upto = lm.beginning_counts(keys[x], counts[x], *beside)
+        for k, t in enumerate(text[x]):
+            for b in range(len(t) + 1):
+                assert n[begin[k] + min(b, upto[k])] == sum(int(c) for c, o in zip(counts, text, strict=True) if o[:b] == t[:b])
 
 
 def test_base_scores(spark):
