@@ -56,17 +56,22 @@ def _quality() -> str:
     bucket = "(v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0)"
     long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM d WHERE n_words > 0" for m in rate)
 
-    def quartiles(name, keys):
+    tail = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t}" for m, (t, _, _) in quality.METRICS.items()) + " END"
+    names = ("low", "mid", "high")
+
+    def quantiles(name, keys):
         part = ", ".join([*keys, "metric"])
         return f"""{name}_m AS (SELECT {part}, bucket, sum(n) AS n FROM sk GROUP BY ALL),
- {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {part}) AS docs, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto FROM {name}_m),
- {name} AS (SELECT {part}, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= 3 * docs) AS q3 FROM {name}_c GROUP BY ALL)"""
+ {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {part}) AS docs, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, {tail} AS tail FROM {name}_m),
+ {name} AS (SELECT {part}, max(docs)::BIGINT AS docs, min(bucket) FILTER (upto * 100 >= (100 - tail) * docs) AS low, min(bucket) FILTER (upto * 100 >= 50 * docs) AS mid, min(bucket) FILTER (upto * 100 >= tail * docs) AS high FROM {name}_c GROUP BY ALL)"""
 
-    take = lambda q: f"CASE WHEN o.docs >= {quality.MIN_GROUP} THEN o.{q} WHEN l.docs >= {quality.MIN_GROUP} THEN l.{q} ELSE e.{q} END"
+    k = quality.PRIOR
+    shrunk = ", ".join(f"(l.docs * l.{x} + {k} * e.{x}) // (l.docs + {k}) AS l_{x}" for x in names)
+    take = ", ".join(f"(docs * {x} + {k} * l_{x}) // (docs + {k}) AS {x}" for x in names)
     outside = []
-    for m, (floor, low) in quality.METRICS.items():
-        spread = f"{quality.REACH} * greatest(q3 - q1, {floor})"
-        outside.append(f"(f.metric = '{m}' AND ({m} > q3 + {spread}" + (f" OR {m} < q1 - {spread}))" if low else "))"))
+    for m, (_, least, low) in quality.METRICS.items():
+        far = f"{m} > high + {quality.REACH} * greatest(high - mid, {least})"
+        outside.append(f"(f.metric = '{m}' AND ({far}" + (f" OR {m} < low - {quality.REACH} * greatest(mid - low, {least})))" if low else "))"))
     return rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
  tri AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 0))) AS i FROM w)),
  rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM tri) WHERE c > 1) GROUP BY 1),
@@ -75,8 +80,9 @@ def _quality() -> str:
    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
  d AS (SELECT *, {", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {k}" for k, e in rate.items())} FROM m),
  long AS ({long}), sk AS (SELECT lang, source, metric, {bucket} AS bucket, count(*) AS n FROM long GROUP BY ALL),
- {quartiles("own", ["lang", "source"])}, {quartiles("langs", ["lang"])}, {quartiles("every", [])},
- f AS (SELECT o.lang, o.source, o.metric, {take("q1")} AS q1, {take("q3")} AS q3 FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN every e ON o.metric = e.metric),
+ {quantiles("own", ["lang", "source"])}, {quantiles("langs", ["lang"])}, {quantiles("every", [])},
+ o AS (SELECT o.*, {shrunk} FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN every e ON o.metric = e.metric),
+ f AS (SELECT lang, source, metric, {take} FROM o),
  far AS (SELECT DISTINCT d.doc_id FROM d JOIN f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source WHERE {" OR ".join(outside)}),
  b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM d)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept, symbol_rate, dup_line_rate, repeat_rate, word_length FROM b"""

@@ -4,12 +4,13 @@ Per document, counts are taken over the whole text.  Their rates (integers, in
 ten-thousandths) go into mergeable quantile sketches for each language and
 source: histograms whose buckets are exact up to 127 and keep 6 leading bits
 above (a relative error of 1/64), so that merging is adding counts, any order of
-partial merges gives the same sketch, and SQL can repeat it.  The thresholds are
-Tukey fences, ``reach`` times the interquartile range (or a metric's floor, if
-that is larger) beyond the quartiles.  A (language, source) with fewer than
-``min_group`` documents takes the merged sketch of its language, and a language
-with fewer the merged sketch of everything.  The joined filter then rejects a
-document that lies outside a fence.
+partial merges gives the same sketch, and SQL can repeat it.  A metric's fence is
+``reach`` times the distance from the median to its tail quantile beyond that
+quantile, so it follows the spread of each group; the least distance is a guard
+for groups in which hardly any value differs from the median.  Quantiles shrink
+towards those of the language, and these towards those of everything, by the
+weight of ``prior`` documents: q = (n q + prior q') / (n + prior).  The joined
+filter then rejects a document that lies outside a fence.
 
 Edge cases.  A null text has no words.  A document without words fails the base
 rules and enters no sketch.  Null languages and sources are groups of their own.
@@ -30,9 +31,9 @@ from .common import materialize, pick
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-REACH, MIN_GROUP = 3, 100
-#: metric: (least spread in ten-thousandths, whether low values are bad too)
-METRICS = {"symbol_rate": (500, False), "dup_line_rate": (1000, False), "repeat_rate": (1000, False), "word_length": (10000, True)}
+REACH, PRIOR = 3, 100
+#: metric: (tail quantile in percent, least distance in ten-thousandths, whether low values are bad too)
+METRICS = {"symbol_rate": (80, 100, False), "dup_line_rate": (99, 500, False), "repeat_rate": (99, 500, False), "word_length": (95, 1000, True)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -103,43 +104,43 @@ def sketches(d: DataFrame) -> DataFrame:
     return long.select("lang", "source", "x.metric", "x.bucket").groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sk: DataFrame, *keys: str) -> DataFrame:
-    """(keys, metric, docs, q1, q3) of sketches merged to ``keys``."""
+def quantiles(sk: DataFrame, *keys: str) -> DataFrame:
+    """(keys, metric, docs, low, mid, high) of sketches merged to ``keys``: the median and both tail quantiles."""
     m = sk.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "metric")
     m = m.withColumn("docs", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
-    return m.groupBy(*keys, "metric").agg(
-        F.max("docs").alias("docs"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("docs"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= 3 * F.col("docs"), F.col("bucket"))).alias("q3"),
-    )
+    tail = F.coalesce(*[F.when(F.col("metric") == k, F.lit(t)) for k, (t, _, _) in METRICS.items()])
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= percent * F.col("docs"), F.col("bucket")))
+    return m.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), at(100 - tail).alias("low"), at(F.lit(50)).alias("mid"), at(tail).alias("high"))
 
 
-def thresholds(sk: DataFrame, reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(sk: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """One row a (lang, source): <metric>_low and <metric>_high."""
-    own = quartiles(sk, "lang", "source")
-    lang = quartiles(sk, "lang").select(F.col("lang").alias("l"), F.col("metric").alias("ml"), F.col("docs").alias("dl"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
+    q = ("docs", "low", "mid", "high")
+    own = quantiles(sk, "lang", "source")
+    lang = quantiles(sk, "lang").select(F.col("lang").alias("l"), F.col("metric").alias("ml"), *[F.col(x).alias(f"l_{x}") for x in q])
     # at most one row for each of the four metrics
-    every = F.broadcast(quartiles(sk).select(F.col("metric").alias("me"), F.col("q1").alias("e1"), F.col("q3").alias("e3")))
+    every = F.broadcast(quantiles(sk).select(F.col("metric").alias("me"), *[F.col(x).alias(f"e_{x}") for x in q]))
     t = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("ml"))).join(every, F.col("metric") == F.col("me"))
-    take = lambda a, b, c: F.when(F.col("docs") >= min_group, F.col(a)).when(F.col("dl") >= min_group, F.col(b)).otherwise(F.col(c))
-    t = t.select("lang", "source", "metric", take("q1", "l1", "e1").alias("q1"), take("q3", "l3", "e3").alias("q3"))
+    for x in q[1:]:
+        t = t.withColumn(f"l_{x}", F.expr(f"(l_docs * l_{x} + {prior} * e_{x}) div (l_docs + {prior})"))
+        t = t.withColumn(x, F.expr(f"(docs * {x} + {prior} * l_{x}) div (docs + {prior})"))
     out = []
-    for m, (floor, low) in METRICS.items():
+    for m, (_, least, low) in METRICS.items():
         at = lambda e: F.max(F.when(F.col("metric") == m, e))  # noqa: B023, E731
-        spread = reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(floor))
-        out += [at(F.col("q3") + spread).alias(f"{m}_high")] + ([at(F.col("q1") - spread).alias(f"{m}_low")] if low else [])
+        beyond = lambda a, b: reach * F.greatest(F.col(a) - F.col(b), F.lit(least))  # noqa: B023, E731
+        out += [at(F.col("high") + beyond("high", "mid")).alias(f"{m}_high")] + ([at(F.col("low") - beyond("mid", "low")).alias(f"{m}_low")] if low else [])
     return t.groupBy("lang", "source").agg(*out)
 
 
-def judge_quality(docs: DataFrame, reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def judge_quality(docs: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept."""
     d = rates(materialize(document_counts(docs)))
-    t = thresholds(sketches(d), reach, min_group).withColumnsRenamed({"lang": "l", "source": "s"})
+    t = thresholds(sketches(d), reach, prior).withColumnsRenamed({"lang": "l", "source": "s"})
     d = d.join(t, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = F.lit(False)
-    for m, (_, low) in METRICS.items():
+    for m, (_, _, low) in METRICS.items():
         out = out | (F.col(m) > F.col(f"{m}_high"))
         out = out | (F.col(m) < F.col(f"{m}_low")) if low else out
     return d.select(

@@ -166,7 +166,7 @@ def test_quality_counts(text):
 
 
 def test_quality_fences(spark):
-    """Clean documents stay, one far outside its group goes; small groups take their language's fences."""
+    """Clean documents stay, one far outside its group goes; small groups lean on their language."""
     rng = random.Random(2)
     rows = [(i, prose(rng, 80), "en", "big") for i in range(300)] + [(500 + i, prose(rng, 80), "en", f"small{i}") for i in range(5)]
     rows += [(900, " ".join(w + "###" for w in prose(rng, 80).split()), "en", "big"), (901, " ".join(w + "$$$" for w in prose(rng, 80).split()), "en", "small0"), (902, prose(rng, 20), "en", "big")]
@@ -174,6 +174,24 @@ def test_quality_fences(spark):
     assert {i for i, kept in got.items() if not kept} == {900, 901, 902}
 
 
+def test_fences_follow_the_spread(spark):
+    """Two sources of one language: what is usual in the wide one is rejected in the narrow one, and a
+    group's own quantiles gain on its language's as it grows."""
+    rng = random.Random(3)
+    def text(share):  # with a symbol at that share of its words
+        return " ".join(w + "#" * (rng.random() < share) for w in prose(rng, 100).split())
+    rows = [(i, text(rng.random() * 0.2), "en", "wide") for i in range(400)] + [(1000 + i, text(0.002), "en", "narrow") for i in range(400)]
+    rows += [(5000, text(0.25), "en", "wide"), (5001, text(0.25), "en", "narrow")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.kept for r in quality.judge_quality(df).collect()}
+    assert got[5000] and not got[5001]
+    sk = quality.sketches(quality.rates(quality.document_counts(df)))
+    high = {r.source: r.symbol_rate_high for r in quality.thresholds(sk).collect()}
+    free = {r.source: r.symbol_rate_high for r in quality.thresholds(sk, prior=0).collect()}
+    assert free["narrow"] < high["narrow"] < high["wide"] and free["narrow"] < free["wide"]
+    assert quality.METRICS["symbol_rate"][1] * quality.REACH < min(high.values())  # the spread decides, not the guard
+
+
 def test_sketches_merge_and_bound_their_error(spark):
     v = list(range(0, 5000, 7)) + [0, 1, 127, 128, 129, 10**9]
     rows = spark.createDataFrame([(x,) for x in v], "v long").select("v", quality.sketch_bucket(F.col("v")).alias("b")).collect()
