@@ -7,10 +7,11 @@ share all words; a target stops at ``max_epochs`` times its source's words and
 the excess is shared anew by weight (the water level of a sorted prefix sum).
 
 Selection.  Each source's documents stand in a hashed order that depends on the
-document alone.  ``full`` whole passes fit the target; of the last pass the
-longest prefix that fits is taken, and then up to ``FILLS`` remaining documents,
-each the one that brings the source nearest to its target.  Documents are taken
-whole.
+document alone.  ``full`` whole passes fit the target.  Of the last pass the
+longest run of documents that fit is taken, then, of those left that are no
+larger than what is still open, again the longest run, and so on until none is;
+so a very long document is passed over, not waited for.  At last one document may
+be taken that brings the source nearer to its target.  Documents are taken whole.
 
 Curriculum.  A source's weight over training time t in [0, 1] is piecewise
 linear, given at equally spaced knots (``schedules``, by the source's weight).
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, md5_int, pick, place_of, word_count
 
-MAX_EPOCHS, ROWS_PER_BUCKET, HASH_BITS, FILLS = 3, 5_000, 48, 3
+MAX_EPOCHS, ROWS_PER_BUCKET, HASH_BITS = 3, 5_000, 48
 #: Weight over training time by a source's weight: early, even, late.
 SCHEDULES = {1: (1.5, 1.0, 0.5), 2: (1.0, 1.0, 1.0), 3: (0.5, 1.0, 1.5)}
 
@@ -76,18 +77,29 @@ def source_targets(totals: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _placed(s: DataFrame, rows_per_bucket: int) -> DataFrame:
-    """``s`` and ``start``: the words of the source before the document."""
+def _bucketed(s: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """``s`` and ``bucket``: ranges of u with few rows."""
     buckets = max(1, -(-s.count() // rows_per_bucket))
-    s = s.withColumn("bucket", F.expr(f"u div {(1 << HASH_BITS) // buckets + 1}"))
-    w = W.partitionBy("source", "bucket").orderBy("u", "doc_id", "size")
-    s = s.withColumn("start", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    b = s.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    return s.withColumn("bucket", F.expr(f"u div {(1 << HASH_BITS) // buckets + 1}"))
+
+
+def _before(s: DataFrame, words: Column, name: str, order: tuple[str, ...]) -> DataFrame:
+    """``s`` and, as ``name``, the sum of ``words`` over the source's documents before."""
+    s = s.withColumn("__w", words)
+    w = W.partitionBy("source", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    b = s.groupBy("source", "bucket").agg(F.sum("__w").alias("all"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    b = b.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    return s.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select(
-        "doc_id", "source", "size", "u", (F.col("start") + F.col("ahead")).alias("start")
-    )
+    b = b.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("__a"))
+    s = s.withColumn("__s", F.sum("__w").over(w) - F.col("__w"))
+    s = s.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return s.withColumn(name, F.col("__s") + F.col("__a")).drop("__w", "__s", "__a", "s", "b")
+
+
+def _with_gap(d: DataFrame) -> DataFrame:
+    """``d`` and ``gap``: the words of the last pass that its source still wants."""
+    gap = d.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
+    gap = gap.select(F.col("source").alias("g"), "gap")
+    return d.join(gap, F.col("source").eqNullSafe(F.col("g"))).drop("g")
 
 
 def position(share: Column, weight: Column, schedules: dict[int, tuple[float, ...]] = SCHEDULES) -> Column:
@@ -118,28 +130,19 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES, rows
         .withColumn("rest", F.greatest(F.lit(0).cast("long"), F.when(F.col("full") < max_epochs, F.col("goal") - F.col("full") * F.col("source_size")).otherwise(F.lit(0))))
         .withColumnRenamed("source", "g")
     )
-    d = _placed(s, rows_per_bucket).join(goals, F.col("source").eqNullSafe(F.col("g"))).drop("g")
-    d = d.withColumn("fits", (F.col("size") > 0) & (F.col("start") + F.col("size") <= F.col("rest")))
-    d = materialize(d)
-    for _ in range(FILLS):
-        # what is still open, and the one further document that comes nearest to it
-        gap = (
-            d.groupBy("source")
-            .agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
-            .select(F.col("source").alias("g"), "gap")
-        )
-        near = (
-            d.where(~F.col("fits") & (F.col("size") > 0) & (F.col("rest") > 0))
-            .join(gap, F.col("source").eqNullSafe(F.col("g")))
-            .withColumn("off", F.abs(F.col("gap") - F.col("size")))
-            .where(F.col("off") < F.col("gap"))
-            .groupBy("g")
-            .agg(F.min(F.struct("off", "start")).alias("pick"))
-            .select("g", F.col("pick.start").alias("extra"))
-        )
-        d = d.join(near, F.col("source").eqNullSafe(F.col("g")), "left").drop("g")
-        more = (F.col("extra") == F.col("start")) & (F.col("size") > 0) & (F.col("rest") > 0)
-        d = materialize(d.withColumn("fits", F.col("fits") | F.coalesce(more, F.lit(False))).drop("extra"))
+    d = _before(_bucketed(s, rows_per_bucket), F.col("size"), "start", ("u", "doc_id", "size"))
+    d = d.join(goals, F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumn("fits", F.lit(False))
+    d = materialize(_with_gap(d))
+    left = ~F.col("fits") & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+    while not d.where(left).isEmpty():
+        d = _before(d, F.when(left, F.col("size")).otherwise(F.lit(0)), "open", ("start", "size"))
+        d = d.withColumn("fits", F.col("fits") | (left & (F.col("open") + F.col("size") <= F.col("gap")))).drop("open", "gap")
+        d = materialize(_with_gap(d))
+    # one further document may come nearer
+    off = F.abs(F.col("gap") - F.col("size"))
+    near = d.where(~F.col("fits") & (F.col("size") > 0) & (off < F.col("gap"))).groupBy(F.col("source").alias("g")).agg(F.min(F.struct(off.alias("off"), "start")).alias("pick"))
+    d = d.join(near.select("g", F.col("pick.start").alias("extra")), F.col("source").eqNullSafe(F.col("g")), "left").drop("g")
+    d = d.withColumn("fits", F.col("fits") | F.coalesce((F.col("extra") == F.col("start")) & (F.col("size") > 0), F.lit(False)))
     d = d.withColumn("copies", F.when(F.col("size") > 0, F.col("full") + F.col("fits").cast("long")).otherwise(F.lit(0).cast("long")))
     share = (F.col("start") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
     at = F.when(F.col("copies") > 0, position(F.least(F.lit(1.0), share), F.col("weight"), schedules))
@@ -161,11 +164,18 @@ def training_order(mixed: DataFrame, schedules=SCHEDULES, ordered: bool = True)
 def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
     """The rows of ``docs`` that training sees, each as often as the mix takes
     it, range-sorted by position.  Rows that agree in doc_id, source and text are
-    the same document; all columns are kept."""
+    the same document; of their other columns those of the least hash are kept."""
     names = docs.columns
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     at = {n: f"__c{place_of(names, n)}" for n in ("doc_id", "text", "source")}
     plain = plain.withColumn("__u", place(at["doc_id"], at["text"], at["source"])).withColumn("__d", F.col(at["doc_id"]).cast("long"))
-    order = training_order(mix(docs, max_epochs, schedules), schedules, ordered=False).select(F.col("doc_id").alias("__e"), F.col("u").alias("__v"), "position", "copy")
-    one = plain.dropDuplicates(["__d", "__u"]).join(order, F.col("__d").eqNullSafe(F.col("__e")) & (F.col("__u") == F.col("__v")))
-    return one.orderBy("position", "__u", "copy").select(*[f"__c{i}" for i in range(len(names))]).toDF(*names)
+    mixed = materialize(mix(docs, max_epochs, schedules))
+    order = training_order(mixed, schedules, ordered=False).select(F.col("doc_id").alias("__e"), F.col("u").alias("__v"), "position", "copy")
+    same = lambda d, u: F.col("__d").eqNullSafe(F.col(d)) & (F.col("__u") == F.col(u))
+    again = materialize(mixed.groupBy(F.col("doc_id").alias("__x"), F.col("u").alias("__y")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
+    if not again.isEmpty():  # only repeated rows are brought together
+        first = W.partitionBy("__d", "__u").orderBy(F.xxhash64(*[F.to_json(F.struct(c)) for c in plain.columns]))
+        one = plain.join(again, same("__x", "__y"), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+        plain = plain.join(again, same("__x", "__y"), "left_anti").unionByName(one)
+    out = plain.join(order, same("__e", "__v"))
+    return out.orderBy("position", "__u", "copy").select(*[f"__c{i}" for i in range(len(names))]).toDF(*names)

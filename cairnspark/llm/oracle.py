@@ -96,18 +96,26 @@ SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= {hamming.K}"""
 
 def _lines() -> str:
     roll = " + ".join(["h"] + [f"coalesce(lag(h, {j}) OVER w, 0) * {pow(linededup.BASE, j, linededup.PRIME)} % {linededup.PRIME}" for j in range(1, linededup.WINDOW)])
-    return rf"""WITH ls AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+    like = lambda a, b: f"coalesce(nullif(list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: coalesce({a}[i] = {b}[i], false)), false), 0) - 1, len({a}))"
+    r = linededup.REACH
+    return rf"""WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+ ls AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line, len(l) AS n FROM docs),
  hs AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT >> 1 AS h FROM ls),
- ends AS (SELECT *, (({roll}) % {linededup.PRIME} % {linededup.MODULUS} = 0 OR i = n - 1)::INT AS e FROM hs WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
- grp AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM ends),
- chunks AS (SELECT doc_id, g, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk FROM grp GROUP BY 1, 2),
+ gs AS (SELECT *, ({roll}) % {linededup.PRIME} AS g FROM hs WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ ends AS (SELECT *, (i = n - 1 OR coalesce(lag(g) OVER w > g AND g <= lead(g) OVER w, false)
+   OR coalesce(i % 2 = 0 AND lag(g, 2) OVER w = g AND lag(g) OVER w = g AND lead(g) OVER w = g, false))::INT AS e FROM gs WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ grp AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
+ chunks AS (SELECT doc_id, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk FROM grp GROUP BY doc_id, c),
  many AS (SELECT * FROM chunks WHERE last > first AND regexp_matches(chunk, '[^\x20\x09-\x0D]')),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS r FROM many),
- gone AS (SELECT doc_id, g, last - first + 1 AS n FROM ranked WHERE r > 1),
- lost AS (SELECT doc_id, sum(n) AS n_lines, count(*) AS n_chunks FROM gone GROUP BY 1),
- kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM grp WHERE (doc_id, g) NOT IN (SELECT doc_id, g FROM gone) GROUP BY 1)
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS r, count(*) OVER (PARTITION BY chunk) AS k FROM many),
+ near AS (SELECT r.*, list_reverse(l[greatest(1, first - {r} + 1) : first]) AS before, l[last + 2 : last + 1 + {r}] AS after FROM ranked r JOIN docs USING (doc_id) WHERE k > 1),
+ gone AS (SELECT x.doc_id, x.first, x.first - {like("x.before", "y.before")} AS a, x.last + {like("x.after", "y.after")} AS b FROM near x JOIN near y ON x.chunk = y.chunk AND y.r = 1 AND x.r > 1),
+ chunk_count AS (SELECT doc_id, count(*) AS n_chunks FROM gone GROUP BY 1),
+ out_lines AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM gone),
+ lost AS (SELECT doc_id, count(*) AS n_lines FROM out_lines GROUP BY 1),
+ kept AS (SELECT ls.doc_id, string_agg(line, chr(10) ORDER BY ls.i) AS text FROM ls ANTI JOIN out_lines o ON ls.doc_id = o.doc_id AND ls.i = o.i GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_removed_lines, coalesce(n_chunks, 0)::BIGINT AS n_removed_chunks,
-  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(kept.text, '')) END AS text_md5 FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(kept.text, '')) END AS text_md5 FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN chunk_count USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
 def _mixing() -> str:
@@ -126,12 +134,17 @@ def _mixing() -> str:
         return "CASE " + " ".join(cases) + " END"
 
     e = mixing.MAX_EPOCHS
-    fills = ""
-    for i in range(mixing.FILLS):
+    rounds, fills = 12, ""  # more than there are
+    for i in range(rounds):
+        left = "NOT fits AND size > 0 AND size <= gap"
         fills += f""",
- g{i} AS (SELECT source, max(rest) - coalesce(sum(size) FILTER (fits), 0) AS gap FROM f{i} GROUP BY 1),
- x{i} AS (SELECT f.source, min((abs(gap - size), start))[2] AS extra FROM f{i} f JOIN g{i} g ON f.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND size > 0 AND rest > 0 AND abs(gap - size) < gap GROUP BY 1),
- f{i + 1} AS (SELECT f.* EXCLUDE (fits), fits OR coalesce(extra = start AND size > 0 AND rest > 0, false) AS fits FROM f{i} f LEFT JOIN x{i} x ON f.source IS NOT DISTINCT FROM x.source)"""
+ g{i} AS (SELECT *, rest - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS gap FROM f{i}),
+ h{i} AS (SELECT *, sum(CASE WHEN {left} THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY start, size ROWS UNBOUNDED PRECEDING) AS upto FROM g{i}),
+ f{i + 1} AS (SELECT * EXCLUDE (fits, gap, upto), fits OR ({left} AND upto <= gap) AS fits FROM h{i})"""
+    fills += f""",
+ gl AS (SELECT *, rest - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS gap FROM f{rounds}),
+ x AS (SELECT source, min((abs(gap - size), start))[2] AS extra FROM gl WHERE NOT fits AND size > 0 AND abs(gap - size) < gap GROUP BY 1),
+ last AS (SELECT gl.* EXCLUDE (fits), fits OR coalesce(extra = start AND size > 0, false) AS fits FROM gl LEFT JOIN x ON gl.source IS NOT DISTINCT FROM x.source)"""
     return rf"""WITH s AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size,
    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '#' || coalesce(source, 'null') || '#' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS u FROM documents),
  so AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY 1),
@@ -145,8 +158,8 @@ def _mixing() -> str:
  gf AS (SELECT *, CASE WHEN source_size > 0 THEN least({e}, goal // source_size) ELSE 0 END AS full_passes FROM gr),
  gg AS (SELECT *, greatest(0, CASE WHEN full_passes < {e} THEN goal - full_passes * source_size ELSE 0 END) AS rest FROM gf),
  st AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size) - size AS start FROM s),
- f0 AS (SELECT st.*, source_size, weight, target, full_passes, rest, size > 0 AND start + size <= rest AS fits FROM st JOIN gg ON st.source IS NOT DISTINCT FROM gg.source){fills},
- c AS (SELECT *, CASE WHEN size > 0 THEN full_passes + fits::INT ELSE 0 END AS copies, least(1, (start + size / 2) / greatest(target, 1)) AS share FROM f{mixing.FILLS})
+ f0 AS (SELECT st.*, source_size, weight, target, full_passes, rest, false AS fits FROM st JOIN gg ON st.source IS NOT DISTINCT FROM gg.source){fills},
+ c AS (SELECT *, CASE WHEN size > 0 THEN full_passes + fits::INT ELSE 0 END AS copies, least(1, (start + size / 2) / greatest(target, 1)) AS share FROM last)
 SELECT doc_id, size, source_size, target, size * copies::BIGINT AS taken, copies::BIGINT AS copies, CASE WHEN copies > 0 THEN round({position("share")}, 9) END AS position FROM c"""
 
 

@@ -53,7 +53,7 @@ ROWS = {
     "quality": quality.judge_quality,
     "langid": langid.identify,
     "lm": lm.score,
-    "linededup": lambda d: linededup.strip_repeats(d.select("doc_id", d.columns[1] if d.columns[1] == "text" else "text")) if "TEXT" not in d.columns else linededup.strip_repeats(common.pick(d, doc_id="long", text="string")),
+    "linededup": lambda d: linededup.strip_repeats(d).select("doc_id", "n_removed_lines", "n_removed_chunks"),
     "mixing": mixing.mix,
     "neardup": neardup.near_duplicates,
     "pieces": lambda d: pieces.encode(d, TABLE),
@@ -447,32 +447,42 @@ def test_unigram_fold_is_the_best_path(spark):
 # ---- 7
 
 
-def lines_by_hand(rows, window=2, modulus=4):
+def lines_by_hand(rows, window=2, reach=8):
     import hashlib
 
     h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16) >> 1
-    seen, out = {}, {}
-    docs = {}
+    docs, chunks, seen, out = {}, {}, {}, {}
     for i, t in rows:
         docs.setdefault((i if i is not None else 1 << 62, t), i)
-    chunks = {}
     for key in docs:
         if key[1] is None:
             continue
         ls = key[1].split("\n")
-        hs, first, own = [h(x) for x in ls], 0, []
+        hs, first, chunks[key] = [h(x) for x in ls], 0, []
+        g = [sum(hs[k - j] * pow(linededup.BASE, j, linededup.PRIME) % linededup.PRIME if j else hs[k] for j in range(window) if k - j >= 0) % linededup.PRIME for k in range(len(ls))]
         for k in range(len(ls)):
-            roll = sum(hs[k - j] * pow(linededup.BASE, j, linededup.PRIME) % linededup.PRIME if j else hs[k] for j in range(window) if k - j >= 0)
-            if roll % linededup.PRIME % modulus == 0 or k == len(ls) - 1:
+            inside = 0 < k < len(ls) - 1
+            if k == len(ls) - 1 or inside and g[k - 1] > g[k] <= g[k + 1] or inside and k % 2 == 0 and g[k - 2] == g[k - 1] == g[k] == g[k + 1]:
                 if k > first and WORD.search("".join(ls[first : k + 1])):
-                    own.append((first, k, "\n".join(ls[first : k + 1])))
+                    c = "\n".join(ls[first : k + 1])
+                    chunks[key].append((first, k, c))
+                    seen[c] = min(seen.get(c, ((1 << 63, ""), 0, 0)), (key, first, k))
                 first = k + 1
-        chunks[key] = own
-        for a, _, c in own:
-            seen[c] = min(seen.get(c, ((1 << 63, ""), 0)), (key, a))
+
+    def equal(a, b):
+        n = 0
+        while n < min(reach, len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
     for key, own in chunks.items():
-        gone = {x for a, b, c in own if seen[c] != (key, a) for x in range(a, b + 1)}
-        out[docs[key], key[1]] = "\n".join(x for k, x in enumerate(key[1].split("\n")) if k not in gone)
+        ls, gone = key[1].split("\n"), set()
+        for a, b, c in own:
+            home, x, y = seen[c]
+            if (home, x) != (key, a):
+                there = home[1].split("\n")
+                gone |= set(range(a - equal(ls[:a][::-1], there[:x][::-1]), b + 1 + equal(ls[b + 1 :], there[y + 1 :])))
+        out[docs[key], key[1]] = "\n".join(x for k, x in enumerate(ls) if k not in gone)
     return [(i, None if t is None else out[i, t]) for i, t in rows]
 
 
@@ -481,9 +491,37 @@ def test_line_dedup(spark):
     shared = [[prose(rng, 5) for _ in range(12)] for _ in range(3)]
     rows = [(i, "\n".join([prose(rng, 4) for _ in range(rng.randrange(5))] + rng.choice(shared) + [prose(rng, 4) for _ in range(rng.randrange(5))])) for i in range(40)]
     rows += [(41, rows[3][1]), (42, None), (43, ""), (44, "\n\n\n"), (45, "\n\n\n"), (46, rows[3][1] + "\n" + rows[3][1]), (3, rows[3][1])]
-    got = linededup.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.text) for r in got if r.text) == sorted(x for x in lines_by_hand(rows) if x[1])
-    assert sum(r.n_removed_lines for r in got) > 200 and len(got) == len(rows)
+    got = linededup.strip_repeats(spark.createDataFrame([(*r, "x") for r in rows], "DOC_ID long, Text string, lines string")).collect()
+    assert sorted((r.DOC_ID, r.Text) for r in got if r.Text) == sorted(x for x in lines_by_hand(rows) if x[1])
+    assert sum(r.n_removed_lines for r in got) > 200 and len(got) == len(rows) and {r.lines for r in got} == {"x"}
+
+
+def test_runs_of_repeated_lines(spark):
+    """Most of a run of one line, or of a few in turn, goes; a copy of each line stays."""
+    rng = random.Random(19)
+    rows = [(1, "\n".join(["same"] * 96)), (2, "\n".join(["begin", *["a", "b"] * 40, "end"])), (3, "\n".join(["x", "y", "z"] * 30)), (4, "\n".join(prose(rng, 5) for _ in range(50)))]
+    got = {r.doc_id: r for r in linededup.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted((r.doc_id, r.text) for r in got.values()) == sorted(lines_by_hand(rows))
+    assert all(len(got[i].text.split("\n")) <= 12 and set(got[i].text.split("\n")) == set(t.split("\n")) for i, t in rows[:3]) and got[4].n_removed_lines == 0
+
+
+def test_shared_passages_of_lines(spark):
+    """Passages of six lines and more that two documents share go to their ends, nearly always."""
+    rng = random.Random(23)
+    rows, want = [], 0
+    for k in range(60):
+        passage = [prose(rng, 6) + str(k) for _ in range(6 + k % 10)]
+        want += len(passage)
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, "\n".join([prose(rng, 6) + f"<{i}" for _ in range(5)] + passage + [prose(rng, 6) + f">{i}" for _ in range(5)])))
+    lost = sum(r.n_removed_lines for r in linededup.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert 0.95 * want <= lost <= want
+
+
+def test_a_text_of_very_many_lines(spark):
+    text = "\n".join(f"line {i % 70_000}" for i in range(200_000))
+    [row] = linededup.strip_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.n_removed_lines >= 129_000 and set(row.text.split("\n")) == set(text.split("\n"))
 
 
 # ---- 8
@@ -522,6 +560,23 @@ def test_mix_targets_and_order(spark):
     assert collections.Counter(r.doc_id for r in copies) == collections.Counter({r.doc_id: r.copies for r in out if r.copies})
 
 
+def test_very_long_documents_are_passed_over(spark):
+    """Sources with documents larger than what is open still come near their targets."""
+    rng = random.Random(20)
+    rows = [(i, "w " * rng.randrange(50, 400), "en", f"s{i % 3}") for i in range(600)] + [(1000 + i, "w " * 40_000, "en", f"s{i % 3}") for i in range(9)]
+    took, target = collections.Counter(), {}
+    for r in mixing.mix(spark.createDataFrame(rows, SCHEMA), rows_per_bucket=50).collect():
+        took[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(took[s] - t) <= 0.002 * t for s, t in target.items())
+
+
+def test_repeated_rows_are_mixed_as_one(spark):
+    d = spark.createDataFrame([(1, "a b c", "en", "s", "x"), (1, "a b c", "en", "s", "y"), (2, "d e", "en", "s", "z")], SCHEMA + ", note string")
+    out = [sorted((r.doc_id, r.note) for r in mixing.mixed_documents(x).collect()) for x in (d, d.orderBy(F.desc("note")))]
+    assert out[0] == out[1] and {i for i, _ in out[0]} == {1, 2} and len({n for i, n in out[0] if i == 1}) == 1
+
+
 def test_positions_invert_the_schedule(spark):
     for w, knots in mixing.SCHEDULES.items():
         f = [i / 20 for i in range(21)]
