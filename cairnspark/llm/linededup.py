@@ -10,7 +10,8 @@ average.  Within a run of one repeated line, where the hash stands still, every
 second line ends a chunk.  A chunk of two or more lines, not all of them blank,
 that occurs more than once in the whole table is compared byte by byte, and all
 but its first occurrence (by doc_id, then line) are removed, with up to ``REACH``
-lines on either side that equal those beside the first occurrence.  So a shared
+lines on either side that equal those beside the first occurrence (64-bit hashes
+of lines, next to bytes that were compared).  So a shared
 passage goes to its ends, and of every removed line an equal one stays earlier.
 A last chunk of one line is left alone.
 
@@ -32,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, place_of
+from .common import join_few, materialize, pick, place_of
 
 WINDOW, BASE, PRIME, REACH = 2, 1_000_003, 2_147_483_647, 8
+#: Documents with repeated chunks: so many are broadcast with their chunks' places (some 20 MB), more are shuffled.
+FEW_DOCS = 100_000
 #: Where null ids sort: after every other.
 LAST = (1 << 63) - 1
 
@@ -111,21 +114,21 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, reach: int = REACH) -> Da
     d = d.select("doc_id", F.xxhash64("text").alias("th"), "text")
     chunks = line_chunks(d, window)
     again = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    # repeated by hash: their texts and the lines beside them, from one row of each document
+    # repeated by hash: their texts and the hashes of the lines beside them
     parts = chunks.join(again, "h").distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
-    parts = materialize(parts).withColumnsRenamed({"doc_id": "i", "th": "t"})
+    parts = materialize(parts.select(F.xxhash64("doc_id", "th").alias("k"), F.col("doc_id").alias("i"), F.col("th").alias("t"), "parts"))
+    hashed = lambda lines: F.transform(lines, lambda x: F.xxhash64(x))
     beside = lambda lines, s: F.struct(
         s["first"].alias("first"), s["last"].alias("last"), _text(lines, s).alias("chunk"),
-        F.reverse(_run(lines, F.greatest(F.lit(0), s["first"] - reach), s["first"] - 1)).alias("before"), F.slice(lines, s["last"] + 2, reach).alias("after"),
+        hashed(F.reverse(_run(lines, F.greatest(F.lit(0), s["first"] - reach), s["first"] - 1))).alias("before"), hashed(F.slice(lines, s["last"] + 2, reach)).alias("after"),
     )
-    found = d.join(parts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
+    found = join_few(d.withColumn("k", F.xxhash64("doc_id", "th")), parts, "k", FEW_DOCS).where(F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
     found = found.select("doc_id", "th", F.inline(once(F.struct(F.split("text", "\n").alias("lines"), "parts"), lambda x: F.transform(x["parts"], lambda s: beside(x["lines"], s)))))
-    found = found.withColumn("h", F.md5(F.col("chunk").cast("binary")))
-    same = materialize(found.distinct())
+    same = materialize(found.withColumn("h", F.xxhash64("chunk")))
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("d"), "th", "first")
-    kept = same.groupBy("h", "chunk").agg(F.min(place).alias("kept"), F.min(F.struct(place.alias("p"), "before", "after")).alias("k"))
-    gone = same.join(kept, ["h", "chunk"]).where(place != F.col("kept"))
-    gone = gone.select("doc_id", "th", (F.col("first") - _like(F.col("before"), F.col("k.before"))).alias("a"), (F.col("last") + _like(F.col("after"), F.col("k.after"))).alias("b"))
+    kept = same.groupBy("h", "chunk").agg(F.min(F.struct(place.alias("p"), "before", "after")).alias("k"))
+    gone = same.join(kept, ["h", "chunk"]).where(place != F.col("k.p"))
+    gone = gone.select("doc_id", "th", "first", (F.col("first") - _like(F.col("before"), F.col("k.before"))).alias("a"), (F.col("last") + _like(F.col("after"), F.col("k.after"))).alias("b")).distinct()
     # runs that touch are one
     w = W.partitionBy("doc_id", "th").orderBy("a", "b")
     far = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
