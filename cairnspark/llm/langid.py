@@ -7,8 +7,10 @@ the language whose prototype has the largest cosine with it.
 
 Text is lower-cased; a run of other characters than letters is one word border,
 which is a symbol of its own, and text begins and ends with a border.  Counts of
-distinct n-grams, not positions, are multiplied with the n-gram vectors, slice
-by slice, so memory follows neither text length nor alphabet.
+distinct n-grams, not positions, are multiplied with the n-gram vectors, by slices
+of ``GRAMS_AT_ONCE`` n-grams; a text of more than ``CHARS_AT_ONCE`` characters is
+taken in windows whose sums are added.  So apart from the text itself and its code
+points, memory follows neither text length nor alphabet.
 
 Edge cases.  A null text or one without a letter is ``und`` with score 0.  Ties
 go to the language that sorts first.  Without a single learned language all is
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, pick, place_of
 
 DIM, GRAM, SEED, UNKNOWN, MIN_SCORE = 1024, 3, 20250, "und", 0.05
-DOCS_AT_ONCE, CHARS_AT_ONCE, GRAMS_AT_ONCE, DENSE_GRAMS = 512, 2_000_000, 2048, 1 << 22
+DOCS_AT_ONCE, CHARS_AT_ONCE, GRAMS_AT_ONCE, DENSE_GRAMS, CELLS = 512, 1_000_000, 2048, 1 << 22, 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -88,12 +90,42 @@ def gram_vectors(grams: np.ndarray, dim: int = DIM) -> np.ndarray:
 def bundles(texts: list[str], groups: np.ndarray, n_groups: int, dim: int = DIM) -> np.ndarray:
     """Sum of the n-gram vectors of each group of texts (group -1: none)."""
     out = np.zeros((n_groups, dim), np.float64 if n_groups < 64 else np.float32)
+    for k in [k for k, t in enumerate(texts) if len(t) > CHARS_AT_ONCE and groups[k] >= 0]:
+        out[groups[k]] += long_bundle(texts[k], dim)
+    if any(len(t) > CHARS_AT_ONCE for t in texts):
+        texts = [t if len(t) <= CHARS_AT_ONCE else "" for t in texts]
     grams, doc, at = gram_table(texts)
     own = groups[doc]
     doc, at = own[own >= 0], at[own >= 0]
-    count = np.bincount(doc * len(grams) + at, minlength=n_groups * len(grams)).reshape(n_groups, -1) if len(grams) else None
+    if n_groups * len(grams) <= CELLS:
+        count = np.bincount(doc * len(grams) + at, minlength=n_groups * len(grams)).reshape(n_groups, -1) if len(grams) else None
+        part = lambda i, n: count[:, i : i + n]
+    else:
+        by = np.argsort(at, kind="stable")
+        doc, at = doc[by], at[by]
+
+        def part(i: int, n: int) -> np.ndarray:
+            lo, hi = np.searchsorted(at, (i, i + n))
+            return np.bincount(doc[lo:hi] * n + at[lo:hi] - i, minlength=n_groups * n).reshape(n_groups, n)
+
     for i in range(0, len(grams), GRAMS_AT_ONCE):
-        out += count[:, i : i + GRAMS_AT_ONCE].astype(out.dtype) @ gram_vectors(grams[i : i + GRAMS_AT_ONCE], dim).astype(out.dtype)
+        some = grams[i : i + GRAMS_AT_ONCE]
+        out += part(i, len(some)).astype(out.dtype) @ gram_vectors(some, dim).astype(out.dtype)
+    return out
+
+
+def long_bundle(text: str, dim: int = DIM) -> np.ndarray:
+    """The bundle of one long text, by windows over its symbols."""
+    flat = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    flat = np.concatenate([[0], np.where(_is_letter()[flat], flat, 0), [0]]).astype(np.int64)
+    flat = flat[np.append(True, (flat[1:] != 0) | (flat[:-1] != 0))]
+    out = np.zeros(dim)
+    for i in range(0, len(flat) - GRAM + 1, CHARS_AT_ONCE):
+        x = flat[i : i + CHARS_AT_ONCE + GRAM - 1]
+        key, n = np.unique((x[:-2] << 42) | (x[1:-1] << 21) | x[2:], return_counts=True)
+        grams = np.stack([key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF], 1)
+        for k in range(0, len(grams), GRAMS_AT_ONCE):
+            out += n[k : k + GRAMS_AT_ONCE] @ gram_vectors(grams[k : k + GRAMS_AT_ONCE], dim).astype(np.float64)
     return out
 
 

@@ -240,6 +240,17 @@ def test_bundles_equal_the_definition():
         assert np.array_equal(got, want if any(seq) else 0 * want)
 
 
+def test_long_texts_and_large_alphabets_are_cut(monkeypatch):
+    """Windows and slices change no bundle."""
+    rng = random.Random(22)
+    texts = ["".join(chr(rng.choice([32, 46, rng.randrange(97, 123), rng.randrange(0x4E00, 0x5200)])) for _ in range(n)) for n in (0, 3, 400, 2500, 900)] + ["ab", " ", "é" * 1200]
+    want = langid.bundles(texts, np.arange(len(texts)), len(texts))
+    monkeypatch.setattr(langid, "CELLS", 10)
+    assert np.array_equal(langid.bundles(texts, np.arange(len(texts)), len(texts)), want)
+    monkeypatch.setattr(langid, "CHARS_AT_ONCE", 700)
+    assert np.array_equal(langid.bundles(texts, np.arange(len(texts)), len(texts)), want)
+
+
 def test_language_held_out_accuracy(spark):
     rng = random.Random(4)
     say = {"aa": ["kalo", "lami", "mika", "olak"], "bb": ["tzur", "zrut", "rutz", "utrz"], "cc": ["ééna", "naéé", "énan", "anée"]}
