@@ -27,20 +27,27 @@ def _urls() -> str:
 
     out = rf"""WITH rests AS (SELECT page_id, coalesce({host}, '') AS rest FROM pages),
  u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), {_UPPER}, {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
- cut AS (SELECT *, string_split(regexp_replace(regexp_replace(path, '^/|/$', '', 'g'), '[0-9]+', '#', 'g'), '/') AS all_segs FROM u),
- shaped AS (SELECT page_id, host, path, CASE WHEN len(all_segs) > {url_filter.DEPTH} THEN list_append(all_segs[1:{url_filter.DEPTH}], '**') ELSE all_segs END AS segs FROM cut),
+ shaped AS (SELECT page_id, host, path, string_split(regexp_replace(regexp_replace(path, '^/|/$', '', 'g'), '[0-9]+', '#', 'g'), '/') AS segs FROM u),
  lab AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
  known AS (SELECT page_id, max(bad) AS bad FROM u JOIN lab ON TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) = doc_id GROUP BY 1),
- t0 AS (SELECT host, segs, '' AS template, count(bad) AS lab, coalesce(sum(bad), 0) AS bad FROM shaped LEFT JOIN known USING (page_id) GROUP BY 1, 2)"""
-    for i in range(url_filter.DEPTH + 1):
+ t0 AS (SELECT host, segs, '' AS template, count(bad) AS lab, coalesce(sum(bad), 0) AS bad, true AS open FROM shaped LEFT JOIN known USING (page_id) GROUP BY 1, 2)"""
+    levels, m = 8, url_filter.MIN_LABELS  # more than paths have
+
+    def differs(n, bad, all_n, all_bad):
+        gap = f"({bad} / {n} - ({all_bad} - {bad}) / ({all_n} - {n}))"
+        return f"{all_n} > {n} AND {all_bad} > 0 AND {all_bad} < {all_n} AND {gap} * {gap} >= {url_filter.Z2}::DOUBLE * ({all_bad} / {all_n}) * (1 - {all_bad} / {all_n}) * (1 / {n} + 1 / ({all_n} - {n}))"
+
+    for i in range(levels):
         out += f""",
- c{i} AS (SELECT host, template, segs[{i + 1}] AS seg, sum(lab) AS cl, sum(bad) AS cb FROM t{i} WHERE len(segs) > {i} GROUP BY 1, 2, 3),
- n{i} AS (SELECT host, template, sum(cl) AS pl, sum(cb) AS pb FROM c{i} GROUP BY 1, 2),
- o{i} AS (SELECT host, template, seg FROM c{i} JOIN n{i} USING (host, template) WHERE cl >= {url_filter.MIN_LABELS} AND pl > cl AND pb > 0 AND pb < pl
-   AND (cb / cl - (pb - cb) / (pl - cl)) * (cb / cl - (pb - cb) / (pl - cl)) >= {url_filter.Z2}::DOUBLE * (pb / pl) * (1 - pb / pl) * (1 / cl + 1 / (pl - cl))),
- t{i + 1} AS (SELECT t.host, segs, lab, bad, CASE WHEN len(segs) <= {i} THEN t.template WHEN o.seg IS NOT NULL OR segs[{i + 1}] = '**' THEN t.template || '/' || segs[{i + 1}] ELSE t.template || '/*' END AS template
-   FROM t{i} t LEFT JOIN o{i} o ON t.host = o.host AND t.template = o.template AND segs[{i + 1}] = o.seg)"""
-    last, prior = f"t{url_filter.DEPTH + 1}", f"{url_filter.PRIOR}::DOUBLE"
+ c{i} AS (SELECT host, template, segs[{i + 1}] AS seg, sum(lab) AS cl, sum(bad) AS cb FROM t{i} WHERE open AND len(segs) > {i} GROUP BY 1, 2, 3),
+ n{i} AS (SELECT host, template, sum(cl) AS pl, sum(cb) AS pb FROM c{i} GROUP BY 1, 2 HAVING sum(cb) > 0 AND sum(cb) < sum(cl) AND sum(cl) > {m}),
+ o{i} AS (SELECT c.*, cb * pl > pb * cl AS high FROM c{i} c JOIN n{i} USING (host, template) WHERE cl >= {m} AND {differs("cl", "cb", "pl", "pb")}),
+ a{i} AS (SELECT host, template, high, sum(cl) AS gl, sum(cb) AS gb, count(*) AS k, min(seg) AS first FROM o{i} GROUP BY 1, 2, 3),
+ b{i} AS (SELECT host, template, seg, CASE WHEN k = 1 THEN seg WHEN {differs("cl", "cb", "gl", "gb")} THEN seg ELSE '(' || first || '..)' END AS name FROM o{i} JOIN a{i} USING (host, template, high)),
+ t{i + 1} AS (SELECT t.host, segs, lab, bad, open AND len(segs) > {i} AND n.host IS NOT NULL AS open,
+   CASE WHEN NOT open OR len(segs) <= {i} THEN t.template ELSE t.template || '/' || CASE WHEN n.host IS NULL THEN '**' ELSE coalesce(name, '*') END END AS template
+   FROM t{i} t LEFT JOIN n{i} n ON t.host = n.host AND t.template = n.template LEFT JOIN b{i} b ON t.host = b.host AND t.template = b.template AND segs[{i + 1}] = b.seg)"""
+    last, prior = f"t{levels}", f"{url_filter.PRIOR}::DOUBLE"
     return out + f""",
  leaf AS (SELECT host, template, sum(lab) AS lab, sum(bad) AS bad FROM {last} GROUP BY 1, 2),
  hosts AS (SELECT host, (sum(bad) + {prior} * (SELECT sum(bad) FROM leaf) / (SELECT sum(lab) FROM leaf)) / (sum(lab) + {prior}) AS rate FROM leaf GROUP BY 1 HAVING (SELECT sum(lab) FROM leaf) > 0),

@@ -7,9 +7,13 @@ Tree.  A path is cut into segments and every digit run of a segment becomes
 that a host with a third of all pages costs a few rows.  Level by level, a child
 segment keeps a branch of its own only if it has ``min_labels`` labelled pages
 and its labelled bad rate differs from that of its siblings (two-proportion
-z test, ``z2`` = critical value of z squared); all other children are
-statistically similar and merge into the wildcard ``*``.  Segments below
-``depth`` merge into ``**``.
+z test, ``z2`` = critical value of z squared).  All other children are
+statistically similar, whatever their names (names, dates, hashes), and merge into
+the wildcard ``*``.  Of those that differ, the ones with a higher rate than their
+siblings are compared with each other likewise, and so are the ones with a lower
+rate: those that do not differ merge into one branch, ``(first..)``.  A branch
+grows as long as it has both kinds of labels, more than ``min_labels`` in all;
+else what lies deeper merges into ``**``.  No depth is fixed.
 
 Purity.  A template's bad rate is smoothed towards its host's and the host's
 towards the global rate, each with ``prior`` pseudo-counts.  A template with a
@@ -19,7 +23,8 @@ blocked.
 Edge cases.  A null url or one without ``://`` has an empty host and path, fits
 no rule, and is judged like any other (empty) template.  Repeated pages are
 judged alike; pages without a label count as unlabelled; with no labels at all
-everything is allowed; an empty table gives an empty result.
+everything is allowed; column names may differ in case and extra columns do no
+harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from .common import lower_ascii, materialize, pick
 
 #: (verdict, rule) of the registered query; a rule is host + path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DEPTH, MIN_LABELS, Z2, PRIOR, REJECT = 4, 5, 3.84, 5.0, 0.5
+MIN_LABELS, Z2, PRIOR, REJECT = 5, 3.84, 5.0, 0.5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -55,45 +60,46 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return (rule, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def shaped_segments(path: Column, depth: int) -> Column:
-    """Segments with ``#`` for digit runs; those below ``depth`` as one ``**``."""
-    segs = F.split(F.regexp_replace(F.regexp_replace(path, r"^/|/$", ""), r"[0-9]+", "#"), "/")
-    return F.when(F.size(segs) > depth, F.concat(F.slice(segs, 1, depth), F.array(F.lit("**")))).otherwise(segs)
+def shape_of(path: Column) -> Column:
+    """The path without outer slashes, with ``#`` for digit runs."""
+    return F.regexp_replace(F.regexp_replace(path, r"^/|/$", ""), r"[0-9]+", "#")
 
 
-def template_tree(urls: DataFrame, depth: int = DEPTH, min_labels: int = MIN_LABELS, z2: float = Z2) -> DataFrame:
-    """(host, shape, template, n, lab, bad) of (host, segs, bad): bad is 1, 0 or null."""
+def _differs(n: Column, bad: Column, all_n: Column, all_bad: Column, z2: float) -> Column:
+    """Does a part's rate differ from that of the rest?  z squared, with the pooled variance."""
+    rest, rate = F.when(all_n > n, all_n - n), all_bad / all_n
+    gap = bad / n - (all_bad - bad) / rest
+    return rest.isNotNull() & (all_bad > 0) & (all_bad < all_n) & (gap * gap >= z2 * rate * (1 - rate) * (1 / n + 1 / rest))
+
+
+def template_tree(urls: DataFrame, min_labels: int = MIN_LABELS, z2: float = Z2) -> DataFrame:
+    """(host, shape, template, n, lab, bad) of (host, shape, bad): bad is 1, 0 or null."""
     t = materialize(
-        urls.groupBy("host", F.array_join("segs", "/").alias("shape"))
+        urls.groupBy("host", "shape")
         .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("template", F.lit(""))
+        .withColumn("open", F.lit(True))
     )
-    for level in range(depth + 1):
-        seg = F.get(F.split("shape", "/"), F.lit(level))
-        t = t.withColumn("seg", seg)
+    level = 0
+    while not t.where("open").isEmpty():
+        t = t.withColumn("seg", F.when(F.col("open"), F.get(F.split("shape", "/"), F.lit(level))))
         child = t.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("lab").alias("cl"), F.sum("bad").alias("cb"))
-        node = child.groupBy("host", "template").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))
-        # z squared of (child's rate - siblings' rate), with the pooled variance
-        rest_l, rest_b = F.col("pl") - F.col("cl"), F.col("pb") - F.col("cb")
-        rate = F.col("pb") / F.col("pl")
-        gap = F.col("cb") / F.col("cl") - rest_b / rest_l
-        own = (
-            child.where(F.col("cl") >= min_labels)
-            .join(node, ["host", "template"])
-            .where((rest_l > 0) & (F.col("pb") > 0) & (F.col("pb") < F.col("pl")))
-            .where(gap * gap >= z2 * rate * (1 - rate) * (1 / F.col("cl") + 1 / rest_l))
-            .select("host", "template", "seg", F.lit(True).alias("own"))
-        )
-        t = t.join(own, ["host", "template", "seg"], "left").select(
-            "host", "shape", "n", "lab", "bad",
-            F.when(F.col("seg").isNull(), F.col("template"))
-            .when(F.col("own"), F.concat("template", F.lit("/"), "seg"))
-            .when(F.col("seg") == "**", F.concat("template", F.lit("/**")))
-            .otherwise(F.concat("template", F.lit("/*")))
-            .alias("template"),
-        )
-        t = materialize(t)  # a level reads the last one several times
-    return t
+        node = child.groupBy("host", "template").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb")).where(f"pb > 0 and pb < pl and pl > {min_labels}")
+        c = F.col
+        own = child.where(c("cl") >= min_labels).join(node, ["host", "template"]).where(_differs(c("cl"), c("cb"), c("pl"), c("pb"), z2))
+        own = own.select("host", "template", "seg", "cl", "cb", (c("cb") * c("pl") > c("pb") * c("cl")).alias("high"))
+        alike = own.groupBy("host", "template", "high").agg(F.sum("cl").alias("gl"), F.sum("cb").alias("gb"), F.count(F.lit(1)).alias("k"), F.min("seg").alias("first"))
+        own = own.join(alike, ["host", "template", "high"])
+        alone = (c("k") == 1) | F.coalesce(_differs(c("cl"), c("cb"), c("gl"), c("gb"), z2), F.lit(False))
+        own = own.select("host", "template", "seg", F.when(alone, c("seg")).otherwise(F.concat(F.lit("("), c("first"), F.lit("..)"))).alias("name"))
+        t = t.join(own, ["host", "template", "seg"], "left").join(node.select("host", "template", F.lit(True).alias("grows")), ["host", "template"], "left")
+        step = F.when(c("grows"), F.coalesce("name", F.lit("*"))).otherwise(F.lit("**"))
+        t = materialize(t.select(
+            "host", "shape", "n", "lab", "bad", (c("seg").isNotNull() & c("grows").isNotNull()).alias("open"),
+            F.when(c("seg").isNull(), c("template")).otherwise(F.concat("template", F.lit("/"), step)).alias("template"),
+        ))
+        level += 1
+    return t.drop("open")
 
 
 def rejected_shapes(tree: DataFrame, min_labels: int = MIN_LABELS, prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
@@ -113,7 +119,7 @@ def rejected_shapes(tree: DataFrame, min_labels: int = MIN_LABELS, prior: float
     return tree.join(bad.select("host", "template"), ["host", "template"]).select("host", "shape", "template")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH, **limits) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **limits) -> DataFrame:
     """page_id, host, path, rule, verdict and, if the tree blocks it, the template.
 
     ``pages``: page_id, url.  ``labels``: page_id and bad (1 or 0), one row a page at most.
@@ -122,17 +128,16 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DE
     urls = (
         pick(pages, page_id="long", url="string")
         .select("page_id", host.alias("host"), path.alias("path"))
-        .withColumn("segs", shaped_segments(F.col("path"), depth))
+        .withColumn("shape", shape_of(F.col("path")))
     )
     lab = pick(labels, page_id="long", bad="int").groupBy("page_id").agg(F.max("bad").alias("bad"))
     known = {k: v for k, v in limits.items() if k in ("min_labels", "z2")}
-    tree = template_tree(urls.join(lab, "page_id", "left"), depth, **known)
+    tree = template_tree(urls.join(lab, "page_id", "left"), **known)
     known = {k: v for k, v in limits.items() if k in ("min_labels", "prior", "reject")}
     bad = rejected_shapes(tree, **known)
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     return (
-        urls.withColumn("shape", F.array_join("segs", "/"))
-        .join(bad, ["host", "shape"], "left")
+        urls.join(bad, ["host", "shape"], "left")
         .select(
             "page_id", "host", "path", rule.alias("rule"),
             F.coalesce(verdict, F.when(F.col("template").isNotNull(), "block").otherwise("allow")).alias("verdict"),

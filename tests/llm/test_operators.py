@@ -86,27 +86,46 @@ def test_all_rows_null(spark):
 # ---- 1
 
 
-def tree_by_hand(urls, depth=4, min_labels=5, z2=3.84, prior=5.0, reject=0.5):
+def tree_by_hand(urls, min_labels=5, z2=3.84, prior=5.0, reject=0.5):
     """Rejected (host, shape), from the docstring."""
-    shape = lambda p: re.sub("[0-9]+", "#", re.sub("^/|/$", "", p)).split("/")
-    rows = [(h, (s := shape(p))[:depth] + ["**"] * (len(s) > depth), b) for h, p, b in urls]
-    temp = {i: () for i in range(len(rows))}
-    for level in range(depth + 1):
-        stat = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0]))
-        for i, (h, s, b) in enumerate(rows):
-            if len(s) > level and b is not None:
-                stat[h, temp[i]][s[level]][0] += 1
-                stat[h, temp[i]][s[level]][1] += b
-        for i, (h, s, _) in enumerate(rows):
-            if len(s) > level:
-                kids = stat[h, temp[i]]
-                pl, pb = sum(v[0] for v in kids.values()), sum(v[1] for v in kids.values())
-                cl, cb = kids.get(s[level], [0, 0])
-                own = False
-                if cl >= min_labels and pl > cl and 0 < pb < pl:
-                    gap, rate = cb / cl - (pb - cb) / (pl - cl), pb / pl
-                    own = gap * gap >= z2 * rate * (1 - rate) * (1 / cl + 1 / (pl - cl))
-                temp[i] += (s[level] if own or s[level] == "**" else "*",)
+    rows = [(h, re.sub("[0-9]+", "#", re.sub("^/|/$", "", p)).split("/"), b) for h, p, b in urls]
+    temp, live, level = {i: () for i in range(len(rows))}, set(range(len(rows))), 0
+
+    def differs(n, b, all_n, all_b):
+        if not (all_n > n and 0 < all_b < all_n):
+            return False
+        gap, rate = b / n - (all_b - b) / (all_n - n), all_b / all_n
+        return gap * gap >= z2 * rate * (1 - rate) * (1 / n + 1 / (all_n - n))
+
+    while live:
+        live = {i for i in live if len(rows[i][1]) > level}
+        nodes = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0]))
+        for i in live:
+            h, s, b = rows[i]
+            kid = nodes[h, temp[i]][s[level]]
+            if b is not None:
+                kid[0] += 1
+                kid[1] += b
+        name = {}
+        for node, kids in nodes.items():
+            pl, pb = sum(v[0] for v in kids.values()), sum(v[1] for v in kids.values())
+            if not (0 < pb < pl and pl > min_labels):
+                name[node] = None
+                continue
+            own = {s: v for s, v in kids.items() if v[0] >= min_labels and differs(*v, pl, pb)}
+            name[node] = {}
+            for side in (True, False):
+                like = {s: v for s, v in own.items() if (v[1] * pl > pb * v[0]) == side}
+                gl, gb = sum(v[0] for v in like.values()), sum(v[1] for v in like.values())
+                for s, v in like.items():
+                    name[node][s] = s if len(like) == 1 or differs(*v, gl, gb) else f"({min(like)}..)"
+        for i in list(live):
+            h, s, _ = rows[i]
+            names = name[h, temp[i]]
+            temp[i] += ("**",) if names is None else (names.get(s[level], "*"),)
+            if names is None:
+                live.discard(i)
+        level += 1
     known = [b for _, _, b in urls if b is not None]
     if not known:
         return set()
@@ -125,6 +144,23 @@ def tree_by_hand(urls, depth=4, min_labels=5, z2=3.84, prior=5.0, reject=0.5):
     return out
 
 
+def test_url_tree_without_a_depth(spark):
+    """Bad branches below six mixed levels; two alike ones merge, a third differs; clashing columns do no harm."""
+    rng = random.Random(4)
+    rate = {"casino": 0.97, "pills": 0.96, "odd": 0.6, "news": 0.03, "blog": 0.04}
+    urls = [(i, "h.test", f"/a{i}/{rng.choice('xy')}/{rng.randrange(9)}/b/{rng.choice(WORDS)}/c/{k}/{rng.choice(WORDS)}.html", int(rng.random() < rate[k])) for i, k in enumerate(rng.choices(sorted(rate), k=1500))]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}", "x", "y") for i, h, p, _ in urls], "page_id long, URL string, template string, host string")
+    labels = spark.createDataFrame([(i, b) for i, _, _, b in urls if i % 3], "page_id long, bad int")
+    out = url_filter.judge_urls(pages, labels, rules=()).collect()
+    got = {(r.host, re.sub("[0-9]+", "#", r.path).strip("/")) for r in out if r.verdict == "block"}
+    want = tree_by_hand([(h, p, b if i % 3 else None) for i, h, p, b in urls])
+    assert got == want
+    bad = [r for r in out if "/casino/" in r.path or "/pills/" in r.path]
+    [(template, n)] = collections.Counter(r.template for r in bad).most_common(1)
+    assert all(r.verdict == "block" for r in bad) and n > len(bad) / 2 and template == "/*/*/*/*/*/*/(casino..)/*"
+    assert not any(r.verdict == "block" for r in out if "/news/" in r.path or "/blog/" in r.path)
+
+
 def test_url_tree(spark):
     rng = random.Random(1)
     urls = []
