@@ -7,10 +7,12 @@ time: after segments 0..j were searched at radius r (and the rest at r-1), every
 code within Hamming distance segments*r + j is among the verified candidates, so
 the search stops once the kth verified distance is no larger.  The shards' exact
 answers are merged by a bounded top-k.  Queries and shards meet in blocks, a
-block of queries with one shard at a time; equal codes are one entry of a shard's
-tables, so a code that a third of all rows share costs one verification.
+large block of queries with one shard at a time: a shard's index is built once for
+the whole block, so codes are shuffled once for each ``QUERY_ROWS`` queries.  Equal
+codes are one entry of a shard's tables, so a code that a third of all rows share
+costs one verification.
 
-Ties go to the smaller id.  Null ids or codes are neither found nor asked for.
+Ties go to the smaller id; column names may differ in case, extra columns do no harm.  Null ids or codes are neither found nor asked for.
 Repeated (id, code) rows count once.  A table with fewer than k codes gives all
 of them.  k < 1 or an empty table gives an empty result.
 """
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-K, SEGMENTS, SHARD_ROWS, QUERY_ROWS, LEAST_SHARDS = 10, 4, 262_144, 16_384, 8
+MOST_PARTS = 8192
+K, SEGMENTS, SHARD_ROWS, QUERY_ROWS, LEAST_SHARDS = 10, 4, 262_144, 262_144, 8
 
 
 def sign_code(vector: Column) -> Column:
@@ -129,9 +132,11 @@ def topk_hamming(
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids, "distance": dist}))
         return pd.concat(out) if out else pd.DataFrame({x: pd.Series([], dtype="int64") for x in ("query_id", "vec_id", "distance")})
 
+    # few rows, much work: a fixed number of partitions, which are not put together again
+    parts = min(4 * shards * blocks, MOST_PARTS)
     found = (
-        left.groupBy("shard", "block")
-        .cogroup(right.groupBy("shard", "block"))
+        left.repartition(parts, "shard", "block").groupBy("shard", "block")
+        .cogroup(right.repartition(parts, "shard", "block").groupBy("shard", "block"))
         .applyInPandas(answer, "query_id long, vec_id long, distance long")
     )
     w = W.partitionBy("query_id").orderBy("distance", "vec_id")

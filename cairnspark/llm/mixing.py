@@ -26,7 +26,8 @@ buckets follows the number of rows.
 
 Edge cases.  A null or empty text has size 0: it is taken 0 times and has no
 position.  A null source is a source of its own.  Repeated rows are documents
-of their own.  An empty table gives an empty result.
+of their own.  Column names may differ in case; extra columns do no harm.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

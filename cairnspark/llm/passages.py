@@ -21,7 +21,8 @@ smallest doc_id.
 
 Edge cases.  Texts of fewer than five words, null and empty ones, and null
 doc_ids take no part.  Rows of one doc_id are one document, which repeats
-nothing of itself.  An empty table gives an empty result.
+nothing of itself.  Column names may differ in case; extra columns do no harm.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -253,6 +253,20 @@ def test_hamming_is_exact(spark, k, segments, shard):
     assert hamming.topk_hamming(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_clashing_columns_of_pairs_and_passages(spark):
+    """Extra columns with the operators' own names, and names in another case, change nothing."""
+    rng = random.Random(24)
+    codes = spark.createDataFrame([(i, rng.getrandbits(62)) for i in range(60)], "vec_id long, code long")
+    odd = codes.select(F.col("vec_id").alias("VEC_ID"), F.col("code").alias("Code"), *[F.lit("x").alias(c) for c in ("shard", "block", "distance", "rank")])
+    key = lambda rows: sorted(map(str, rows))
+    assert key(hamming.topk_hamming(codes, codes, 3).collect()) == key(hamming.topk_hamming(odd, odd, 3).collect())
+    both = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    docs = spark.createDataFrame([(i, prose(rng, 30) + " " + both) for i in range(3)], "doc_id long, text string")
+    odd = docs.select(F.col("doc_id").alias("Doc_Id"), F.col("text").alias("TEXT"), *[F.lit("x").alias(c) for c in ("class", "home", "first", "words", "node", "k0", "parts")])
+    want = key(passages.repeated_passages(docs).collect())
+    assert want and want == key(passages.repeated_passages(odd).collect())
+
+
 def test_hamming_stops_early():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 1 << 63, 4000, np.uint64)
