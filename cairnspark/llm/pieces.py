@@ -50,6 +50,8 @@ from .common import pick
 MARK, FOLD_CHARS = "▁", 60
 #: Texts are cut in chunks; a block is so many chunks, or fewer if they have so many different words.
 CHUNK, CHUNKS, MOST_WORDS = 3_000_000, 20, 600_000
+#: Tokens whose ids are put together at a time, or those of one document.
+TOKENS_AT_ONCE = 500_000
 #: Begins the key of a row that is a block's, not a word's.
 BLOCK_MARK = "\0block "
 COARSE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -240,16 +242,21 @@ def put_together(payload: bytes, answers: list[bytes], t: PieceTable, raw: pa.Ar
     parts = np.where(parts == 0, np.cumsum(parts == 0) - 1, parts - 1)
     by_part, flat = take_lists(offsets, flat, at[parts])
     offsets = by_part[np.append(0, np.cumsum(from_planes(one["counts"].to_numpy())))]
-    by_token, flat = take_lists(offsets, flat, from_planes(one["tokens"].to_numpy()))
-    edge = by_token[np.append(0, np.cumsum(one["size"].to_numpy().astype(np.int64)))]
-    null = one["said"].is_null().to_numpy(zero_copy_only=False)
-    ids = pa.ListArray.from_arrays(pa.array(edge, pa.int32(), mask=np.append(null, False)), pa.array(flat))
-    back = raw.take(pa.array(flat))
-    data, place = memoryview(back.buffers()[2] or b""), back.buffers()[1]
-    place = np.frombuffer(place, np.int64)[edge] if place else np.zeros(len(edge), np.int64)
-    said = one["said"].to_pylist()
-    same = [None if x is None else xxhash.xxh3_128_digest(data[min(a + 1, b) : b]) == x for x, a, b in zip(said, place[:-1].tolist(), place[1:].tolist(), strict=True)]
-    return pa.Table.from_arrays([one["doc_id"], ids, pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
+    tokens, said, null = from_planes(one["tokens"].to_numpy()), one["said"].to_pylist(), one["said"].is_null().to_numpy(zero_copy_only=False)
+    edge = np.append(0, np.cumsum(one["size"].to_numpy().astype(np.int64)))
+    ids, same, i = [], [], 0
+    while i < len(said):  # some documents at a time
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + TOKENS_AT_ONCE)))
+        j = min(j, len(said))
+        by_token, own = take_lists(offsets, flat, tokens[edge[i] : edge[j]])
+        at = by_token[edge[i : j + 1] - edge[i]]
+        ids.append(pa.ListArray.from_arrays(pa.array(at, pa.int32(), mask=np.append(null[i:j], False)), pa.array(own)))
+        back = raw.take(pa.array(own))
+        data, place = memoryview(back.buffers()[2] or b""), back.buffers()[1]
+        place = (np.frombuffer(place, np.int64)[at] if place else np.zeros(len(at), np.int64)).tolist()
+        same += [None if x is None else xxhash.xxh3_128_digest(data[min(a + 1, b) : b]) == x for x, a, b in zip(said[i:j], place, place[1:], strict=False)]
+        i = j
+    return pa.Table.from_arrays([one["doc_id"], pa.chunked_array(ids), pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
 
 
 EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "round_trip": pa.array([], pa.bool_())})
