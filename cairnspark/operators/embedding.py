@@ -32,8 +32,9 @@ def keyword_embedding(text: Column) -> Column:
     Each group of words found lifts its 30 dimensions along a sine; what is then
     still 0 gets a small value from the first characters' code points.
     """
-    low = F.lower(text)
-    hits = [F.lit(GROUP_WEIGHT) * sum(F.contains(low, F.lit(w)).cast("double") for w in ws) / len(ws) for ws in KEYWORDS.values()]
+    # the lower-cased text is bound as a lambda's variable: it is made once, not once a word
+    found = lambda low: F.array(*[F.lit(GROUP_WEIGHT) * sum(F.contains(low, F.lit(w)).cast("double") for w in ws) / len(ws) for ws in KEYWORDS.values()])
+    hits = F.transform(F.array(F.lower(text)), found)[0]
     points = F.transform(F.split(F.substring(text, 1, HASH_CHARS), ""), F.ascii)
     total = F.aggregate(points, F.lit(0).cast("long"), lambda a, x: a + x)
     base = F.pmod(total, F.lit(HASH_MOD)) / F.lit(HASH_DIVISOR)
@@ -48,7 +49,7 @@ def keyword_embedding(text: Column) -> Column:
 
         return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), dim)
 
-    raw = F.transform(F.array(F.struct(F.array(*hits).alias("hits"), base.alias("base"))), vector)[0]
+    raw = F.transform(F.array(F.struct(hits.alias("hits"), base.alias("base"))), vector)[0]
 
     def unit(v: Column) -> Column:
         size = F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("n"))

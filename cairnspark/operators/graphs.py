@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 
 
-def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """Simple cycles of (src, dst) of up to ``max_length`` edges, as ``path`` from the smallest node.
+def cycles(edges: DataFrame) -> DataFrame:
+    """Simple cycles of (src, dst), however long, as ``path`` from the smallest node.
 
     Paths grow by one equi-join a round from their smallest node, so each cycle
     is found once; the frontier holds only nodes that can lie on a cycle.  A
@@ -18,7 +18,7 @@ def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
     e = core(edges)
     paths = e.where("src < dst").select(F.col("src").alias("root"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
     found = e.where("src = dst").select(F.array("src").alias("path"))
-    for _ in range(max_length - 1):
+    while True:
         step = materialize(paths.join(e, F.col("at") == F.col("src")).where("dst >= root and (dst = root or not array_contains(path, dst))"))
         if step.isEmpty():
             break

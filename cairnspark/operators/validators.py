@@ -191,7 +191,7 @@ BLOCK_LIMITS = {
 
 FUNCTION = re.compile(r"^\s*(pub(?:\([a-z]+\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+(\w+)")
 ASSERTS = re.compile(r"\b(assert\w*|panic|unreachable|matches)!|\.unwrap_err\(|#\[should_panic")
-BACKGROUND = ("spawn", "background", "worker", "daemon", "start", "run", "listen", "serve", "watch", "loop", "task", "monitor")
+BACKGROUND = ("spawn", "background", "graceful", "shutdown", "start", "run", "worker", "daemon", "listener", "handler", "process", "new", "with_", "init", "create", "build")
 
 
 def functions(rows: list[str]) -> list[dict]:

@@ -27,13 +27,15 @@ def top_k(vectors: DataFrame, query: DataFrame | list[float], k: int, metric: st
     """The k best rows of (vec_id, embedding, ...) for one query vector, with ``score``.
 
     ``query`` is a list or a one-row frame (embedding); a frame of another size
-    is refused by the scalar subquery's own check.  Sorting is a bounded top-k in
+    raises as soon as there is a vector to score.  Sorting is a bounded top-k in
     each task.
     """
     if isinstance(query, DataFrame):
         # one row by construction: the aggregate has no keys
-        one = query.select(F.first("embedding").alias("__q"))
-        with_query = vectors.join(F.broadcast(one), F.lit(True))
+        kind = query.schema["embedding"].dataType
+        one = query.select(F.first("embedding").alias("__v"), F.count(F.lit(1)).alias("__n"))
+        refused = F.raise_error(F.concat(F.lit("top_k takes one query, not "), F.col("__n").cast("string"))).cast(kind)
+        with_query = vectors.join(F.broadcast(one), F.lit(True)).withColumn("__q", F.when(F.col("__n") == 1, F.col("__v")).otherwise(refused)).drop("__v", "__n")
         q = F.col("__q")
     else:
         with_query, q = vectors, F.array(*[F.lit(float(x)) for x in query])

@@ -225,7 +225,7 @@ def reverse_deps(spark, sf_dir: str) -> DataFrame:
 
 @register("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 3 + n_regionkey) % 25 AS dst FROM nation),
  w(root, tip, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst
-   UNION ALL SELECT w.root, e.dst, list_append(w.path, e.dst) FROM w JOIN e ON w.tip = e.src WHERE e.dst > w.root AND NOT list_contains(w.path, e.dst) AND len(w.path) < 8)
+   UNION ALL SELECT w.root, e.dst, list_append(w.path, e.dst) FROM w JOIN e ON w.tip = e.src WHERE e.dst > w.root AND NOT list_contains(w.path, e.dst))
 SELECT array_to_string(w.path, '>') AS path, len(w.path) AS length FROM w JOIN e ON e.src = w.tip AND e.dst = w.root UNION ALL SELECT src::VARCHAR, 1 FROM e WHERE src = dst""")
 def dep_cycles(spark, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
@@ -383,8 +383,9 @@ def events_by_type(spark, sf_dir: str) -> DataFrame:
     return ev.by_type(table(spark, sf_dir, "events"))
 
 
-@register("""WITH g AS (SELECT event_id, user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)
-SELECT event_id, user_id FROM g WHERE gap IS NULL OR gap >= 3600000000""")
+@register("""WITH RECURSIVE s(user_id, hit) AS (SELECT user_id, min((ts, event_id)) FROM events GROUP BY 1
+ UNION ALL SELECT s.user_id, min((e.ts, e.event_id)) FROM s JOIN events e ON e.user_id = s.user_id AND epoch_us(e.ts) - epoch_us(s.hit[1]) >= 3600000000 GROUP BY 1)
+SELECT hit[2] AS event_id, user_id FROM s""")
 def debounce_events(spark, sf_dir: str) -> DataFrame:
     return ev.debounced(table(spark, sf_dir, "events"), 3600, "user_id").select("event_id", "user_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,12 @@ DEFAULT = "/tmp/checkpoints"
 
 
 def scratch_path(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT
+    """A fresh folder below ``spark.checkpoint.dir``; a cluster without that setting raises, as its executors share no local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = DEFAULT
     return f"{root.rstrip('/')}/cairnspark/{uuid.uuid4().hex}"
 
 

@@ -50,10 +50,25 @@ def sessions(events: DataFrame, gap: str, *keys: str, watermark: str | None = No
 
 
 def debounced(events: DataFrame, quiet: float, key: str, order: str = "event_id") -> DataFrame:
-    """Events that follow their key's last event after ``quiet`` seconds or more, and each key's first."""
+    """Events at which their key is synced: its first one, and then each that comes
+    ``quiet`` seconds or more after the last sync.
+
+    An event ``quiet`` seconds after the one before it is always a sync, so a key's
+    events fall into bursts that do not depend on each other; each burst is folded.
+    """
     w = W.partitionBy(key).orderBy("ts", order)
+    wait = int(quiet * 1e6)
+    names = events.columns
     gap = micros(F.col("ts")) - micros(F.lag("ts").over(w))
-    return events.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") >= int(quiet * 1e6))).drop("__gap")
+    opens = events.withColumn("__opens", F.coalesce((gap >= wait).cast("int"), F.lit(1)))
+    bursts = opens.withColumn("__burst", F.sum("__opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    row = F.struct(F.col("ts").alias("__t"), F.col(order).alias("__o"), F.struct(*names).alias("row"))
+    each = bursts.groupBy(key, "__burst").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    alone = F.struct(F.lit(None).cast("long").alias("last"), F.filter("rows", lambda r: F.lit(False)).alias("taken"))
+    taken = F.aggregate("rows", alone, lambda a, r: F.when(
+        a["last"].isNull() | (micros(r["__t"]) - a["last"] >= wait), F.struct(micros(r["__t"]).alias("last"), F.concat(a["taken"], F.array(r)).alias("taken"))
+    ).otherwise(a))
+    return each.select(F.explode(taken["taken"]).alias("r")).select("r.row.*")
 
 
 def health(reports: DataFrame, provider: str, ok: str, order: list[str]) -> DataFrame:
@@ -136,7 +151,7 @@ def upsert_counts(path: str, key: str = "event_type"):
 
 
 def stream_debounced(events: DataFrame, seconds: float, key: str) -> DataFrame:
-    """Streaming debounce: key, ts, of events that follow the key's last one after ``seconds``."""
+    """Streaming debounce: key, ts, of the events ``seconds`` or more after the key's last sync."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -146,7 +161,7 @@ def stream_debounced(events: DataFrame, seconds: float, key: str) -> DataFrame:
                 us = int(t.value // 1000)
                 if last is None or us - last >= seconds * 1e6:
                     out.append(t)
-                last = us if last is None else max(last, us)
+                    last = us
             yield pd.DataFrame({key: [k[0]] * len(out), "ts": out})
         state.update((last,))
 

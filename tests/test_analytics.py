@@ -264,3 +264,26 @@ def test_cache_fold(spark):
 def test_line_metrics(spark):
     f = spark.createDataFrame([("a", "x\n\n// c\ny\n")], "file string, content string")
     assert metrics.line_metrics(line_table(f), "file").first().asDict() == {"file": "a", "sloc": 4, "blank": 1, "cloc": 1, "ploc": 2, "longest": 4}
+
+
+def test_debounce_counts_from_the_last_sync(spark):
+    """Events every 30 seconds with a wait of 60: a sync at 0, 60, 120; a burst apart starts anew."""
+    rows = [(i, "k", 30 * i) for i in range(6)] + [(10, "k", 1000), (11, "k", 1001), (12, "j", 5), (13, "j", 64), (14, "j", 65)]
+    f = spark.createDataFrame(rows, "event_id long, key string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = sorted((r.key, r.t) for r in ev.debounced(f, 60, "key").collect())
+    assert got == [("j", 5), ("j", 65), ("k", 0), ("k", 60), ("k", 120), ("k", 1000)]
+
+
+def test_long_cycles(spark):
+    edges = [(i, (i + 1) % 12) for i in range(12)] + [(20, 21), (21, 22)]
+    [row] = graphs.cycles(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert row.length == 12 and list(row.path) == list(range(12))
+
+
+@pytest.mark.parametrize("n", [0, 2])
+def test_top_k_takes_one_query(spark, n):
+    from cairnspark.operators.vector_search import top_k
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="one query"):
+        top_k(vectors, vectors.limit(n), 1).collect()
