@@ -117,25 +117,25 @@ WINDOWS = r"""tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(tex
  pairs AS (SELECT f[1] AS file1, f[2] AS start1, w.doc_id AS file2, w.start AS start2, hash FROM win w JOIN firsts USING (hash) WHERE w.doc_id <> f[1] OR w.start >= f[2] + 12)"""
 
 
-def _windows(spark, sf_dir: str) -> DataFrame:
+def _token_lists(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return clones.windows(d.select("doc_id", clones.word_tokens(F.col("text")).alias("tokens")), _WIN)
+    return d.select("doc_id", clones.word_tokens(F.col("text")).alias("tokens"))
 
 
 @register(f"WITH {WINDOWS} SELECT doc_id, count(*) AS windows, count(DISTINCT hash) AS distinct_windows, min(hash) AS least FROM win GROUP BY 1")
 def fingerprints(spark, sf_dir: str) -> DataFrame:
-    w = _windows(spark, sf_dir)
+    w = clones.windows(_token_lists(spark, sf_dir), _WIN)
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("hash").alias("distinct_windows"), F.min("hash").alias("least"))
 
 
 @register(f"WITH {WINDOWS}, b AS (SELECT hash, count(*) AS n FROM win GROUP BY 1) SELECT sum(n)::BIGINT AS locations, count(*) AS fingerprints, count(*) FILTER (n > 1) AS duplicated FROM b")
 def fingerprint_stats(spark, sf_dir: str) -> DataFrame:
-    return clones.fingerprint_stats(_windows(spark, sf_dir))
+    return clones.fingerprint_stats(clones.window_keys(_token_lists(spark, sf_dir), _WIN), "k")
 
 
 @register(f"WITH {WINDOWS} SELECT file1, start1, file2, start2 FROM pairs")
 def clone_pairs(spark, sf_dir: str) -> DataFrame:
-    return clones.clone_pairs(materialize(_windows(spark, sf_dir)), _WIN).select("file1", "start1", "file2", "start2")
+    return clones.clone_pairs(materialize(clones.repeated_windows(_token_lists(spark, sf_dir), _WIN)), _WIN).select("file1", "start1", "file2", "start2")
 
 
 _MERGED = WINDOWS + """, sh AS (SELECT *, start2 - start1 AS shift, start1 - row_number() OVER (PARTITION BY file1, file2, start2 - start1 ORDER BY start1) AS run FROM pairs),
@@ -143,7 +143,7 @@ _MERGED = WINDOWS + """, sh AS (SELECT *, start2 - start1 AS shift, start1 - row
 
 
 def _merged(spark, sf_dir: str) -> DataFrame:
-    return clones.merge_clones(clones.clone_pairs(materialize(_windows(spark, sf_dir)), _WIN), _WIN)
+    return clones.merge_clones(clones.clone_pairs(materialize(clones.repeated_windows(_token_lists(spark, sf_dir), _WIN)), _WIN), _WIN)
 
 
 @register(f"WITH {_MERGED} SELECT CASE WHEN n_tokens >= 50 THEN 'long' ELSE 'short' END AS kind, count(*) AS clones, sum(n_tokens)::BIGINT AS tokens, count(DISTINCT file2) AS files FROM merged GROUP BY 1")

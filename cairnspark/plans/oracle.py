@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import analytics_queries, search_queries
+from . import analytics_queries, rust_queries, search_queries
 
-ORACLES: dict[str, str] = {**search_queries.ORACLES, **analytics_queries.ORACLES}
+ORACLES: dict[str, str] = {**search_queries.ORACLES, **analytics_queries.ORACLES, **rust_queries.ORACLES}
