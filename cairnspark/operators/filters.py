@@ -38,6 +38,11 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def matches_any(path: Column, globs: list[str]) -> Column:
+    """Fits one of the include patterns and no ``!`` pattern; nothing fits an empty list."""
+    return matches_globs(path, globs) if any(not g.startswith("!") for g in globs) else F.lit(False)
+
+
 def matches_globs(path: Column, globs: list[str]) -> Column:
     """Included by a pattern (or there is none) and excluded by no ``!`` pattern."""
     include = [glob_regex(g) for g in globs if not g.startswith("!")]

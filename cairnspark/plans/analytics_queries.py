@@ -454,7 +454,8 @@ def error_rate_5m(spark, sf_dir: str) -> DataFrame:
 
 @register("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def latency_p95(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    q = ev.exact_quantile(table(spark, sf_dir, "events"), "value", 0.95, "event_type")
+    return q.select("event_type", F.round("quantile", 6).alias("p95"))
 
 
 @register("""WITH w AS (SELECT event_id, unnest(range(5)) AS k, epoch(time_bucket(INTERVAL '1 minute', ts))::BIGINT AS m FROM events)

@@ -105,11 +105,37 @@ def cache_fold(ops: DataFrame, key: str, order: list[str], ttl: float, now: Colu
     return last.where((F.col("kind") == "set") & (micros(now) - micros(F.col("ts")) <= int(ttl * 1e6))).select(key, "value")
 
 
-def held(samples: DataFrame, value: str, threshold: float, hold: int, key: str) -> DataFrame:
-    """Samples whose key stood above ``threshold`` for the last ``hold`` seconds."""
+def held(samples: DataFrame, value: str, threshold: float, hold: int, key: str, span: int = 3600) -> DataFrame:
+    """Samples whose key stood above ``threshold`` for the last ``hold`` seconds.
+
+    A key's time is cut into spans; a sample also stands in the next span if one
+    there can look back to it, so that a key with most samples is many tasks' work.
+    """
+    span = max(span, hold)
     at = seconds(F.col("ts"))
-    w = W.partitionBy(key).orderBy(at).rangeBetween(-hold, 0)
-    return samples.withColumn("low", F.min(value).over(w)).where(F.col("low") > threshold).drop("low")
+    own = F.floor(at / span).cast("long")
+    late = F.when(F.pmod(at, F.lit(span)) >= span - hold, F.array(F.struct((own + 1).alias("span"), F.lit(False).alias("own")))).otherwise(F.array().cast("array<struct<span:bigint,own:boolean>>"))
+    each = samples.withColumn("__s", F.explode(F.concat(F.array(F.struct(own.alias("span"), F.lit(True).alias("own"))), late)))
+    w = W.partitionBy(key, "__s.span").orderBy(at).rangeBetween(-hold, 0)
+    return each.withColumn("low", F.min(value).over(w)).where(F.col("__s.own") & (F.col("low") > threshold)).drop("low", "__s")
+
+
+def exact_quantile(samples: DataFrame, value: str, p: float, key: str, width: float = 1.0) -> DataFrame:
+    """key, quantile: the interpolated quantile of each key's values, exactly.
+
+    Counts of buckets of ``width`` say in which bucket the two ranks lie; only
+    those buckets' values are ranked.
+    """
+    s = samples.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.floor(F.col(value) / width).cast("long").alias("b"))
+    w = W.partitionBy(key).orderBy("b")
+    b = s.groupBy(key, "b").agg(F.count(F.lit(1)).alias("n"))
+    b = b.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("pos", p * (F.sum("n").over(W.partitionBy(key)) - 1))
+    b = b.select(key, "b", (F.col("upto") - F.col("n")).alias("before"), "upto", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
+    b = b.where("before <= hi and upto > lo")
+    ranked = s.join(b, [key, "b"]).withColumn("rank", F.row_number().over(W.partitionBy(key, "b").orderBy("v")) - 1 + F.col("before"))
+    x = lambda r: F.max(F.when(F.col("rank") == F.col(r), F.col("v")))
+    out = ranked.where("rank = lo or rank = hi").groupBy(key).agg(x("lo").alias("x"), x("hi").alias("y"), F.first(F.col("pos") - F.col("lo")).alias("f"))
+    return out.select(key, (F.col("x") + (F.col("y") - F.col("x")) * F.col("f")).alias("quantile"))
 
 
 def predict_linear(samples: DataFrame, value: str, ahead: float, *keys: str, now: Column | None = None) -> DataFrame:

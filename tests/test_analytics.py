@@ -287,3 +287,47 @@ def test_top_k_takes_one_query(spark, n):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="one query"):
         top_k(vectors, vectors.limit(n), 1).collect()
+
+
+def test_exact_quantiles_and_held_spans(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), rng.expovariate(0.1), rng.randrange(20_000)) for i in range(3000)] + [(9000, "one", 5.0, 1), (9001, "a", None, 2)]
+    f = spark.createDataFrame(rows, "event_id long, key string, value double, t long").withColumn("ts", F.timestamp_seconds("t"))
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r.key: r.quantile for r in ev.exact_quantile(f, "value", p, "key", width=3.0).collect()}
+        assert got == {k: pytest.approx(np.quantile([v for _, x, v, _ in rows if x == k and v is not None], p)) for k in ("a", "b", "one")}
+    got = {r.event_id for r in ev.held(f, "value", 2.0, 30, "key", span=100).collect()}
+    low = lambda k, t: min(v for _, x, v, u in rows if x == k and t - 30 <= u <= t and v is not None)
+    assert got == {i for i, k, v, t in rows if v is not None and low(k, t) > 2.0}
+
+
+def test_globs_without_an_include():
+    from cairnspark.operators.filters import matches_any
+
+    assert "true" not in str(matches_any(F.lit("a.rs"), [])).lower() and "true" not in str(matches_any(F.lit("a.rs"), ["!b*"])).lower()
+
+
+def test_recall_of_random_projections(spark):
+    """Approximate neighbours against exact ones on the driver's vectors: recall at 10 of 0.9 or more."""
+    import os
+
+    import numpy as np
+
+    from cairnspark.operators.vector_search import approximate_top_k
+
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    e = spark.read.parquet(path).select("vec_id", "embedding")
+    rows = e.collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    hit = 0
+    for q in range(0, 400, 50):
+        d = np.linalg.norm(x - x[q], axis=1)
+        best = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        hit += len(best & {r.vec_id for r in approximate_top_k(e, x[q].tolist(), 10).collect()})
+    assert hit >= 0.9 * 80, hit / 80
