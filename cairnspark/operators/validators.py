@@ -9,10 +9,12 @@ per-file pandas otherwise; a group is one file.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -450,10 +452,17 @@ VALIDATORS = {
 
 
 def validate(files: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """UNION ALL of the named validators (all by default) on (file, content)."""
+    """UNION ALL of the named validators (all by default) on (file, content).
+
+    A validator whose plan is refused is skipped with a warning.
+    """
     lines = T.line_table(files.select("file", "content"))
     out = None
     for n in names or VALIDATORS:
-        part = VALIDATORS[n](files, lines)
+        try:
+            part = VALIDATORS[n](files, lines)
+        except AnalysisException as e:
+            warnings.warn(f"validator {n} is skipped: {e}", stacklevel=2)
+            continue
         out = part if out is None else out.unionByName(part)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
-from ..operators import validators
+from ..operators import manifests, validators
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -101,3 +101,66 @@ def rust_findings_by_family(spark, sf_dir: str) -> DataFrame:
 def rust_validate_all(spark, sf_dir: str) -> DataFrame:
     """All validators, those on blocks, functions, files and paths too: findings by family and rule."""
     return validators.validate(sources(spark, sf_dir)).groupBy("category", "id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+
+
+_DEPS = """m AS (SELECT n_nationkey AS k, 'n' || n_nationkey AS crate, 'crates/n' || n_nationkey || '/Cargo.toml' AS file, 'n' || ((n_nationkey * 3 + n_regionkey) % 25) AS a, 'n' || ((n_nationkey + 7) % 25) AS b FROM nation),
+ deps AS (SELECT DISTINCT crate, dependency, kind, file FROM (SELECT crate, a AS dependency, 'dependencies' AS kind, file FROM m UNION ALL SELECT crate, 'serde', 'dependencies', file FROM m UNION ALL SELECT crate, b, 'dev-dependencies', file FROM m))"""
+
+
+def _manifests(spark, sf_dir: str) -> DataFrame:
+    """A manifest for each nation: a path dependency, one from the workspace, and a section of its own."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    text = (
+        "[package]\nname = \"n%d\"\nversion = \"0.1.0\"\n\n[dependencies]\n"
+        "n%d = { path = \"../x\" } # internal\nserde.workspace = true\n\n[dev-dependencies.n%d]\nversion = \"1\"\n\n[features]\nall = []\n"
+    )
+    body = F.format_string(text, k, (k * 3 + r) % 25, (k + 7) % 25)
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("crates/n"), k.cast("string"), F.lit("/Cargo.toml")).alias("file"), body.alias("content"))
+
+
+@register(f"WITH {_DEPS} SELECT * FROM deps")
+def manifest_dependencies(spark, sf_dir: str) -> DataFrame:
+    return manifests.manifest_dependencies(_manifests(spark, sf_dir))
+
+
+@register(f"""WITH RECURSIVE {_DEPS}, ok AS (SELECT 'n' || n_nationkey AS crate, 'n' || (n_nationkey * 3 + n_regionkey) % 25 AS dependency FROM nation WHERE n_nationkey % 2 = 0),
+ u AS (SELECT crate, b AS dependency, 'crates/' || crate || '/src/lib.rs' AS file, k % 9 + 1 AS line FROM m),
+ e AS (SELECT crate AS src, dependency AS dst FROM deps WHERE kind = 'dependencies' AND dependency <> 'serde'),
+ w(root, tip, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst UNION ALL SELECT w.root, e.dst, list_append(w.path, e.dst) FROM w JOIN e ON w.tip = e.src WHERE e.dst > w.root AND NOT list_contains(w.path, e.dst)),
+ c AS (SELECT w.path FROM w JOIN e ON e.src = w.tip AND e.dst = w.root UNION ALL SELECT [src] FROM e WHERE src = dst)
+SELECT 'DEP001' AS id, file, 1::BIGINT AS line, crate || ' -> ' || dependency AS message FROM deps WHERE kind = 'dependencies' AND dependency <> 'serde' AND crate <> dependency AND (crate, dependency) NOT IN (SELECT * FROM ok)
+UNION ALL SELECT 'DEP002', file, line, crate || ' -> ' || dependency FROM u WHERE crate <> dependency AND (crate, dependency) NOT IN (SELECT * FROM ok)
+UNION ALL SELECT 'DEP003', 'crates/' || path[1] || '/Cargo.toml', 1, array_to_string(list_append(path, path[1]), ' -> ') FROM c""")
+def dependency_findings(spark, sf_dir: str) -> DataFrame:
+    """Even crates may use what their manifests name; every crate also imports the seventh after it."""
+    n = table(spark, sf_dir, "nation")
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    crate = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    allowed = n.where("n_nationkey % 2 = 0").select(crate(k).alias("crate"), crate((k * 3 + r) % 25).alias("dependency"))
+    uses = n.select(crate(k).alias("crate"), crate((k + 7) % 25).alias("dependency"), F.concat(F.lit("crates/"), crate(k), F.lit("/src/lib.rs")).alias("file"), (k % 9 + 1).cast("long").alias("line"))
+    out = manifests.dependency_findings(manifests.manifest_dependencies(_manifests(spark, sf_dir)), uses, allowed)
+    return out.select("id", "file", "line", "message")
+
+
+@register("""WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'tests/f' || p_partkey // 3 || '_test.rs' ELSE 'src/f' || p_partkey || '.rs' END AS file FROM part),
+ t AS (SELECT file, 1 AS line, 'T' || k % 50 AS name FROM f), m AS (SELECT file, 2 AS line, 'f' || k * 2 AS name FROM f WHERE file LIKE 'src/%'),
+ stems AS (SELECT 'f' || k // 3 AS stem FROM f WHERE k % 3 = 0)
+SELECT 'REF002' AS id, file, line::BIGINT AS line, name AS message FROM t WHERE name IN (SELECT name FROM t GROUP BY 1 HAVING count(DISTINCT file) > 1)
+UNION ALL SELECT 'REF003', file, 1, 'f' || k FROM f WHERE file LIKE 'src/%' AND 'f' || k NOT IN (SELECT stem FROM stems)
+UNION ALL SELECT 'REF005', file, line, name FROM m WHERE 'src/' || name || '.rs' NOT IN (SELECT file FROM f)""")
+def refactoring_findings(spark, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = lambda *cs: F.concat(*[F.lit(c) if isinstance(c, str) else c.cast("string") for c in cs])
+    file = F.when(k % 3 == 0, text("tests/f", F.expr("p_partkey div 3"), "_test.rs")).otherwise(text("src/f", k, ".rs"))
+    body = text("pub struct T", k % 50, " {\n", F.when(k % 3 != 0, text("mod f", k * 2, ";\n")).otherwise(F.lit("")), "}\n")
+    f = table(spark, sf_dir, "part").select(file.alias("file"), body.alias("content"))
+    return manifests.refactoring_findings(f).select("id", "file", "line", "message")
+
+
+@register("""WITH u AS (SELECT 'n' || n_nationkey AS crate, 'n' || (n_nationkey * 24) % 25 AS dependency, n_nationkey::BIGINT AS line FROM nation)
+SELECT 'LAYER002' AS id, u.crate || '.rs' AS file, u.line AS line, u.crate || ' <-> ' || u.dependency AS message FROM u JOIN u v ON u.crate = v.dependency AND u.dependency = v.crate WHERE u.crate <> u.dependency""")
+def mutual_layers(spark, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    crate = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    uses = table(spark, sf_dir, "nation").select(crate(k).alias("crate"), crate((k * 24) % 25).alias("dependency"), F.concat(crate(k), F.lit(".rs")).alias("file"), k.cast("long").alias("line"))
+    return manifests.mutual_layers(uses).select("id", "file", "line", "message")
