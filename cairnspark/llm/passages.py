@@ -149,6 +149,21 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_cut, "doc_id long, at int, first int, words int, class long, " + ", ".join(f"{k} long" for k in KEYS))
 
 
+def told_apart(hits: DataFrame) -> DataFrame:
+    """``hits`` (..., class, k0, component, home), in which a class has one least band value.
+
+    Equal paragraphs agree in both, so classes are told apart by 128 bits.  Where
+    one class has several values, which chance hardly ever brings, each is a
+    component of its own, and stays if it reaches two documents.
+    """
+    both = materialize(hits.groupBy("class").agg(F.min("k0").alias("x"), F.max("k0").alias("y")).where("x != y").select("class"))
+    if both.isEmpty():
+        return hits
+    own = hits.join(both, "class").groupBy("class", "k0").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi")
+    own = hits.drop("component", "home").join(own, ["class", "k0"]).withColumn("component", F.xxhash64("class", "k0")).withColumn("home", F.col("lo"))
+    return materialize(hits.join(both, "class", "left_anti").unionByName(own.select(*hits.columns)))
+
+
 def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, first_word, n_words, component_id (the doc_id that keeps it), removed."""
     u = materialize(cut_documents(docs))
@@ -169,7 +184,7 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int
     named = materialize(named.select("class", "lo", "hi", F.coalesce("component", "class").alias("component")))
     home = named.groupBy("component").agg(F.min("lo").alias("home"), F.max("hi").alias("hi")).where("home != hi").select("component", "home")
     again = materialize(named.join(home, "component").select("class", "component", "home"))
-    hits = materialize(u.select("doc_id", "at", "first", "words", "class").join(again, "class").distinct())
+    hits = told_apart(materialize(u.select("doc_id", "at", "first", "words", "class", "k0").join(again, "class").distinct())).drop("k0")
     # neighbouring repeats of one home form a run
     w = W.partitionBy("doc_id", "home").orderBy("at")
     p = F.struct("first", "words", "class")

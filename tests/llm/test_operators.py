@@ -732,6 +732,15 @@ def test_recall_of_words(spark):
         assert sum(len(got[i] & x) for i, x in own.items()) >= 0.9 * total and sum(len(got[i] - x) for i, x in own.items()) <= 0.05 * total
 
 
+def test_classes_are_told_apart_by_128_bits(spark):
+    """One class with three values: two documents with one value, one document with each of the others."""
+    rows = [(1, 0, 5, 10, 0, 1), (2, 0, 5, 11, 0, 1), (3, 0, 5, 10, 0, 1), (4, 0, 5, 12, 0, 1), (1, 1, 6, 7, 9, 1), (2, 1, 6, 7, 9, 1)]
+    hits = spark.createDataFrame(rows, "doc_id long, at int, class long, k0 long, component long, home long")
+    got = {(r.doc_id, r["class"], r.home) for r in passages.told_apart(hits).collect()}
+    assert got == {(1, 5, 1), (3, 5, 1), (1, 6, 1), (2, 6, 1)}
+    assert passages.told_apart(hits.where("class = 6")).count() == 2
+
+
 def test_growth_over_edits():
     x = np.arange(40, dtype=np.uint64)
     gone, more, other = np.delete(x, [9, 10]), np.insert(x, 9, [99, 98]), np.where(x == 9, 99, x).astype(np.uint64)
