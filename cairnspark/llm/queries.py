@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, langid, linededup, lm, mixing, neardup, passages, pieces, quality, url_filter
+from . import hamming, langid, linededup, lm, mixing, neardup, passages, pieces, quality, token_counts, url_filter
 from .common import table
 
 
@@ -18,6 +18,11 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def model_bytes(name: str) -> bytes:
+    with open(model_file(name), "rb") as f:
+        return f.read()
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, url_filter.page_labels(pages, table(spark, sf_dir, "labels")))
@@ -67,10 +72,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (more than a context of 2048)."""
+    name = "word_bpe_49k.json"
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), name, model_bytes(name))
+    return out.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_rules, op3_hamming_topk, op4_language_id, op5_lm_score,
         op6_sentencepiece, op7_line_dedup, op8_mixing, op9_substring_dedup, op10_minhash_near_dedup,
+        op11_token_counts,
     )
 }
