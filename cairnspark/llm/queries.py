@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, langid, linededup, lm, mixing, neardup, passages, pieces, quality, token_counts, url_filter
+from . import alignment, hamming, langid, linededup, lm, mixing, neardup, passages, pieces, quality, token_counts, url_filter
 from .common import table
 
 
@@ -79,11 +79,19 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of byte-level BPE and SentencePiece tokens, as a digest, and their links."""
+    files = alignment.Tokenizers(model_bytes("byte_bpe_50k.json"), model_bytes("piece_bpe_32k.model"))
+    out = alignment.align(table(spark, sf_dir, "documents"), files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_rules, op3_hamming_topk, op4_language_id, op5_lm_score,
         op6_sentencepiece, op7_line_dedup, op8_mixing, op9_substring_dedup, op10_minhash_near_dedup,
-        op11_token_counts,
+        op11_token_counts, op12_token_alignment,
     )
 }
