@@ -1,13 +1,14 @@
 """DuckDB SQL for the registered queries that SQL can express.
 
 Language ID (vectors), LM scoring (context trees), SentencePiece (a fold over a
-model's pieces) and substring dedup (hashed cuts) have none; their tests compare
+model's pieces), substring dedup (hashed cuts), token counts and alignment
+(libraries) have none; their tests compare
 with brute force, the library, or held-out labels.
 """
 
 from __future__ import annotations
 
-from . import hamming, linededup, mixing, neardup, quality, url_filter
+from . import hamming, linededup, mixing, neardup, prefix_trie, quality, url_filter
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -188,4 +189,5 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": _lines(),
     "op8_mixing": _mixing(),
     "op10_minhash_near_dedup": _NEAR,
+    "op13_prefix_trie": prefix_trie.SQL,
 }

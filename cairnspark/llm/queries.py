@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, hamming, langid, linededup, lm, mixing, neardup, passages, pieces, quality, token_counts, url_filter
-from .common import table
+from . import alignment, hamming, langid, linededup, lm, mixing, neardup, passages, pieces, prefix_trie, quality, token_counts, url_filter
+from .common import materialize, table
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> str:
@@ -87,11 +87,20 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations, with a digest of those that end at each."""
+    turns = prefix_trie.rebuilt(materialize(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+    named = materialize(prefix_trie.named(turns))
+    nodes = prefix_trie.prefix_nodes(named).join(prefix_trie.member_digests(prefix_trie.members(named)), "node", "left")
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_rules, op3_hamming_topk, op4_language_id, op5_lm_score,
         op6_sentencepiece, op7_line_dedup, op8_mixing, op9_substring_dedup, op10_minhash_near_dedup,
-        op11_token_counts, op12_token_alignment,
+        op11_token_counts, op12_token_alignment, op13_prefix_trie,
     )
 }
