@@ -60,40 +60,39 @@ FROM shaped s LEFT JOIN gone g ON s.host = g.host AND s.segs = g.segs""".replace
 
 
 def _quality() -> str:
-    rate = {"symbol_rate": "10000 * n_symbols // n_words", "dup_line_rate": "10000 * n_dup_lines // n_lines", "repeat_rate": "10000 * n_repeat_words // n_words", "word_length": "10000 * word_chars // n_words"}
+    unit, reach, k0 = quality.UNIT, quality.REACH, quality.PRIOR
+    value = {m: f"({unit} * (2 * {k} + {one})) // (2 * ({n} + {one}))" for m, (k, n, one, _) in quality.SHARES.items()} | {"word_length": f"{unit} * word_chars // n_words"}
+    shown = {m: f"{unit} * {k} // ({n})" for m, (k, n, *_) in quality.SHARES.items()} | {"word_length": f"{unit} * word_chars // n_words"}
     bucket = "(v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0)"
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM d WHERE n_words > 0" for m in rate)
-
-    tail = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t}" for m, (t, _, _) in quality.METRICS.items()) + " END"
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {v} AS v FROM d WHERE NOT ({quality.BASE_FAILED})" for m, v in value.items())
+    tail = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t}" for m, (*_, t) in quality.SHARES.items()) + f" ELSE {quality.LENGTH_TAIL} END"
     names = ("low", "mid", "high")
 
     def quantiles(name, keys):
         part = ", ".join([*keys, "metric"])
         return f"""{name}_m AS (SELECT {part}, bucket, sum(n) AS n FROM sk GROUP BY ALL),
  {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {part}) AS docs, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, {tail} AS tail FROM {name}_m),
- {name} AS (SELECT {part}, max(docs)::BIGINT AS docs, min(bucket) FILTER (upto * 100 >= (100 - tail) * docs) AS low, min(bucket) FILTER (upto * 100 >= 50 * docs) AS mid, min(bucket) FILTER (upto * 100 >= tail * docs) AS high FROM {name}_c GROUP BY ALL)"""
-
-    k = quality.PRIOR
-    shrunk = ", ".join(f"(l.docs * l.{x} + {k} * e.{x}) // (l.docs + {k}) AS l_{x}" for x in names)
-    take = ", ".join(f"(docs * {x} + {k} * l_{x}) // (docs + {k}) AS {x}" for x in names)
-    outside = []
-    for m, (_, least, low) in quality.METRICS.items():
-        far = f"{m} > high + {quality.REACH} * greatest(high - mid, {least})"
-        outside.append(f"(f.metric = '{m}' AND ({far}" + (f" OR {m} < low - {quality.REACH} * greatest(mid - low, {least})))" if low else "))"))
+ {name} AS (SELECT {part}, max(docs)::BIGINT AS docs, min(bucket) FILTER (upto * 1000 >= (1000 - tail) * docs) AS low, min(bucket) FILTER (upto * 1000 >= 500 * docs) AS mid, min(bucket) FILTER (upto * 1000 >= tail * docs) AS high FROM {name}_c GROUP BY ALL)"""
+
+    shrunk = ", ".join(f"(l.docs * l.{x} + {k0} * e.{x}) // (l.docs + {k0}) AS l_{x}" for x in names)
+    take = ", ".join(f"(docs * {x} + {k0} * l_{x}) // (docs + {k0}) AS {x}" for x in names)
+    least = quality.LENGTH_LEAST
+    outside = [f"(f.metric = '{m}' AND {unit} * ({k} - {one}) > ({reach} * high * {unit}) // ({unit} - high + {reach} * high) * ({n}))" for m, (k, n, one, _) in quality.SHARES.items()]
+    outside.append(f"(f.metric = 'word_length' AND (word_length > high + {reach} * greatest(high - mid, {least}) OR word_length < low - {reach} * greatest(mid - low, {least})))")
     return rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
  tri AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 0))) AS i FROM w)),
  rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM tri) WHERE c > 1) GROUP BY 1),
  ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
  m AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
- d AS (SELECT *, {", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {k}" for k, e in rate.items())} FROM m),
+ d AS (SELECT *, {", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {k}" for k, e in shown.items())} FROM m),
  long AS ({long}), sk AS (SELECT lang, source, metric, {bucket} AS bucket, count(*) AS n FROM long GROUP BY ALL),
  {quantiles("own", ["lang", "source"])}, {quantiles("langs", ["lang"])}, {quantiles("every", [])},
  o AS (SELECT o.*, {shrunk} FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN every e ON o.metric = e.metric),
  f AS (SELECT lang, source, metric, {take} FROM o),
  far AS (SELECT DISTINCT d.doc_id FROM d JOIN f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source WHERE {" OR ".join(outside)}),
- b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM d)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept, symbol_rate, dup_line_rate, repeat_rate, word_length FROM b"""
+ b AS (SELECT *, {quality.BASE_FAILED} AS base_failed FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept, symbol_share, dup_line_share, repeat_share, word_length FROM b"""
 
 
 _HAMMING = f"""WITH c AS (SELECT vec_id, CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS code FROM embeddings),

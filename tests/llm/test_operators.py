@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,7 +200,7 @@ def test_quality_counts(text):
     hit = {i + k for i, x in enumerate(tri) if tri.count(x) > 1 for k in range(3)}
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
     dup = sum(x in lines[:i] for i, x in enumerate(lines))
-    assert quality.text_counts(text) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines), dup, len(hit))
+    assert quality.text_counts(pa.array(["x y", text])).pop() == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines), dup, len(hit))
 
 
 def test_quality_fences(spark):
@@ -223,10 +224,52 @@ def test_fences_follow_the_spread(spark):
     got = {r.doc_id: r.kept for r in quality.judge_quality(df).collect()}
     assert got[5000] and not got[5001]
     sk = quality.sketches(quality.rates(quality.document_counts(df)))
-    high = {r.source: r.symbol_rate_high for r in quality.thresholds(sk).collect()}
-    free = {r.source: r.symbol_rate_high for r in quality.thresholds(sk, prior=0).collect()}
+    high = {r.source: r.symbol_share_high for r in quality.thresholds(sk).collect()}
+    free = {r.source: r.symbol_share_high for r in quality.thresholds(sk, prior=0).collect()}
     assert free["narrow"] < high["narrow"] < high["wide"] and free["narrow"] < free["wide"]
-    assert quality.METRICS["symbol_rate"][1] * quality.REACH < min(high.values())  # the spread decides, not the guard
+
+
+def planted(rng):
+    """Documents as usual, and for each metric some that only it can reject."""
+    plain = [(i, "\n".join(prose(rng, 9) for _ in range(rng.randrange(7, 30))), "en", f"s{i % 3}") for i in range(900)]
+    # a few of the usual ones have a symbol, a line twice, a sentence twice
+    usual = [(i, t + (" 5 % of it" if i % 9 == 0 else "") + ("\n" + t.split("\n")[0] if i % 8 == 0 and t.count("\n") > 20 else ""), *r) for i, t, *r in plain]
+    bad = {
+        "symbol_share": lambda: " ".join(w + ("#" if rng.random() < 0.2 else "") for w in prose(rng, 120).split()),
+        # no three words of it come twice
+        "dup_line_share": lambda: "\n".join(x for k in range(40) for x in ("ka", "zu", f"po{k} ne{k} {prose(rng, 1)}{k}")),
+        "repeat_share": lambda: " ".join([(again := prose(rng, 25)), prose(rng, 60), again]),
+        "word_length": lambda: " ".join(w + w + w for w in prose(rng, 120).split()),
+    }
+    return usual, [(10_000 + 100 * k + i, make(), "en", f"s{i}") for k, make in enumerate(bad.values()) for i in range(3)]
+
+
+def test_every_fence_acts(spark):
+    """Each metric's fence lies inside its range and rejects what was planted beyond it, and nothing else."""
+    usual, bad = planted(random.Random(9))
+    d = quality.rates(quality.document_counts(spark.createDataFrame(usual + bad, SCHEMA)))
+    fences = quality.thresholds(quality.sketches(d))
+    for r in fences.collect():
+        assert all(0 < r[f"{m}_high"] < quality.UNIT for m in quality.SHARES) and 0 < r.word_length_low < r.word_length_high < 12 * quality.UNIT
+    out = d.join(fences, ["lang", "source"])
+    for k, (m, outside) in enumerate(quality.OUTSIDE.items()):
+        got = {r.doc_id for r in out.where(outside).where("n_words >= 50").select("doc_id").collect()}
+        mine = {i for i, *_ in bad if (i - 10_000) // 100 == k}
+        assert mine <= got and not any(i < 10_000 for i in got), m
+
+
+def test_no_fence_lies_beyond_its_range(spark):
+    """On the driver's documents too, and no least distance decides."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in quality.thresholds(quality.sketches(quality.rates(quality.document_counts(docs)))).collect():
+        assert all(0 < r[f"{m}_high"] < quality.UNIT for m in quality.SHARES)
+        assert 2 * quality.UNIT < r.word_length_low and r.word_length_high < 9 * quality.UNIT
+
+
+def test_counts_of_a_very_long_text():
+    one = "some words in a line, twice\n"
+    n, chars, _, lines, dup, rep = quality.text_counts(pa.array([one * 1_000_000]))[0]
+    assert (n, chars, lines, dup, rep) == (6_000_000, 22_000_000, 1_000_000, 999_999, 6_000_000)
 
 
 def test_sketches_merge_and_bound_their_error(spark):
