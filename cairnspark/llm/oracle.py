@@ -44,7 +44,7 @@ def _urls() -> str:
  n{i} AS (SELECT host, template, sum(cl) AS pl, sum(cb) AS pb FROM c{i} GROUP BY 1, 2 HAVING sum(cb) > 0 AND sum(cb) < sum(cl) AND sum(cl) > {m}),
  o{i} AS (SELECT c.*, cb * pl > pb * cl AS high FROM c{i} c JOIN n{i} USING (host, template) WHERE cl >= {m} AND {differs("cl", "cb", "pl", "pb")}),
  a{i} AS (SELECT host, template, high, sum(cl) AS gl, sum(cb) AS gb, count(*) AS k, min(seg) AS first FROM o{i} GROUP BY 1, 2, 3),
- b{i} AS (SELECT host, template, seg, CASE WHEN k = 1 THEN seg WHEN {differs("cl", "cb", "gl", "gb")} THEN seg ELSE '(' || first || '..)' END AS name FROM o{i} JOIN a{i} USING (host, template, high)),
+ b{i} AS (SELECT host, template, seg, CASE WHEN k = 1 OR {differs("cl", "cb", "gl", "gb")} THEN CASE WHEN left(seg, 1) IN ('*', '(', chr(92)) THEN chr(92) || seg ELSE seg END ELSE '(' || first || '..)' END AS name FROM o{i} JOIN a{i} USING (host, template, high)),
  t{i + 1} AS (SELECT t.host, segs, lab, bad, open AND len(segs) > {i} AND n.host IS NOT NULL AS open,
    CASE WHEN NOT open OR len(segs) <= {i} THEN t.template ELSE t.template || '/' || CASE WHEN n.host IS NULL THEN '**' ELSE coalesce(name, '*') END END AS template
    FROM t{i} t LEFT JOIN n{i} n ON t.host = n.host AND t.template = n.template LEFT JOIN b{i} b ON t.host = b.host AND t.template = b.template AND segs[{i + 1}] = b.seg)"""

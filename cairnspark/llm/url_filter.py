@@ -13,7 +13,10 @@ the wildcard ``*``.  Of those that differ, the ones with a higher rate than thei
 siblings are compared with each other likewise, and so are the ones with a lower
 rate: those that do not differ merge into one branch, ``(first..)``.  A branch
 grows as long as it has both kinds of labels, more than ``min_labels`` in all;
-else what lies deeper merges into ``**``.  No depth is fixed.
+else what lies deeper merges into ``**``.  A segment that itself begins like a
+wildcard (with ``*``, ``(`` or a backslash) is written with a backslash before it.
+No depth is fixed: a round takes each open branch past all segments that its urls
+share, which can only be ``*``, to where they part.
 
 Purity.  A template's bad rate is smoothed towards its host's and the host's
 towards the global rate, each with ``prior`` pseudo-counts.  A template with a
@@ -24,11 +27,14 @@ Edge cases.  A null url or one without ``://`` has an empty host and path, fits
 no rule, and is judged like any other (empty) template.  Repeated pages are
 judged alike; pages without a label count as unlabelled; with no labels at all
 everything is allowed; column names may differ in case and extra columns do no
-harm; an empty table gives an empty result.
+harm; an empty table gives an empty result.  Very long urls
+cost their length in every round they stay open.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,32 +80,40 @@ def _differs(n: Column, bad: Column, all_n: Column, all_bad: Column, z2: float)
 
 def template_tree(urls: DataFrame, min_labels: int = MIN_LABELS, z2: float = Z2) -> DataFrame:
     """(host, shape, template, n, lab, bad) of (host, shape, bad): bad is 1, 0 or null."""
-    t = materialize(
+    rows = materialize(
         urls.groupBy("host", "shape")
         .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumn("template", F.lit(""))
-        .withColumn("open", F.lit(True))
+        .select("*", F.lit("").alias("template"), F.lit(0).alias("level"), F.lit(True).alias("open"))
     )
-    level = 0
-    while not t.where("open").isEmpty():
-        t = t.withColumn("seg", F.when(F.col("open"), F.get(F.split("shape", "/"), F.lit(level))))
+    c, grows = F.col, f"pb > 0 and pb < pl and pl > {min_labels}"
+    segs = F.split("shape", "/")
+    closed = [rows.limit(0)]
+    while not rows.isEmpty():
+        # the segments that all open urls of a branch share
+        ends = rows.groupBy("host", "template").agg(F.sum("lab").alias("pl"), F.sum("bad").alias("pb"), F.min(segs).alias("lo"), F.max(segs).alias("hi"))
+        same = F.aggregate(F.sequence(F.lit(1), F.least(F.size("lo"), F.size("hi"))), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.get("lo", n) == F.get("hi", n)), k).otherwise(n))
+        t = rows.join(ends.where(grows).select("host", "template", same.alias("same")), ["host", "template"], "left")
+        run = F.greatest(F.coalesce("same", F.lit(0)) - c("level"), F.lit(0))
+        t = materialize(t.select("host", "shape", "n", "lab", "bad", F.concat("template", F.repeat(F.lit("/*"), run)).alias("template"), (c("level") + run).alias("level")).withColumn("seg", F.get(segs, c("level"))))
         child = t.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("lab").alias("cl"), F.sum("bad").alias("cb"))
-        node = child.groupBy("host", "template").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb")).where(f"pb > 0 and pb < pl and pl > {min_labels}")
-        c = F.col
+        node = child.groupBy("host", "template").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb")).where(grows)
         own = child.where(c("cl") >= min_labels).join(node, ["host", "template"]).where(_differs(c("cl"), c("cb"), c("pl"), c("pb"), z2))
         own = own.select("host", "template", "seg", "cl", "cb", (c("cb") * c("pl") > c("pb") * c("cl")).alias("high"))
         alike = own.groupBy("host", "template", "high").agg(F.sum("cl").alias("gl"), F.sum("cb").alias("gb"), F.count(F.lit(1)).alias("k"), F.min("seg").alias("first"))
         own = own.join(alike, ["host", "template", "high"])
         alone = (c("k") == 1) | F.coalesce(_differs(c("cl"), c("cb"), c("gl"), c("gb"), z2), F.lit(False))
-        own = own.select("host", "template", "seg", F.when(alone, c("seg")).otherwise(F.concat(F.lit("("), c("first"), F.lit("..)"))).alias("name"))
+        plain = F.when(c("seg").rlike(r"^[*(\\]"), F.concat(F.lit("\\"), "seg")).otherwise(c("seg"))
+        own = own.select("host", "template", "seg", F.when(alone, plain).otherwise(F.concat(F.lit("("), c("first"), F.lit("..)"))).alias("name"))
         t = t.join(own, ["host", "template", "seg"], "left").join(node.select("host", "template", F.lit(True).alias("grows")), ["host", "template"], "left")
         step = F.when(c("grows"), F.coalesce("name", F.lit("*"))).otherwise(F.lit("**"))
         t = materialize(t.select(
-            "host", "shape", "n", "lab", "bad", (c("seg").isNotNull() & c("grows").isNotNull()).alias("open"),
+            "host", "shape", "n", "lab", "bad",
             F.when(c("seg").isNull(), c("template")).otherwise(F.concat("template", F.lit("/"), step)).alias("template"),
+            (c("level") + 1).alias("level"), (c("seg").isNotNull() & c("grows").isNotNull()).alias("open"),
         ))
-        level += 1
-    return t.drop("open")
+        closed.append(t.where("not open"))
+        rows = t.where("open")
+    return reduce(DataFrame.unionByName, closed).drop("level", "open")
 
 
 def rejected_shapes(tree: DataFrame, min_labels: int = MIN_LABELS, prior: float = PRIOR, reject: float = REJECT) -> DataFrame:

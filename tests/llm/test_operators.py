@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -119,11 +120,11 @@ def tree_by_hand(urls, min_labels=5, z2=3.84, prior=5.0, reject=0.5):
                 like = {s: v for s, v in own.items() if (v[1] * pl > pb * v[0]) == side}
                 gl, gb = sum(v[0] for v in like.values()), sum(v[1] for v in like.values())
                 for s, v in like.items():
-                    name[node][s] = s if len(like) == 1 or differs(*v, gl, gb) else f"({min(like)}..)"
+                    name[node][s] = ("is", s) if len(like) == 1 or differs(*v, gl, gb) else ("like", min(like))
         for i in list(live):
             h, s, _ = rows[i]
             names = name[h, temp[i]]
-            temp[i] += ("**",) if names is None else (names.get(s[level], "*"),)
+            temp[i] += ("rest",) if names is None else (names.get(s[level], "any"),)
             if names is None:
                 live.discard(i)
         level += 1
@@ -178,6 +179,35 @@ def test_url_tree(spark):
     assert got == want and want and all(s.startswith("ads") for _, s in want)
 
 
+@pytest.mark.parametrize("name", ["*", "**", "(a..)", "\\\\", "zz"])
+def test_url_names_like_wildcards(spark, name):
+    """A branch whose name looks like a wildcard is a branch of its own."""
+    urls = [(i, f"/{name}/a", 1) for i in range(100)] + [(100 + i, f"/{rng}/{c}", 0) for i, (rng, c) in enumerate(itertools.product("abcdefghij", "abcdefghijklmnopqrstuvwxyzABCD"))]
+    pages = spark.createDataFrame([(i, f"http://h.test{p}") for i, p, _ in urls], "page_id long, url string")
+    out = url_filter.judge_urls(pages, spark.createDataFrame([(i, b) for i, _, b in urls], "page_id long, bad int"), rules=()).collect()
+    assert {r.page_id for r in out if r.verdict == "block"} == set(range(100))
+    want = tree_by_hand([("h.test", p, b) for _, p, b in urls])
+    assert want == {("h.test", f"{name}/a")}
+
+
+def test_urls_with_many_shared_segments(spark):
+    """60 shared segments take the rounds of none."""
+    deep = "/x" * 60
+    urls = [(i, f"{deep}/{'ads' if i % 2 else 'news'}{deep}/{i}", i % 2) for i in range(200)] + [(300, deep, 0), (301, None, None)]
+    pages = spark.createDataFrame([(i, p and f"http://h.test{p}") for i, p, _ in urls], "page_id long, url string")
+    start = time.time()
+    out = url_filter.judge_urls(pages, spark.createDataFrame([(i, b) for i, _, b in urls if b is not None], "page_id long, bad int"), rules=()).collect()
+    assert time.time() - start < 20
+    assert {r.page_id for r in out if r.verdict == "block"} == {i for i in range(200) if i % 2}
+    assert {r.template for r in out if r.template} == {"/*" * 60 + "/ads/**"}
+
+
+def test_a_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "http://h.test/")], "page_id long, url string").selectExpr("page_id", "concat(url, repeat('a/b1', 2500000)) AS url")
+    out = url_filter.judge_urls(pages, spark.createDataFrame([(1, 1)], "page_id long, bad int")).first()
+    assert len(out.path) == 10_000_001 and out.verdict == "allow"
+
+
 def test_url_rules_and_odd_urls(spark):
     cases = {
         "http://x.net/": ("x.net", "/", "net/", "block"), "HTTP://EXAMPLE.NET/en/1": ("example.net", "/en/1", "example.net/en/", "allow"),
