@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .vector_index import best_of
 
 #: Score of a vector against a query, by metric; higher is better.
 METRICS = {
@@ -74,7 +75,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int
                 both = np.linalg.norm(y, axis=1)[:, None] * size
                 score = np.where(both > 0, (y @ x.T / np.where(both > 0, both, 1) + 1) / 2, 0).round(6)
                 for qid, row in zip(q.vec_id[i : i + 256], score, strict=True):
-                    best = np.lexsort((ids, -row))[:k]
+                    best = best_of(row, ids, k)
                     out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best], "score": row[best]}))
         return pd.concat(out[1:] or out)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import browse, chunking, embedding, filters, ids, lexical, vector_search
+from ..operators import browse, chunking, embedding, filters, ids, lexical, vector_index, vector_search
 from ..sources import tables
 from ..sources.scratch import materialize, scratch_path
 from .views import CHUNKS, EXT_OF, FILES, LINES, TOK, TOKENS, files
@@ -206,6 +206,43 @@ def vector_batch_topk(spark, sf_dir: str) -> DataFrame:
     return vector_search.batch_top_k(e, e.where("vec_id % 50 = 0"), 5)
 
 
+_BATCH = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ s AS (SELECT a.vec_id AS query_id, b.vec_id, round({score}, 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0{where}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, score, rank FROM r WHERE rank <= {k}"""
+_COS01 = "(list_cosine_similarity(a.v, b.v) + 1) / 2"
+
+
+def _index(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    e = tables.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), scratch_path(spark)
+
+
+@register(_BATCH.format(score=_COS01, where="", k=5))
+def vector_index_topk(spark, sf_dir: str) -> DataFrame:
+    """From the stored index, until its bound is met: exact."""
+    e, asked, path = _index(spark, sf_dir)
+    vector_index.build(e, path)
+    return vector_index.search(asked, path, 5)
+
+
+@register(_BATCH.format(score="1 / (1 + list_distance(a.v, b.v))", where="", k=10))
+def vector_index_l2(spark, sf_dir: str) -> DataFrame:
+    e, asked, path = _index(spark, sf_dir)
+    vector_index.build(e, path, "l2")
+    return vector_index.search(asked, path, 10)
+
+
+@register(_BATCH.format(score=_COS01, where=" AND b.vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)", k=5))
+def vector_index_updates(spark, sf_dir: str) -> DataFrame:
+    """Two thirds of the vectors, then the others in a second batch, then deletions."""
+    e, asked, path = _index(spark, sf_dir)
+    vector_index.build(e.where("vec_id % 3 != 0"), path)
+    vector_index.insert(e.where("vec_id % 3 = 0"), path)
+    vector_index.delete(tables.table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("vec_id")), path)
+    return vector_index.search(asked, path, 5)
+
+
 def _tok(spark, sf_dir: str) -> DataFrame:
     return lexical.tokenized(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
