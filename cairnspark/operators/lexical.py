@@ -26,8 +26,9 @@ def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, text: str = "content") -> DataFrame:
-    """``docs`` with ``tokens`` in place of the text."""
-    return docs.select(*[c for c in docs.columns if c != text], tokens(F.col(text)).alias("tokens"))
+    """``docs`` with ``tokens`` in place of the text; a null text has none."""
+    found = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+    return docs.select(*[c for c in docs.columns if c != text], found.alias("tokens"))
 
 
 def postings(tok: DataFrame, key: str = "doc_id") -> DataFrame:

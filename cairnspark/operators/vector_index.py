@@ -108,7 +108,7 @@ def build(vectors: DataFrame, path: str, metric: str = "cosine01", cells: int |
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     rows = some.select(filled.alias("x")).withColumn("x", F.when(norm > 0, F.transform("x", lambda v: v / norm)).otherwise(F.col("x")) if metric == "cosine01" else F.col("x"))
     centres = [np.zeros(shape.width)]
-    if shape.n:
+    if cells > 1:
         fitted = KMeans(k=cells, seed=seed, maxIter=10, initMode="random", featuresCol="f").fit(materialize(rows).select(array_to_vector("x").alias("f")))
         centres = fitted.clusterCenters()
     spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import browse, chunking, embedding, filters, ids, lexical, vector_index, vector_search
+from ..operators import browse, chunking, embedding, filters, ids, lexical, lexical_index, vector_index, vector_search
 from ..sources import tables
 from ..sources.scratch import materialize, scratch_path
 from .views import CHUNKS, EXT_OF, FILES, LINES, TOK, TOKENS, files
@@ -280,6 +280,33 @@ def bm25_topk(spark, sf_dir: str) -> DataFrame:
     return lexical.bm25(_tok(spark, sf_dir), QUERY).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+def _lexical_index(spark, sf_dir: str) -> str:
+    """Two batches: a third of the documents comes later."""
+    d, path = tables.table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark)
+    lexical_index.append(d.where("doc_id % 3 != 0"), path, text="text")
+    lexical_index.append(d.where("doc_id % 3 = 0"), path, text="text")
+    return path
+
+
+@register(f"WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm ORDER BY score DESC, doc_id LIMIT 10")
+def lexical_index_topk(spark, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(0, QUERY)], "query_id long, query string")
+    return lexical_index.search(asked, _lexical_index(spark, sf_dir), 10).select("doc_id", "score", "rank")
+
+
+@register(f"""WITH {TOK}, qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+ st AS (SELECT count(*) AS n, avg(len(tokens)) AS al FROM tok),
+ hit AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3),
+ dfs AS (SELECT term, count(*) AS df FROM hit GROUP BY 1),
+ bm AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / al))), 6) AS score
+   FROM hit JOIN dfs USING (term) JOIN qt USING (term), st GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5""")
+def lexical_index_batch(spark, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a query: which documents hold it?"""
+    asked = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
+    return lexical_index.search(asked, _lexical_index(spark, sf_dir), 5)
+
+
 @register("SELECT key, doc_id, n_chars FROM (SELECT source || ':' || lang AS key, doc_id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def hybrid_dedup(spark, sf_dir: str) -> DataFrame:
     d = tables.table(spark, sf_dir, "documents").select(F.concat("source", F.lit(":"), "lang").alias("key"), "doc_id", "n_chars")
@@ -299,6 +326,17 @@ def hybrid_search(spark, sf_dir: str) -> DataFrame:
     return lexical.hybrid_rerank(near, lexical.bm25(lexical.tokenized(d, "text"), QUERY), 10)
 
 
+@register(ORACLES["hybrid_search"])
+def hybrid_search_indexed(spark, sf_dir: str) -> DataFrame:
+    """The same answer from stored indexes: what is searched for is one row of each, the corpus is not read again."""
+    d, path = tables.table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark)
+    vector_index.build(d.select(F.col("doc_id").alias("vec_id"), embedding.keyword_embedding(F.col("text")).alias("embedding")), path)
+    words = _lexical_index(spark, sf_dir)
+    asked = vector_index.stored(spark, path).where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
+    near = vector_index.search(asked, path, 50).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("semantic"))
+    return lexical.hybrid_rerank(near, lexical_index.scores_of(near.select("doc_id"), QUERY, words), 10)
+
+
 @register(f"WITH {TOK} SELECT lang AS collection, count(*) AS chunks, sum(len(tokens))::BIGINT AS tokens, round(avg(len(tokens)), 6) AS avg_len FROM tok JOIN documents USING (doc_id) GROUP BY 1")
 def hybrid_stats(spark, sf_dir: str) -> DataFrame:
     d = lexical.tokenized(tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text")
