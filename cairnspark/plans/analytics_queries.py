@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
-from ..operators import chunking, clones, filters, graphs, metrics, rules, validators
+from ..operators import chunking, clones, filters, graphs, metrics, near_clones, rules, validators
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import table
 from ..streaming import events as ev
@@ -157,6 +157,13 @@ def clone_dedup(spark, sf_dir: str) -> DataFrame:
     return clones.suppress_overlaps(_merged(spark, sf_dir)).select("file1", "start1", "file2", "start2", "n_tokens")
 
 
+@register()
+def near_clones_prose(spark, sf_dir: str) -> DataFrame:
+    """Exact, renamed (another case) and gapped copies of passages between documents."""
+    found = near_clones.near_clones(near_clones.word_tokens(table(spark, sf_dir, "documents")), near_clones.Limits(min_lines=1))
+    return found.select("file1", "start1", "end1", "file2", "start2", "end2", "n_tokens", "similarity", "clone_type", "rule_id")
+
+
 @register("SELECT l_orderkey, l_linenumber, CASE WHEN 1 - l_discount >= 1.0 THEN 'exact' WHEN 1 - l_discount >= 0.95 THEN 'renamed' WHEN 1 - l_discount >= 0.80 THEN 'gapped' ELSE 'semantic' END AS clone_type FROM lineitem")
 def clone_classify(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", clones.clone_type(1 - F.col("l_discount")).alias("clone_type"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
-from ..operators import manifests, validators
+from ..operators import manifests, near_clones, validators
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -157,6 +157,13 @@ def refactoring_findings(spark, sf_dir: str) -> DataFrame:
     return manifests.refactoring_findings(f).select("id", "file", "line", "message")
 
 
+@register()
+def near_clones_rust(spark, sf_dir: str) -> DataFrame:
+    """Clones of the strict preset's size, with gaps, over the generated sources."""
+    t = near_clones.source_tokens(sources(spark, sf_dir), "file", "content")
+    return near_clones.near_clones(t, near_clones.Limits(4, 30, 0.70)).select("file1", "start1", "end1", "file2", "start2", "end2", "similarity", "clone_type", "rule_id")
+
+
 @register("""WITH u AS (SELECT 'n' || n_nationkey AS crate, 'n' || (n_nationkey * 24) % 25 AS dependency, n_nationkey::BIGINT AS line FROM nation)
 SELECT 'LAYER002' AS id, u.crate || '.rs' AS file, u.line AS line, u.crate || ' <-> ' || u.dependency AS message FROM u JOIN u v ON u.crate = v.dependency AND u.dependency = v.crate WHERE u.crate <> u.dependency""")
 def mutual_layers(spark, sf_dir: str) -> DataFrame:
