@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
-from ..operators import chunking, clones, filters, graphs, metrics, near_clones, rules, validators
+from ..operators import chaining, chunking, clones, filters, graphs, metrics, near_clones, rules, validators
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import table
 from ..streaming import events as ev
@@ -213,6 +213,59 @@ def _edges(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst")).distinct()
 
 
+#: Parts that refer to parts of their own fifty, and some to the next part or to one of the fifty before.
+_REFERS = """refers AS (SELECT p_partkey AS src, p_partkey // 50 * 50 + (p_partkey * p_partkey + 1) % 50 AS dst FROM part
+ UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 17 = 0 UNION SELECT p_partkey, p_partkey - 60 FROM part WHERE p_partkey % 101 = 0)"""
+
+
+def _refers(spark, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").alias("src")
+    p = table(spark, sf_dir, "part")
+    own = p.select(k, (F.expr("p_partkey div 50 * 50") + (k * k + 1) % 50).alias("dst"))
+    return own.unionByName(p.where("p_partkey % 17 = 0").select(k, (k + 1).alias("dst"))).unionByName(p.where("p_partkey % 101 = 0").select(k, (k - 60).alias("dst")))
+
+
+@register(f"""WITH RECURSIVE {_REFERS}, r(src, dst) AS (SELECT src, dst FROM refers UNION SELECT r.src, e.dst FROM r JOIN refers e ON r.dst = e.src),
+ same AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src)
+SELECT node, min(other) AS component FROM same GROUP BY 1""")
+def dep_components(spark, sf_dir: str) -> DataFrame:
+    return graphs.components(_refers(spark, sf_dir)).select("node", "component")
+
+
+@register(f"""WITH RECURSIVE {_REFERS}, r(src, dst) AS (SELECT src, dst FROM refers UNION SELECT r.src, e.dst FROM r JOIN refers e ON r.dst = e.src),
+ roots AS (SELECT src AS component FROM (SELECT a.src, min(a.dst) AS least FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1) WHERE src = least),
+ d(component, node, depth) AS (SELECT component, dst, 1 FROM roots JOIN refers ON src = component UNION SELECT component, e.dst, depth + 1 FROM d JOIN refers e ON d.node = e.src WHERE node <> component AND depth < 1000)
+SELECT component, min(depth)::BIGINT AS length FROM d WHERE node = component GROUP BY 1""")
+def dep_shortest_cycles(spark, sf_dir: str) -> DataFrame:
+    return graphs.shortest_cycles(_refers(spark, sf_dir)).select("component", "length")
+
+
+_PLACE_RULES = [
+    chaining.Rule("inside", (chaining.Condition("?x", "in", "?y"), chaining.Condition("?y", "in", "?z")), (("?x", "in", "?z"),)),
+    chaining.Rule("urgent", (chaining.Condition("?o", "priority", "1-URGENT"), chaining.Condition("?o", "in", "?p")), (("?p", "waits_for", "?o"),)),
+    chaining.Rule("alert", (chaining.Condition("?p", "waits_for", "?o"), chaining.Condition("?o", "total", "200000", ">")), (("?p", "state", "alert"),)),
+]
+
+
+@register("""WITH RECURSIVE f AS (SELECT 'o' || o_orderkey AS s, 'c' || o_custkey AS v FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+ inside(s, v) AS (SELECT s, v FROM f UNION SELECT i.s, f.v FROM inside i JOIN f ON i.v = f.s),
+ waits AS (SELECT DISTINCT v AS s, s AS v FROM inside JOIN orders ON s = 'o' || o_orderkey WHERE o_orderpriority = '1-URGENT'),
+ alert AS (SELECT DISTINCT w.s FROM waits w JOIN orders ON w.v = 'o' || o_orderkey WHERE o_totalprice > 200000)
+SELECT s AS subject, 'in' AS attribute, v AS value FROM inside UNION ALL SELECT s, 'waits_for', v FROM waits UNION ALL SELECT s, 'state', 'alert' FROM alert""")
+def forward_chaining(spark, sf_dir: str) -> DataFrame:
+    """A rule that feeds itself and two that follow from it, over orders, customers, nations and regions as facts."""
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    fact = lambda df, s, a, v: df.select(s.alias("subject"), F.lit(a).alias("attribute"), v.cast("string").alias("value"))
+    o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
+    given = fact(o, named("o", "o_orderkey"), "in", named("c", "o_custkey"))
+    for x in (
+        fact(c, named("c", "c_custkey"), "in", named("n", "c_nationkey")), fact(n, named("n", "n_nationkey"), "in", named("r", "n_regionkey")),
+        fact(o, named("o", "o_orderkey"), "priority", F.col("o_orderpriority")), fact(o, named("o", "o_orderkey"), "total", F.col("o_totalprice")),
+    ):
+        given = given.unionByName(x)
+    return chaining.forward_chain(given, _PLACE_RULES).where("attribute in ('in', 'waits_for', 'state')").select("subject", "attribute", "value")
+
+
 @register(f"WITH {_EDGES}, ok AS (SELECT DISTINCT s_suppkey AS src, s_nationkey::BIGINT AS dst FROM supplier) SELECT src, dst FROM edges WHERE (src, dst) NOT IN (SELECT src, dst FROM ok)")
 def forbidden_deps(spark, sf_dir: str) -> DataFrame:
     ok = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
