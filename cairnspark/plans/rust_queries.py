@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
-from ..operators import manifests, near_clones, validators
+from ..operators import block_tree, manifests, near_clones, validators
+from ..sources.scratch import materialize
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -171,3 +172,59 @@ def mutual_layers(spark, sf_dir: str) -> DataFrame:
     crate = lambda c: F.concat(F.lit("n"), c.cast("string"))
     uses = table(spark, sf_dir, "nation").select(crate(k).alias("crate"), crate((k * 24) % 25).alias("dependency"), F.concat(crate(k), F.lit(".rs")).alias("file"), k.cast("long").alias("line"))
     return manifests.mutual_layers(uses).select("id", "file", "line", "message")
+
+
+# ---- the block tree
+
+#: The same windows in SQL; the snippets hold no comment over several lines, so a line's code is the line without strings and comment.
+_NODES = r"""src AS (SELECT file, content FROM (SELECT k, paths[k % {paths} + 1] || '#' || k || '.rs' AS file, array_to_string(list_transform(range(3 + k % 40), lambda j: snippets[(k * 31 + j * j * 7 + j * (k % 11 + 1)) % {n} + 1]), chr(10)) AS content
+   FROM (SELECT p_partkey AS k, {listed_paths} AS paths, {listed} AS snippets FROM part))),
+ ln AS (SELECT file, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT file, string_split(regexp_replace(content, '\n$', ''), chr(10)) AS ls FROM src)),
+ code AS (SELECT file, line_no, regexp_replace(regexp_replace(line, '"[^"]*"', '""', 'g'), '//.*$', '') AS code FROM ln),
+ ev AS (SELECT file, line_no, i, marks[i] AS mark, trim(regexp_split_to_array(code, '[{{}}]')[i]) AS header FROM
+   (SELECT file, line_no, code, marks, unnest(range(1, len(marks) + 1)) AS i FROM (SELECT *, regexp_extract_all(code, '[{{}}]') AS marks FROM code))),
+ s1 AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no, i) AS seq, sum(CASE WHEN mark = '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY file ORDER BY line_no, i) AS s FROM ev),
+ s2 AS (SELECT *, least(min(s) OVER (PARTITION BY file ORDER BY seq), 0) AS low, coalesce(least(min(s) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS before FROM s1),
+ s3 AS (SELECT *, s - low + CASE WHEN mark = '{{' THEN 0 ELSE 1 END AS depth FROM s2 WHERE mark = '{{' OR low = before),
+ s4 AS (SELECT *, lead(seq) OVER (PARTITION BY file, depth ORDER BY seq) AS post, lead(line_no) OVER (PARTITION BY file, depth ORDER BY seq) AS end_line FROM s3),
+ nodes AS (SELECT file, seq AS pre, coalesce(post, 2147483648) AS post, depth::INT AS depth, line_no::INT AS start_line, coalesce(end_line, (SELECT max(line_no) FROM ln WHERE ln.file = s4.file))::INT AS end_line,
+   header, {kind} AS kind FROM s4 WHERE mark = '{{'),
+ tree AS (SELECT n.*, (SELECT max(p.pre) FROM nodes p WHERE p.file = n.file AND p.pre < n.pre AND p.post > n.post OR p.file = n.file AND p.pre < n.pre AND p.post = 2147483648) AS parent FROM nodes n)"""
+
+
+def _tree_sql() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda xs: "[" + ", ".join(map(text, xs)) + "]"
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(header, {text(p)}) THEN '{k}'" for k, p in block_tree.KINDS.items()) + " ELSE 'block' END"
+    return _NODES.format(paths=len(PATHS), n=len(SNIPPETS), listed=listed(SNIPPETS), listed_paths=listed(PATHS), kind=kind)
+
+
+def _tree(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = sources(spark, sf_dir).select(F.concat("file", F.lit(".rs")).alias("file"), "content")
+    lines = materialize(line_table(s))
+    return materialize(block_tree.block_nodes(lines)), lines
+
+
+@register(f"WITH {_tree_sql()} SELECT file, pre, depth, parent, kind, start_line, end_line FROM tree")
+def block_tree_nodes(spark, sf_dir: str) -> DataFrame:
+    """Every block of the generated sources, with its parent."""
+    return _tree(spark, sf_dir)[0].select("file", "pre", "depth", "parent", "kind", "start_line", "end_line")
+
+
+@register(f"WITH {_tree_sql()} SELECT file, count(*) AS blocks, max(depth) AS deepest, max(end_line - start_line + 1)::BIGINT AS longest FROM nodes GROUP BY 1")
+def block_nesting(spark, sf_dir: str) -> DataFrame:
+    return block_tree.nesting(_tree(spark, sf_dir)[0])
+
+
+@register(f"""WITH {_tree_sql()} SELECT file, pre, start_line FROM tree t WHERE kind = 'loop' AND end_line - start_line >= 2
+ AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = t.file AND a.kind = 'function' AND a.pre < t.pre AND (a.post > t.post OR a.post = 2147483648)) AND NOT EXISTS (SELECT 1 FROM tree c WHERE c.file = t.file AND c.parent = t.pre AND c.kind = 'condition')""")
+def block_query(spark, sf_dir: str) -> DataFrame:
+    """Loops of three lines or more, somewhere inside a function, without a condition as a child."""
+    found = block_tree.select_nodes(_tree(spark, sf_dir)[0], "loop", F.expr("end_line - start_line >= 2"), no_child="condition", inside="function")
+    return found.select("file", "pre", "start_line")
+
+
+@register()
+def block_metrics(spark, sf_dir: str) -> DataFrame:
+    """Length, parameters and complexity of every function."""
+    return block_tree.function_metrics(*_tree(spark, sf_dir))
