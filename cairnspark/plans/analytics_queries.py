@@ -9,7 +9,7 @@ from ..functions.text import line_table
 from ..operators import chaining, chunking, clones, filters, graphs, metrics, near_clones, rules, validators
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import table
-from ..streaming import events as ev
+from ..streaming import events as ev, timers
 from .views import CHUNKS, EXT_OF, FILES, LINES, files
 
 QUERIES: dict = {}
@@ -566,5 +566,52 @@ def stream_events(spark, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     q = source.writeStream.foreachBatch(ev.upsert_counts(out)).option("checkpointLocation", scratch_path(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max((p.batchId for p in q.recentProgress if p.numInputRows), default=0)
-    return spark.read.parquet(f"{out}/{last}")
+    last = max((p.batchId for p in q.recentProgress if p.numInputRows), default=None)
+    # an empty table has no batch
+    kind = "event_type string, n long"
+    return spark.createDataFrame([], kind) if last is None else spark.read.schema(kind).parquet(f"{out}/{last}")
+
+
+_ALERTS = """m AS (SELECT event_type AS k, epoch_us(ts) // 1000 AS ms, value, value > 20 AS above FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+ s AS (SELECT *, sum((NOT above)::INT) OVER (PARTITION BY k ORDER BY ms, value ROWS UNBOUNDED PRECEDING) AS streak FROM m),
+ e AS (SELECT k, streak, min(ms) FILTER (above) AS since FROM s GROUP BY 1, 2), z AS (SELECT k, streak - 1 AS streak, min(ms) AS stop FROM s WHERE NOT above GROUP BY 1, 2),
+ a AS (SELECT k, streak, since, since + 3600000 AS due FROM e LEFT JOIN z USING (k, streak) WHERE since IS NOT NULL AND least(coalesce(stop, {until}), {until}) > since + 3600000)
+SELECT a.k AS event_type, since, due AS fires_at, max(value) AS peak FROM a JOIN s ON a.k = s.k AND a.streak = s.streak AND above AND ms <= due GROUP BY 1, 2, 3"""
+
+
+def _alert_rows(alerts: DataFrame) -> DataFrame:
+    return alerts.select("event_type", F.unix_millis("since").alias("since"), F.unix_millis("fires_at").alias("fires_at"), "peak")
+
+
+@register("WITH " + _ALERTS.format(until="4611686018427387904"))
+def alert_fires(spark, sf_dir: str) -> DataFrame:
+    """When a type of event has stood above 20 for an hour, though nothing came at that moment."""
+    return _alert_rows(timers.hold_alerts_of(table(spark, sf_dir, "events"), "event_type", "value", 20, 3600))
+
+
+@register("WITH " + _ALERTS.format(until="(SELECT max(epoch_us(ts) // 1000) - 600000 FROM events)"))
+def stream_alerts(spark, sf_dir: str) -> DataFrame:
+    """The same from a stream, with timers: what the watermark, ten minutes behind the last event, has passed."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    timers.use_rocksdb(spark)
+    rows = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _alert_rows(ev.run_available(timers.hold_alerts(rows, "event_type", "value", 20, 3600, "10 minutes"), scratch_path(spark), scratch_path(spark)))
+
+
+@register("""WITH m AS (SELECT event_type, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+ n AS (SELECT *, lead(ms) OVER (PARTITION BY event_type ORDER BY ms) AS nxt, row_number() OVER (PARTITION BY event_type ORDER BY ms) AS n FROM m)
+SELECT event_type, ms AS last_seen, ms + 7200000 AS silent_at, count(*) AS silences FROM n WHERE coalesce(nxt, 4611686018427387904) > ms + 7200000 GROUP BY 1, 2, 3""")
+def event_silences(spark, sf_dir: str) -> DataFrame:
+    """When a type of event was silent for two hours."""
+    out = timers.silences_of(table(spark, sf_dir, "events"), "event_type", 7200)
+    return out.groupBy("event_type", F.unix_millis("last_seen").alias("last_seen"), F.unix_millis("silent_at").alias("silent_at")).agg(F.count(F.lit(1)).alias("silences"))
+
+
+@register("""WITH s AS (SELECT user_id, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events)), e AS (SELECT user_id, ts FROM events WHERE event_type = (SELECT max(event_type) FROM events))
+SELECT s.user_id, epoch_us(s.ts) // 1000 AS started_at, epoch_us(e.ts) // 1000 AS completed_at FROM s LEFT JOIN e ON s.user_id = e.user_id AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 1 HOUR""")
+def event_completions(spark, sf_dir: str) -> DataFrame:
+    """A user's events of the first type with those of the last one within an hour."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi")).first()  # one row
+    out = timers.completions(e.where(F.col("event_type") == ends.lo), e.where(F.col("event_type") == ends.hi), "user_id", "1 HOUR", "1 hour")
+    return out.select("user_id", F.unix_millis("started_at").alias("started_at"), F.unix_millis("completed_at").alias("completed_at"))
