@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
-from ..operators import chaining, chunking, clones, filters, graphs, metrics, near_clones, rules, validators
+from ..operators import chaining, chunking, clones, filters, graphs, json_schema, metrics, near_clones, rules, validators
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import table
 from ..streaming import events as ev, timers
@@ -615,3 +615,24 @@ def event_completions(spark, sf_dir: str) -> DataFrame:
     ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi")).first()  # one row
     out = timers.completions(e.where(F.col("event_type") == ends.lo), e.where(F.col("event_type") == ends.hi), "user_id", "1 HOUR", "1 hour")
     return out.select("user_id", F.unix_millis("started_at").alias("started_at"), F.unix_millis("completed_at").alias("completed_at"))
+
+
+@register("""WITH d AS (SELECT p_partkey AS id, p_size AS size, p_retailprice AS price, p_name AS name, p_brand AS brand, split(p_type, ' ') AS kinds FROM part)
+SELECT id, '$.size' AS path, 'maximum' AS keyword FROM d WHERE size > 40 UNION ALL SELECT id, '$.name', 'maxLength' FROM d WHERE length(name) > 10
+UNION ALL SELECT id, '$.brand', 'pattern' FROM d WHERE NOT regexp_matches(brand, '^Brand#[1-3]') UNION ALL SELECT id, '$', 'required' FROM d WHERE id % 7 = 0
+UNION ALL SELECT id, '$', 'anyOf' FROM d WHERE price <= 920 AND size <= 10
+UNION ALL SELECT id, '$.kinds[' || (i - 1) || ']', 'enum' FROM (SELECT id, kinds, unnest(range(1, len(kinds) + 1)) AS i FROM d) WHERE kinds[i] IN ('PROMO', 'SMALL')""")
+def schema_violations(spark, sf_dir: str) -> DataFrame:
+    """Parts as JSON documents, every seventh without a price, checked against a schema with nested items and alternatives."""
+    p = table(spark, sf_dir, "part")
+    price = F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("price")
+    doc = F.to_json(F.struct(F.col("p_size").alias("size"), price, F.col("p_retailprice").alias("cost"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.split("p_type", " ").alias("kinds")))
+    schema = {
+        "type": "object", "required": ["price", "name"],
+        "properties": {
+            "size": {"type": "integer", "maximum": 40}, "name": {"type": "string", "maxLength": 10}, "brand": {"pattern": "^Brand#[1-3]"},
+            "kinds": {"type": "array", "items": {"enum": ["STANDARD", "MEDIUM", "LARGE", "ECONOMY"]}},
+        },
+        "anyOf": [{"properties": {"cost": {"exclusiveMinimum": 920}}}, {"properties": {"size": {"exclusiveMinimum": 10}}}],
+    }
+    return json_schema.violations(p.select(F.col("p_partkey").alias("id"), doc.alias("value")), schema).select("id", "path", "keyword")
