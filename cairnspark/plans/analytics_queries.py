@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
 from ..operators import chaining, chunking, clones, filters, graphs, json_schema, metrics, near_clones, rules, validators
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import table
-from ..streaming import events as ev, timers
+from ..streaming import events as ev, range_vectors, timers
 from .views import CHUNKS, EXT_OF, FILES, LINES, files
 
 QUERIES: dict = {}
@@ -636,3 +637,33 @@ def schema_violations(spark, sf_dir: str) -> DataFrame:
         "anyOf": [{"properties": {"cost": {"exclusiveMinimum": 920}}}, {"properties": {"size": {"exclusiveMinimum": 10}}}],
     }
     return json_schema.violations(p.select(F.col("p_partkey").alias("id"), doc.alias("value")), schema).select("id", "path", "keyword")
+
+
+#: Events of a type counted through the day: a counter that begins again at midnight.
+_COUNTER = """c AS (SELECT event_type, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS value, ts FROM events),
+ i AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN 0 WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END AS inc FROM c WINDOW w AS (PARTITION BY event_type ORDER BY ts, value)),
+ b AS (SELECT event_type, sec // 300 * 300 AS bucket, sum(inc) AS inc FROM i GROUP BY 1, 2),
+ r AS (SELECT event_type, bucket + 300 AS until, sum(inc) OVER (PARTITION BY event_type ORDER BY bucket RANGE BETWEEN {before} PRECEDING AND CURRENT ROW) / {length}::DOUBLE AS value FROM b)"""
+
+
+def _counter(spark, sf_dir: str) -> DataFrame:
+    """Stored buckets of the counter, five minutes each."""
+    e = table(spark, sf_dir, "events")
+    of_day = W.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
+    c = e.select("event_type", "ts", F.row_number().over(of_day).cast("double").alias("value"))
+    return materialize(range_vectors.buckets(c, ["event_type"], counter=True))
+
+
+@register("WITH " + _COUNTER.format(before=3300, length=3600) + " SELECT event_type, until::BIGINT AS until, round(value, 9) AS value FROM r")
+def counter_rate_1h(spark, sf_dir: str) -> DataFrame:
+    """A counter's rate over the last hour, over its resets."""
+    return range_vectors.rate(_counter(spark, sf_dir), ["event_type"], 3600).withColumn("value", F.round("value", 9))
+
+
+@register("WITH " + _COUNTER.format(before=604500, length=604800) + """, e AS (SELECT until, value FROM r WHERE event_type LIKE 'e%'), a AS (SELECT until, sum(value) AS value FROM r GROUP BY 1)
+SELECT e.until::BIGINT AS until, round(sum(e.value) / max(a.value), 6) AS value FROM e JOIN a USING (until) WHERE a.value <> 0 GROUP BY 1""")
+def error_ratio_7d(spark, sf_dir: str) -> DataFrame:
+    """The share of errors in the rates over seven days, from the stored buckets."""
+    rates = range_vectors.rate(_counter(spark, sf_dir), ["event_type"], 604_800)
+    bad = range_vectors.summed(range_vectors.matching(rates, event_type=("=~", "e.*")))
+    return range_vectors.ratio(bad, range_vectors.summed(rates), []).select("until", F.round("value", 6).alias("value"))
