@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
-from ..operators import chaining, chunking, clones, filters, graphs, json_schema, metrics, near_clones, rules, validators
+from ..operators import chaining, chunking, clones, filters, graphs, json_schema, metrics, near_clones, rules, snapshots, validators
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import table
 from ..streaming import events as ev, range_vectors, timers
@@ -197,6 +197,17 @@ def snapshot_diff(spark, sf_dir: str) -> DataFrame:
     return graphs.snapshot_diff(old, new)
 
 
+@register(f"""WITH {FILES}, o AS (SELECT path, md5(content) AS hash FROM files WHERE doc_id % 50 <> 3), n AS (SELECT path, md5(CASE WHEN doc_id % 40 = 0 THEN content || '.' ELSE content END) AS hash FROM files WHERE doc_id % 60 <> 7)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash""")
+def snapshot_tree_diff(spark, sf_dir: str) -> DataFrame:
+    """Two snapshots of the source tree, compared by directories from the root down."""
+    f = files(spark, sf_dir)
+    md5 = lambda c: F.md5(c.cast("binary")).alias("hash")
+    old = snapshots.tree(f.where("doc_id % 50 != 3").select("path", md5(F.col("content"))))
+    new = snapshots.tree(f.where("doc_id % 60 != 7").select("path", md5(F.when(F.col("doc_id") % 40 == 0, F.concat("content", F.lit("."))).otherwise(F.col("content")))))
+    return snapshots.changes(old, new)
+
+
 @register(f"""WITH {FILES}, owners AS (SELECT DISTINCT source AS owner FROM documents UNION SELECT DISTINCT source || '/src' FROM documents WHERE doc_id % 2 = 0)
 SELECT path, max_by(owner, length(owner)) AS owner FROM files JOIN owners ON starts_with(path, owner || '/') GROUP BY 1""")
 def nearest_ancestor(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import browse, chunking, embedding, filters, ids, lexical, lexical_index, vector_index, vector_search
+from ..operators import browse, chunking, embedding, filters, ids, lexical, lexical_index, quantized, vector_index, vector_search
 from ..sources import tables
 from ..sources.scratch import materialize, scratch_path
 from .views import CHUNKS, EXT_OF, FILES, LINES, TOK, TOKENS, files
@@ -243,6 +243,21 @@ def vector_index_updates(spark, sf_dir: str) -> DataFrame:
     return vector_index.search(asked, path, 5)
 
 
+@register(_BATCH.format(score="1 / (1 + list_distance(a.v, b.v))", where="", k=10))
+def vector_quantized_l2(spark, sf_dir: str) -> DataFrame:
+    """From one byte a dimension, and the full vectors of what its bounds leave: exact."""
+    e, asked, path = _index(spark, sf_dir)
+    quantized.store(e, path)
+    return quantized.search(asked, path, 10, "l2")
+
+
+@register(_BATCH.format(score="list_cosine_similarity(a.v, b.v)", where="", k=5))
+def vector_quantized_cosine(spark, sf_dir: str) -> DataFrame:
+    e, asked, path = _index(spark, sf_dir)
+    quantized.store(e, path)
+    return quantized.search(asked, path, 5)
+
+
 def _tok(spark, sf_dir: str) -> DataFrame:
     return lexical.tokenized(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
