@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_table
-from ..operators import block_tree, manifests, near_clones, validators
+from ..operators import block_tree, manifests, near_clones, organization, validators
 from ..sources.scratch import materialize
 from ..sources.tables import table
 
@@ -228,3 +228,50 @@ def block_query(spark, sf_dir: str) -> DataFrame:
 def block_metrics(spark, sf_dir: str) -> DataFrame:
     """Length, parameters and complexity of every function."""
     return block_tree.function_metrics(*_tree(spark, sf_dir))
+
+
+# ---- organization: one file a part, its folder and lines chosen by the part's key
+
+FOLDERS = (
+    "crates/domain/src/model/", "crates/domain/src/ports/", "crates/domain/src/adapters/", "crates/infrastructure/src/ports/", "crates/infrastructure/src/cache/",
+    "crates/app/src/server/", "crates/app/src/server/handlers/", "crates/app/src/application/", "crates/app/tests/",
+)
+NAMES = ("order", "my_config", "error", "builder", "constants")
+ORG_LINES = (
+    "pub trait PayGateway {", "pub trait OrderService {", "pub trait OrderServiceExt {", "let s = Arc::new(OrderService::new(db));", "use crate::server::state;", "pub use crate::server::other;",
+    "impl OrderRepository for Db {", "pub struct PageHandler {", "let n = 123456 + 86400;", "const N: u32 = 777777;", "// let n = 999999;", "let a = \"a rather long literal\";", "let b = \"Cannot do this at all\";", "#[cfg(test)]",
+)
+
+
+def _organized(spark, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), i.cast("int"))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), k % 5), lambda j: (k * 5 + j * 3 + j * j) % len(ORG_LINES))
+    path = F.concat(pick(FOLDERS, k % len(FOLDERS)), F.lit("d"), k.cast("string"), F.lit("/"), pick(NAMES, k % len(NAMES)), F.lit(".rs"))
+    return line_table(table(spark, sf_dir, "part").select(path.alias("file"), F.array_join(F.transform(at, lambda i: pick(ORG_LINES, i)), "\n").alias("content")))
+
+
+def _organization_sql() -> str:
+    listed = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    return f"""WITH raw AS (SELECT k, file, n AS line_no, {listed(ORG_LINES)}[(k * 5 + n * 3 + n * n) % {len(ORG_LINES)} + 1] AS line FROM
+   (SELECT k, {listed(FOLDERS)}[k % {len(FOLDERS)} + 1] || 'd' || k || '/' || {listed(NAMES)}[k % {len(NAMES)} + 1] || '.rs' AS file, unnest(range(k % 5 + 1)) AS n FROM (SELECT p_partkey AS k FROM part))),
+ cut AS (SELECT *, min(line_no) FILTER (line = '#[cfg(test)]') OVER (PARTITION BY file) AS cut FROM raw WHERE NOT contains(file, '/tests/')),
+ p AS (SELECT file, line_no + 1 AS line, line AS t, regexp_extract(file, '[^/]*$') AS name FROM cut WHERE (cut IS NULL OR line_no < cut) AND NOT starts_with(line, '//')),
+ f AS (SELECT DISTINCT file, regexp_extract(file, '[^/]*$') AS name FROM raw)
+SELECT 'ORG001' AS id, file, line::BIGINT AS line FROM p WHERE contains(t, '123456') AND name NOT IN ('my_config.rs', 'constants.rs')
+UNION ALL SELECT 'ORG002', min(file), NULL FROM p WHERE contains(t, '"a rather') AND name <> 'constants.rs' HAVING count(DISTINCT file) >= 4
+UNION ALL SELECT 'ORG005', file, NULL FROM f WHERE contains(file, 'domain/src/adapters/') UNION ALL SELECT 'ORG005', file, NULL FROM f WHERE contains(file, 'infrastructure/src/ports/')
+UNION ALL SELECT 'ORG005', file, NULL FROM f WHERE name = 'my_config.rs' AND contains(file, '/src/') UNION ALL SELECT 'ORG005', file, NULL FROM f WHERE name = 'error.rs' AND contains(file, '/src/')
+UNION ALL SELECT 'ORG007', file, line FROM p WHERE t = 'pub trait OrderService {{' AND NOT contains(file, 'domain/') AND NOT contains(file, '/ports/')
+UNION ALL SELECT 'ORG013', file, line FROM p WHERE contains(t, 'Arc::new(') AND contains(file, '/server/') AND name <> 'builder.rs'
+UNION ALL SELECT 'ORG014', file, line FROM p WHERE t = 'use crate::server::state;' AND regexp_matches(file, '/(application|infrastructure)/')
+UNION ALL SELECT 'ORG015', file, line FROM p WHERE starts_with(t, 'impl OrderRepository') AND NOT contains(file, '/adapters/')
+UNION ALL SELECT 'ORG017', file, line FROM p WHERE starts_with(t, 'pub struct Page') AND contains(file, '/server/') AND NOT contains(file, '/handlers/')
+UNION ALL SELECT 'ORG018', file, line FROM p WHERE t = 'pub trait PayGateway {{' AND contains(file, 'domain/') AND NOT contains(file, '/ports/')"""
+
+
+@register(_organization_sql())
+def organization_findings(spark, sf_dir: str) -> DataFrame:
+    """Placement and layer rules over sources in every kind of folder."""
+    found = organization.organization_findings(_organized(spark, sf_dir))
+    return found.where("id != 'ORG016'").select("id", "file", "line")
