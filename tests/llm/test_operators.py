@@ -403,7 +403,8 @@ def model_by_hand(train, texts):
 
     def contexts(word, i):
         h = [255, 255, *word[:i]]
-        return (), (h[-1],), (h[-1], h[-2]), ("whole", word[:i])
+        deep = [("deep", d, word[i - d : i]) for d in lm.DEEP if i >= d]
+        return (), (h[-1],), (h[-1], h[-2]), *deep, ("whole", word[:i])
 
     def bits(word):
         for i, byte in enumerate(word):
@@ -437,12 +438,16 @@ def model_by_hand(train, texts):
         return w * est + (1 - w) * short(cs, node, bit, d + 1)
 
     def p(cs, node, bit):
-        q, n = short(cs, node, bit), count.get((cs[3], node), (0, 0))
-        if not sum(n):
-            return q
-        a, b = pe(*n), n[bit] * math.log(q) + n[1 - bit] * math.log(1 - q)
-        w = 1 / (1 + math.exp(min(700, a - b)))
-        return w * q + (1 - w) * (n[bit] + 0.5) / (sum(n) + 1)
+        q = short(cs, node, bit)
+        for c in cs[3:]:
+            n = count.get((c, node), (0, 0))
+            # of the depths in between a context counts from its second occurrence on
+            if not sum(n) or c[0] == "deep" and sum(count[c, 1]) < lm.REPEATS:
+                continue
+            a, b = pe(*n), n[bit] * math.log(q) + n[1 - bit] * math.log(1 - q)
+            w = 1 / (1 + math.exp(min(700, a - b)))
+            q = w * q + (1 - w) * (n[bit] + 0.5) / (sum(n) + 1)
+        return q
 
     memo_word = {}
 
