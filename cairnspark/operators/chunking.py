@@ -14,6 +14,8 @@ from ..functions.text import lines, trim
 from ..sources.tables import extension
 
 WINDOW_LINES, MIN_BYTES, MAX_CHUNKS, CONTEXT_LINES = 15, 20, 50, 3
+#: Least bytes of a chunk that a syntax tree gives.
+MIN_NODE_BYTES = 30
 
 # Extensions by language.
 LANGUAGES = {
@@ -31,13 +33,22 @@ LANGUAGES = {
     "swift": ("swift",),
     "kotlin": ("kt", "kts"),
 }
-#: Patterns that start a block, by language; see chunk_by_pattern.
+# Patterns that start a block, by language; see chunk_by_pattern.
+_C_FUNCTION = r"^[a-zA-Z_].*\(.*\)\s*\{"
 BLOCK_STARTS = {
     "python": (r"^(async )?def ", r"^class "),
     "go": (r"^func ", r"^type "),
     "javascript": (r"^(export )?(async )?function ", r"^(export )?class "),
     "rust": (r"^(pub )?(async )?fn ", r"^(pub )?(struct|enum|trait) ", r"^impl\b"),
     "java": (r"^(public|private|protected) ", r"^(class|interface) "),
+    "typescript": (r"^function ", r"^class ", r"^const .* = ", r"^export ", r"^interface ", r"^type "),
+    "c": (_C_FUNCTION,),
+    "cpp": (r"^class ", r"^struct ", _C_FUNCTION),
+    "csharp": (r"^\s*public ", r"^\s*private ", r"^\s*class ", r"^\s*interface "),
+    "ruby": (r"^def ", r"^class ", r"^module "),
+    "php": (r"^function ", r"^\s*public function ", r"^class "),
+    "swift": (r"^func ", r"^class ", r"^struct ", r"^protocol "),
+    "kotlin": (r"^fun ", r"^class ", r"^data class ", r"^object "),
 }
 
 
@@ -200,30 +211,37 @@ def query_nodes(nodes: DataFrame, kind: str, key: str = "path", name_like: str |
     return out
 
 
+def structure_chunks(language: str, text: str, starts: dict[str, list]) -> list[tuple[int, int, str]]:
+    """(start, end, content) of one file by its structure: Python that parses by its
+    top definitions, all else by its language's patterns."""
+    if language == "python":
+        try:
+            nodes = python_nodes(text)
+        except (SyntaxError, ValueError, RecursionError):
+            return pattern_blocks(text, starts["python"])
+        rows = [x.removesuffix("\r") for x in text.split("\n")]
+        top = [(n[5] - 1, n[6] - 1) for n in nodes if n[3] in ("FunctionDef", "AsyncFunctionDef", "ClassDef") and n[2] <= 2]
+        out = [(i, j, "\n".join(rows[i : j + 1]).strip()) for i, j in top]
+        return [x for x in out if len(x[2].encode()) >= MIN_NODE_BYTES]
+    return pattern_blocks(text, starts[language]) if language in starts else []
+
+
 def chunk_dispatch(files: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
     """Each file by the best chunker there is: Python by its syntax tree, other known
-    languages by block patterns, whatever gives no chunk by windows of lines."""
-    lang = language_of(F.col(key))
-    known = files.withColumn("language", lang)
-    cols = [key, "start_line", "end_line", "content"]
-    py = known.where("language = 'python'")
-    nodes = ast_nodes(py, key, text).where("kind in ('FunctionDef', 'AsyncFunctionDef', 'ClassDef') and depth <= 2")
-    ls = py.select(F.col(key).alias("__k"), lines(F.col(text)).alias("ls"))
-    body = F.array_join(F.slice("ls", F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n")
-    parts = [
-        nodes.join(ls, F.col(key) == F.col("__k"))
-        .select(key, (F.col("start_line") - 1).alias("start_line"), (F.col("end_line") - 1).alias("end_line"), trim(body).alias("content"))
-        .where(F.octet_length("content") >= 30)
-    ]
-    for name, patterns in BLOCK_STARTS.items():
-        if name != "python":
-            parts.append(chunk_by_pattern(known.where(F.col("language") == name), patterns, key, text).select(*cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.withColumn("chunker", F.lit("structure"))
-    rest = known.join(out.select(key).distinct(), key, "left_anti").select(key, text)
-    plain = chunk_by_lines(rest.withColumnRenamed(text, "content")).select(*cols)
-    return out.unionByName(plain.withColumn("chunker", F.lit("lines")))
+    languages, and Python that does not parse, by block patterns; whatever gives
+    no chunk by windows of lines.  All languages are cut in one scan."""
+    import re
+
+    starts = {name: [re.compile(p) for p in patterns] for name, patterns in BLOCK_STARTS.items()}
+    kind = files.schema[key].dataType.simpleString()
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *x) for k, t, n in zip(b[key], b[text], b["language"], strict=True) for x in structure_chunks(n, t or "", starts)]
+            yield pd.DataFrame(rows, columns=[key, "start_line", "end_line", "content"])
 
+    known = files.select(key, text, language_of(F.col(key)).alias("language"))
+    out = known.where(F.col("language").isin(*BLOCK_STARTS)).mapInPandas(run, f"{key} {kind}, start_line long, end_line long, content string").withColumn("chunker", F.lit("structure"))
+    rest = known.join(out.select(key).distinct(), key, "left_anti").select(key, text)
+    plain = chunk_by_lines(rest.withColumnRenamed(text, "content")).select(key, "start_line", "end_line", "content")
+    return out.unionByName(plain.withColumn("chunker", F.lit("lines")))

@@ -122,7 +122,25 @@ def test_dispatch_uses_structure_then_lines(spark):
     py = "def first_function(a, b):\n    return a + b + 1\n\n\ndef second_function(c):\n    return c * 2 + 17\n"
     rows = [("a.py", py), ("b.py", "x = 1  # nothing to cut but a line\n"), ("c.txt", "plain text of more than twenty bytes"), ("d.py", "def broken(: a line of the file\n")]
     out = chunking.chunk_dispatch(spark.createDataFrame(rows, "path string, content string")).collect()
-    assert sorted((r.path, r.chunker) for r in out) == [("a.py", "structure")] * 2 + [("b.py", "lines"), ("c.txt", "lines"), ("d.py", "lines")]
+    assert sorted((r.path, r.chunker) for r in out) == [("a.py", "structure")] * 2 + [("b.py", "lines"), ("c.txt", "lines"), ("d.py", "structure")]
+
+
+def test_block_patterns_by_language(spark):
+    """A file of each language with two blocks after a line of its own."""
+    two = lambda a, b, tail="{\n    some_statement();\n}": f"one line that opens nothing\n{a} {tail}\n{b} {tail}\n"
+    rows = {
+        "a.go": two("func First()", "type Second struct"), "a.js": two("function first()", "class Second"), "a.rs": two("pub fn first()", "impl Second"),
+        "a.java": two("public class First", "private void second()"), "a.ts": two("export function first()", "interface Second"), "a.c": two("int first(int x)", "static void second(void)"),
+        "a.cpp": two("class First", "int second(int x)"), "a.cs": two("  public class First", "  private int Second()"), "a.php": two("function first()", "class Second"),
+        "a.swift": two("func first()", "protocol Second"), "a.kt": two("fun first()", "data class Second(x)"), "a.rb": two("def first_method", "module SecondPart", "\n  some_statement\nend"),
+        "broken.py": "x = (\ndef first_function(a):\n    return a\nclass SecondClass:\n    pass\n",
+    }
+    out = chunking.chunk_dispatch(spark.createDataFrame(list(rows.items()), "path string, content string")).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.path, []).append((r.start_line, r.chunker))
+    assert {k: len(v) for k, v in got.items()} == dict.fromkeys(rows, 2) and all(c == "structure" for v in got.values() for _, c in v)
+    assert sorted(got["a.c"]) == [(1, "structure"), (4, "structure")] and sorted(s for s, _ in got["broken.py"]) == [1, 3]
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
