@@ -38,6 +38,18 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def loose_glob(glob: str) -> str | None:
+    """The looser reading of globs that clone exclusions have: found anywhere in a path,
+    ``*`` stays within a segment, ``**`` is one character more, the rest is a regular
+    expression; None if it is none."""
+    out = re.sub(r"\*\*?", lambda m: ".[^/]*" if m[0] == "**" else "[^/]*", glob)
+    try:
+        re.compile(out)
+    except re.error:
+        return None
+    return out
+
+
 def matches_any(path: Column, globs: list[str]) -> Column:
     """Fits one of the include patterns and no ``!`` pattern; nothing fits an empty list."""
     return matches_globs(path, globs) if any(not g.startswith("!") for g in globs) else F.lit(False)

@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from .chunking import language_of
 from .clones import clone_type, lex
+from .filters import loose_glob
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,22 @@ class Limits:
     anchor: int = 5
 
 
+# Languages whose files are looked at, and paths that are not.
+ANALYSED = ("rust", "python", "javascript", "typescript")
+EXCLUDED = ("**/target/**", "**/node_modules/**", "**/.git/**", "**/vendor/**")
 #: Rule of each type.
 RULES = {"exact": "DUP001", "renamed": "DUP002", "gapped": "DUP003", "semantic": "DUP004"}
 FIELDS = ("start1", "end1", "start2", "end2", "line1", "last1", "line2", "last2", "n_tokens", "matched", "gap_tokens", "renamed")
 
 
+def analysed(files: DataFrame, key: str = "path", languages: tuple[str, ...] = ANALYSED, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """Files of the given languages that no exclusion finds; an exclusion that is no pattern excludes nothing."""
+    kept = files.where(language_of(F.col(key)).isin(*languages))
+    for pattern in filter(None, map(loose_glob, exclude)):
+        kept = kept.where(~F.col(key).rlike(pattern))
+    return kept
+
+
 def source_tokens(files: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
     """key, raw, norm, lines: a file's tokens as hashes, as written and in normal form, and their lines."""
 

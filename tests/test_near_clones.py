@@ -126,3 +126,13 @@ def test_words_of_prose(spark):
     rows = [(1, text), (2, text.upper()), (3, " ".join(other)), (4, None), (5, "short")]
     out = nc.near_clones(nc.word_tokens(spark.createDataFrame(rows, "doc_id long, text string")), nc.Limits(min_lines=1)).collect()
     assert {(r.file1, r.file2, r.clone_type) for r in out} == {(1, 2, "renamed"), (1, 3, "gapped")}
+
+
+def test_files_that_are_looked_at(spark):
+    paths = ["a/src/x.rs", "a/target/debug/x.rs", "b/node_modules/m/i.js", "c.go", "d/vendor/v.py", "e/vendored.py", "targets/x.ts", "n/.git/y.py"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    kept = lambda **kw: [r.path for r in nc.analysed(df, **kw).collect()]
+    assert kept() == ["a/src/x.rs", "e/vendored.py", "targets/x.ts"]
+    # a segment may be anything, but is one; a pattern that is none excludes nothing
+    assert kept(exclude=("a/*/x", "[")) == ["a/target/debug/x.rs", "b/node_modules/m/i.js", "d/vendor/v.py", "e/vendored.py", "targets/x.ts", "n/.git/y.py"]
+    assert kept(languages=("go",)) == ["c.go"]
