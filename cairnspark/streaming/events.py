@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,21 +55,28 @@ def debounced(events: DataFrame, quiet: float, key: str, order: str = "event_id"
     ``quiet`` seconds or more after the last sync.
 
     An event ``quiet`` seconds after the one before it is always a sync, so a key's
-    events fall into bursts that do not depend on each other; each burst is folded.
+    events fall into bursts that do not depend on each other.  Bursts are dealt to
+    tasks, sorted, and folded as they stream by: however long one is, no more of
+    it than a batch is held.
     """
     w = W.partitionBy(key).orderBy("ts", order)
-    wait = int(quiet * 1e6)
-    names = events.columns
+    wait, names = int(quiet * 1e6), events.columns
     gap = micros(F.col("ts")) - micros(F.lag("ts").over(w))
-    opens = events.withColumn("__opens", F.coalesce((gap >= wait).cast("int"), F.lit(1)))
+    opens = events.withColumn("__us", micros(F.col("ts"))).withColumn("__opens", F.coalesce((gap >= wait).cast("int"), F.lit(1)))
     bursts = opens.withColumn("__burst", F.sum("__opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    row = F.struct(F.col("ts").alias("__t"), F.col(order).alias("__o"), F.struct(*names).alias("row"))
-    each = bursts.groupBy(key, "__burst").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    alone = F.struct(F.lit(None).cast("long").alias("last"), F.filter("rows", lambda r: F.lit(False)).alias("taken"))
-    taken = F.aggregate("rows", alone, lambda a, r: F.when(
-        a["last"].isNull() | (micros(r["__t"]) - a["last"] >= wait), F.struct(micros(r["__t"]).alias("last"), F.concat(a["taken"], F.array(r)).alias("taken"))
-    ).otherwise(a))
-    return each.select(F.explode(taken["taken"]).alias("r")).select("r.row.*")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, 0
+        for b in batches:
+            taken = []
+            for burst, us in zip(zip(b.column(key).to_pylist(), b.column("__burst").to_pylist(), strict=True), b.column("__us").to_pylist(), strict=True):
+                taken.append(burst != of or us is None or us - last >= wait)
+                if taken[-1]:
+                    of, last = burst, us or 0
+            yield b.filter(pa.array(taken, pa.bool_())).select(names)
+
+    dealt = bursts.drop("__opens").repartition(key, "__burst").sortWithinPartitions(key, "__burst", "ts", order)
+    return dealt.mapInArrow(fold, events.schema)
 
 
 def health(reports: DataFrame, provider: str, ok: str, order: list[str]) -> DataFrame:
