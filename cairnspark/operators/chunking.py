@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.batches import in_frames
 from ..functions.text import lines, trim
 from ..sources.tables import extension
 
 WINDOW_LINES, MIN_BYTES, MAX_CHUNKS, CONTEXT_LINES = 15, 20, 50, 3
 #: Least bytes of a chunk that a syntax tree gives.
 MIN_NODE_BYTES = 30
+#: What a text that is no Python, or is nested too deeply for the parser, raises.
+UNPARSED = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 # Extensions by language.
 LANGUAGES = {
@@ -96,7 +99,7 @@ def pattern_blocks(text: str, starts: list) -> list[tuple[int, int, str]]:
     rows = [x.removesuffix("\r") for x in body.split("\n")] if text else []
     out: list[tuple[int, int, str]] = []
     held: list[str] = []
-    first = 0
+    first = opened = closed = 0
 
     def close(last: int) -> None:
         content = "\n".join(held).strip()
@@ -107,10 +110,10 @@ def pattern_blocks(text: str, starts: list) -> list[tuple[int, int, str]]:
         if any(p.search(row.strip()) for p in starts):
             if held:
                 close(i - 1)
-            held, first = [row], i
+            held, first, opened, closed = [row], i, row.count("{"), row.count("}")
         elif held:
             held.append(row)
-            opened, closed = sum(x.count("{") for x in held), sum(x.count("}") for x in held)
+            opened, closed = opened + row.count("{"), closed + row.count("}")
             if opened == closed > 0 and len(held) > 2:
                 close(i)
                 held = []
@@ -127,8 +130,8 @@ def chunk_by_pattern(files: DataFrame, patterns: tuple[str, ...], key: str = "do
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *x) for k, t in zip(b[key], b[text], strict=True) for x in pattern_blocks(t or "", compiled)]
-            yield pd.DataFrame(rows, columns=[key, "start_line", "end_line", "content"])
+            rows = ((k, *x) for k, t in zip(b[key], b[text], strict=True) for x in pattern_blocks(t or "", compiled))
+            yield from in_frames(rows, [key, "start_line", "end_line", "content"])
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, text).mapInPandas(run, f"{key} {kind}, start_line long, end_line long, content string")
@@ -184,17 +187,19 @@ def ast_nodes(files: DataFrame, key: str = "path", text: str = "content") -> Dat
     kind = files.schema[key].dataType.simpleString()
     names = [key, *[x.split()[0] for x in NODE_SCHEMA.split(", ")]]
 
+    def rows(b: pd.DataFrame) -> Iterator[tuple]:
+        for k, t in zip(b[key], b[text], strict=True):
+            try:
+                nodes = python_nodes(t or "")
+            except UNPARSED:
+                continue
+            yield from ((k, *x) for x in nodes)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, t in zip(b[key], b[text], strict=True):
-                try:
-                    rows += [(k, *x) for x in python_nodes(t or "")]
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-            out = pd.DataFrame(rows, columns=names)
-            out["parameters"] = out["parameters"].astype("Int64")
-            yield out
+            for out in in_frames(rows(b), names):
+                out["parameters"] = out["parameters"].astype("Int64")
+                yield out
 
     return files.select(key, text).mapInPandas(run, f"{key} {kind}, {NODE_SCHEMA}")
 
@@ -217,7 +222,7 @@ def structure_chunks(language: str, text: str, starts: dict[str, list]) -> list[
     if language == "python":
         try:
             nodes = python_nodes(text)
-        except (SyntaxError, ValueError, RecursionError):
+        except UNPARSED:
             return pattern_blocks(text, starts["python"])
         rows = [x.removesuffix("\r") for x in text.split("\n")]
         top = [(n[5] - 1, n[6] - 1) for n in nodes if n[3] in ("FunctionDef", "AsyncFunctionDef", "ClassDef") and n[2] <= 2]
@@ -237,8 +242,8 @@ def chunk_dispatch(files: DataFrame, key: str = "path", text: str = "content") -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *x) for k, t, n in zip(b[key], b[text], b["language"], strict=True) for x in structure_chunks(n, t or "", starts)]
-            yield pd.DataFrame(rows, columns=[key, "start_line", "end_line", "content"])
+            rows = ((k, *x) for k, t, n in zip(b[key], b[text], b["language"], strict=True) for x in structure_chunks(n, t or "", starts))
+            yield from in_frames(rows, [key, "start_line", "end_line", "content"])
 
     known = files.select(key, text, language_of(F.col(key)).alias("language"))
     out = known.where(F.col("language").isin(*BLOCK_STARTS)).mapInPandas(run, f"{key} {kind}, start_line long, end_line long, content string").withColumn("chunker", F.lit("structure"))

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import in_frames
+from .chunking import UNPARSED
+
 # Default thresholds and the levels of multi-level metrics.
 LIMITS = {"cyclomatic": 15, "cognitive": 10, "function_length": 50, "nesting": 4}
 MI_LEVELS = ((85, "excellent"), (65, "good"), (50, "moderate"))
@@ -117,14 +120,16 @@ def function_metrics(files: DataFrame, key: str = "path", text: str = "content")
     kind = files.schema[key].dataType.simpleString()
     names = [key, *[x.split()[0] for x in FUNCTION_METRICS.split(", ")]]
 
+    def rows(b: pd.DataFrame) -> Iterator[tuple]:
+        for k, t in zip(b[key], b[text], strict=True):
+            try:
+                found = function_metrics_of(t or "")
+            except (*UNPARSED, tokenize.TokenError):
+                continue
+            yield from ((k, *r) for r in found)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, t in zip(b[key], b[text], strict=True):
-                try:
-                    rows += [(k, *r) for r in function_metrics_of(t or "")]
-                except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+            yield from in_frames(rows(b), names)
 
     return files.select(key, text).mapInPandas(run, f"{key} {kind}, {FUNCTION_METRICS}")

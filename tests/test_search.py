@@ -125,6 +125,36 @@ def test_dispatch_uses_structure_then_lines(spark):
     assert sorted((r.path, r.chunker) for r in out) == [("a.py", "structure")] * 2 + [("b.py", "lines"), ("c.txt", "lines"), ("d.py", "structure")]
 
 
+def test_dispatch_survives_what_the_parser_gives_up_on(spark):
+    """Nesting too deep for the parser raises MemoryError, not SyntaxError; braces are counted once a line."""
+    deep = "def first_function(a):\n    return a\nx = " + "not " * 20_000 + "1\n"
+    with pytest.raises(MemoryError):
+        chunking.python_nodes(deep)
+    frame = spark.createDataFrame([("a.py", deep), ("b.py", "def second_function(b):\n    return b + 1\n")], "path string, content string")
+    assert sorted((r.path, r.chunker, r.start_line) for r in chunking.chunk_dispatch(frame).collect()) == [("a.py", "structure", 0), ("b.py", "structure", 0)]
+    assert {r.path for r in chunking.ast_nodes(frame).collect()} == {"b.py"}
+
+
+def test_python_output_comes_in_bounded_frames():
+    """A batch's tokens and blocks are never held whole."""
+    from cairnspark.functions import batches
+
+    made = 0
+
+    def rows():
+        nonlocal made
+        for i in range(3 * batches.ROWS):
+            made += 1
+            yield (i, "x")
+
+    sizes = []
+    for f in batches.in_frames(rows(), ["n", "t"]):
+        sizes.append(len(f))
+        assert made == sum(sizes)
+    assert sizes == [batches.ROWS] * 3
+    assert [len(f) for f in batches.in_frames(((i, "x" * batches.CHARS) for i in range(3)), ["n", "t"])] == [1, 1, 1]
+
+
 def test_block_patterns_by_language(spark):
     """A file of each language with two blocks after a line of its own."""
     two = lambda a, b, tail="{\n    some_statement();\n}": f"one line that opens nothing\n{a} {tail}\n{b} {tail}\n"
