@@ -448,6 +448,6 @@ def ast_query(spark, sf_dir: str) -> DataFrame:
 
 def _sources(spark, sf_dir: str) -> DataFrame:
     """Python source made of every part: no driver table holds code."""
-    p = tables.table(spark, sf_dir, "part")
+    p = tables.spread(tables.table(spark, sf_dir, "part"))
     body = F.format_string("def f%d(size: int) -> float:\n    if size > %d:\n        return %s\n    return size * 2\n", F.col("p_partkey"), F.col("p_size"), F.round("p_retailprice", 2).cast("string"))
     return p.select(F.concat(F.lit("parts/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
