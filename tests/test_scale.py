@@ -11,3 +11,15 @@ def test_generated_sources_are_dealt_to_all_cores(spark):
     """part is one file, so what is made from it was one task's work."""
     for made in (rust_queries.sources(spark, SMOKE), search_queries._sources(spark, SMOKE)):
         assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_matches_are_followed_once_a_case(spark, monkeypatch):
+    """Forty copies of one of two files: one case reaches Python, all links come out."""
+    from cairnspark.operators import near_clones as N
+
+    body = "fn first(a: u32) -> u32 {\n" + "".join(f"    let v{i} = call{i}(a, {i});\n" for i in range(12)) + "}\n"
+    frame = spark.createDataFrame([("a.rs", body + "fn tail() {}\n")] + [(f"b{i:02}.rs", "use x;\n" + body) for i in range(40)], "path string, content string")
+    cases = []
+    monkeypatch.setattr(N, "spread", lambda df: cases.append(df.count()) or df)
+    out = N.near_clones(N.source_tokens(frame), N.Limits(4, 30, 0.70)).collect()
+    assert cases[0] < 10 and len({r.file2 for r in out if r.file1 == "a.rs"}) == 40
