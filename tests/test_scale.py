@@ -22,4 +22,22 @@ def test_matches_are_followed_once_a_case(spark, monkeypatch):
     cases = []
     monkeypatch.setattr(N, "spread", lambda df: cases.append(df.count()) or df)
     out = N.near_clones(N.source_tokens(frame), N.Limits(4, 30, 0.70)).collect()
-    assert cases[0] < 10 and len({r.file2 for r in out if r.file1 == "a.rs"}) == 40
+    assert cases[0] < 10 and len({r.file2 for r in out if r.file1 == "a.rs"} - {"a.rs"}) == 40
+
+
+def test_windows_cross_the_network_once(spark):
+    """A document's windows stay in its row; keys and hashes are dealt out once and not counted before that."""
+    from cairnspark.operators import clones as C
+
+    words = lambda a, b: [f"w{i}" for i in range(a, b)]
+    rows = [(1, words(0, 60)), (3, ["a"] * 30), (4, words(900, 911)), (5, []), (6, None), (8, ["a", "b"] * 15), (9, words(40, 70)), (9, words(0, 20)), (None, words(5, 40)), (None, ["a"] * 13)]
+    t = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    old = C.windows(t, 12).groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("hash").alias("distinct_windows"), F.min("hash").alias("least"))
+    for some in (t, t.where("doc_id < 9")):
+        got = C.document_windows(some, 12)
+        assert sorted(map(str, got.collect())) == sorted(map(str, (old if some is t else old.where("doc_id < 9")).collect()))
+        assert some is t or "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    for df, most in ((C.fingerprint_stats(C.window_keys(t, 12), "k"), 2), (C.clone_pairs(C.windows(t, 12), 12), 1)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+        assert sum("Exchange hashpartitioning" in x and "Reused" not in x for x in plan.splitlines()) <= most, plan
