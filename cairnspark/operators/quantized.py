@@ -24,12 +24,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from ..sources.tables import spread
 from .vector_index import matrix
 
 CODES = "vec_id long, code binary, low double, step double, error double, norm double"
 METRICS = ("dot", "l2", "cosine")
 #: Half of the last digit of a score, and what sums in another order may change.
 SLACK = 1e-6
+#: Queries and vectors that meet at once: a task holds a few arrays of the one by the other.
+QUERY_BLOCK, AT_ONCE = 512, 1_024
 
 
 def encoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,18 +100,23 @@ def candidates(spark: SparkSession, queries: np.ndarray, ids: np.ndarray, path:
         every, names = shared.value
         # the kth best lower bound that the task has seen: nothing below it can be an answer
         best = np.full((len(every), k), -np.inf)
-        for b in batches:
-            code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, every.shape[1]), np.uint8)
-            low, step, error, norm = (b.column(c).to_numpy() for c in ("low", "step", "error", "norm"))
-            x = decoded(code, low, step)
-            q = np.zeros((len(every), x.shape[1]))
-            q[:, : min(q.shape[1], every.shape[1])] = every[:, : q.shape[1]]
-            lo, hi = _bounds(q, x, error, norm, metric)
-            best = -np.sort(-np.concatenate([best, lo], axis=1), axis=1)[:, :k]
-            row, at = np.nonzero(hi >= best[:, -1:] - 2 * SLACK)
-            yield pa.RecordBatch.from_arrays([pa.array(names[row]), b.column("vec_id").take(pa.array(at)), pa.array(lo[row, at]), pa.array(hi[row, at])], ["query_id", "vec_id", "low_bound", "high_bound"])
-
-    found = materialize(spark.read.schema(CODES).parquet(f"{path}/codes").mapInArrow(run, kind))
+        for whole in batches:
+            for at_once in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at_once, AT_ONCE)
+                code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                low, step, error, norm = (b.column(c).to_numpy() for c in ("low", "step", "error", "norm"))
+                x = decoded(code, low, step)
+                for first in range(0, len(every), QUERY_BLOCK):
+                    block = slice(first, first + QUERY_BLOCK)
+                    q = np.zeros((len(every[block]), x.shape[1]))
+                    q[:, : min(q.shape[1], every.shape[1])] = every[block, : q.shape[1]]
+                    lo, hi = _bounds(q, x, error, norm, metric)
+                    best[block] = -np.sort(-np.concatenate([best[block], lo], axis=1), axis=1)[:, :k]
+                    row, at = np.nonzero(hi >= best[block, -1:] - 2 * SLACK)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[block][row]), b.column("vec_id").take(pa.array(at)), pa.array(lo[row, at]), pa.array(hi[row, at])], ["query_id", "vec_id", "low_bound", "high_bound"])
+
+    # codes are small and each meets every query: they are dealt to all cores
+    found = materialize(spread(spark.read.schema(CODES).parquet(f"{path}/codes")).mapInArrow(run, kind))
     w = W.partitionBy("query_id").orderBy(F.desc("low_bound"))
     kth = found.withColumn("n", F.row_number().over(w)).where(F.col("n") == k).select("query_id", F.col("low_bound").alias("kth"))
     return found.join(F.broadcast(kth), "query_id", "left").where(f"kth is null or high_bound >= kth - {2 * SLACK}").select("query_id", "vec_id")

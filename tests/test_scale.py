@@ -41,3 +41,29 @@ def test_windows_cross_the_network_once(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
         assert sum("Exchange hashpartitioning" in x and "Reused" not in x for x in plan.splitlines()) <= most, plan
+
+
+def test_queries_meet_codes_in_blocks(spark, tmp_path):
+    """The arrays of a task are bounded, however many queries there are."""
+    import numpy as np
+
+    from cairnspark.operators import quantized as Q
+
+    sizes = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 8))
+    path = str(tmp_path / "codes")
+    Q.store(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), path)
+    bounds = Q._bounds
+
+    def told(q, codes, *rest):
+        if len(q) > Q.QUERY_BLOCK or len(codes) > Q.AT_ONCE:
+            sizes.add(1)
+        return bounds(q, codes, *rest)
+
+    Q._bounds = told
+    try:
+        got = Q.candidates(spark, x[:1300], np.arange(1300), path, 1, "l2")
+    finally:
+        Q._bounds = bounds
+    assert got.where("query_id = vec_id").count() == 1300 and sizes.value == 0
