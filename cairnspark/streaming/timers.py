@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,39 +28,59 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+#: A waiting row, and rows that are packed into one value of the state or taken at once.
+ROW, PACK = np.dtype([("at", np.int64), ("value", np.float64)]), 65_536
+
+
 class InOrder(StatefulProcessor):
-    """Takes a key's rows (ts in milliseconds, value) in order of time, once the watermark has passed them."""
+    """Takes a key's rows (ts in milliseconds, value) in order of time, once the watermark has passed them.
+
+    Waiting rows are packed, 16 bytes each; Python objects are made of ``PACK`` rows at a time.
+    """
 
     key: str
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, value double")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.now = handle.getValueState("now", "a long, b long, c double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(t.value // 1_000_000, float(v)) for b in rows for t, v in zip(b["ts"], b["value"], strict=True)]
-        yield self.advance(key, new, timerValues.getCurrentWatermarkInMs())
+        new = []
+        for b in rows:
+            new.append(np.empty(len(b), ROW))
+            new[-1]["at"] = b["ts"].to_numpy("datetime64[ns]").astype(np.int64) // 1_000_000
+            new[-1]["value"] = b["value"].to_numpy(float)
+        yield from self.advance(key, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.advance(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def advance(self, key: tuple, new: list[tuple[int, float]], upto: int) -> pd.DataFrame:
-        held = sorted([tuple(r) for r in self.waiting.get()] + new)
-        due, later = [r for r in held if r[0] < upto], [r for r in held if r[0] >= upto]
-        state = self.now.get() if self.now.exists() else (None, None, None)
-        state, out, wake = self.fold(state, due, upto)
+        yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def advance(self, key: tuple, new: list[np.ndarray], upto: int) -> Iterator[pd.DataFrame]:
+        held = np.concatenate([np.empty(0, ROW), *[np.frombuffer(bytes(r[0]), ROW) for r in self.waiting.get()], *new])
+        held = held[np.lexsort((held["value"], held["at"]))]
+        n = int(np.searchsorted(held["at"], upto))
+        state, wake = self.now.get() if self.now.exists() else None, None
+        for lo in range(0, max(n, 1), PACK):
+            hi = min(lo + PACK, n)
+            # what the next row's time tells, the last rows may be told already
+            until = int(held["at"][hi]) if hi < n else upto
+            state, out, wake = self.fold(state or (None, None, None), held[lo:hi].tolist(), until)
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=[self.key, *self.columns]).astype({c: "datetime64[ns]" for c in self.columns[:2]})
         if state is None:
             self.now.clear()
         else:
             self.now.update(state)
-        self.waiting.put(later) if later else self.waiting.clear()
+        later = held[n:]
+        if len(later):
+            self.waiting.put([(later[i : i + PACK].tobytes(),) for i in range(0, len(later), PACK)])
+        else:
+            self.waiting.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        times = [t for t in (wake, later[0][0] + 1 if later else None) if t is not None]
+        times = [t for t in (wake, int(later["at"][0]) + 1 if len(later) else None) if t is not None]
         if times:
             self.handle.registerTimer(max(min(times), upto + 1))
-        return pd.DataFrame([(key[0], *r) for r in out], columns=[self.key, *self.columns]).astype({c: "datetime64[ns]" for c in self.columns[:2]})
 
     def close(self) -> None:
         pass

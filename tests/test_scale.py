@@ -67,3 +67,60 @@ def test_queries_meet_codes_in_blocks(spark, tmp_path):
     finally:
         Q._bounds = bounds
     assert got.where("query_id = vec_id").count() == 1300 and sizes.value == 0
+
+
+def test_waiting_rows_are_taken_in_parts():
+    """The state keeps packed rows; few are taken at once, and the answer is that of all at once."""
+    import numpy as np
+    import pandas as pd
+
+    from cairnspark.streaming import timers as T
+
+    class Store:
+        def __init__(self):
+            self.kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept if self.kept is not None else iter([])
+
+        def put(self, x):
+            self.kept = x
+
+        update = put
+
+        def clear(self):
+            self.kept = None
+
+    class Handle:
+        getListState = getValueState = lambda self, *a: Store()
+        listTimers = lambda self: []
+        registerTimer = lambda self, t: None
+
+    class At:
+        def __init__(self, t):
+            self.getCurrentWatermarkInMs = lambda: t
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    rows = pd.DataFrame({"ts": pd.to_datetime(rng.permutation(n) * 1000, unit="ms"), "value": (rng.random(n) < 0.9) * 5.0})
+    found = []
+    for pack in (n, 100):
+        most = []
+
+        class Told(T.HoldAlerts):
+            def fold(self, state, due, upto):
+                most.append(len(due))
+                return super().fold(state, due, upto)
+
+        p, T.PACK = Told("key", 1.0, 6), pack
+        p.init(Handle())
+        out = [*p.handleInputRows(("a",), iter([rows]), At(0))]
+        assert len(p.waiting.kept) == -(-n // pack) and all(isinstance(r[0], bytes) for r in p.waiting.kept)
+        out += [*p.handleExpiredTimer(("a",), At(2_000_000), None), *p.handleExpiredTimer(("a",), At(10_000_000), None)]
+        found.append(pd.concat(out).astype(str).values.tolist())
+        assert max(most) <= pack
+    T.PACK = 65_536
+    assert found[0] == found[1] and len(found[0]) > 50
