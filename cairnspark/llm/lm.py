@@ -213,7 +213,8 @@ def short_contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
         row_of[c1 << 8 : (c1 + 1) << 8] = at
         row_of[(c1 << 8) + used] = at + 1 + np.arange(len(used))
         at += len(mixed)
-    return row_of, np.concatenate(rows).astype(np.float32)
+    # beyond 2**24 occurrences a float32 rounds what never failed to 1, and the other outcome's logarithm would not be finite
+    return row_of, np.minimum(np.concatenate(rows).astype(np.float32), np.nextafter(np.float32(1), np.float32(0)))
 
 
 # ---- whole words' contexts, over sorted keys
