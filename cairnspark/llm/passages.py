@@ -149,6 +149,15 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_cut, "doc_id long, at int, first int, words int, class long, " + ", ".join(f"{k} long" for k in KEYS))
 
 
+def meeting(classes: DataFrame) -> DataFrame:
+    """bucket, node of ``classes`` (class, band values; a row a class), where another class has the same value.
+
+    The values cross the network once and are sorted by themselves alone: a class has a value once, so rows are counted.
+    """
+    keys = classes.select(F.explode(F.array_distinct(F.array(*KEYS))).alias("bucket"), F.col("class").alias("node"))
+    return keys.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("n > 1").drop("n")
+
+
 def told_apart(hits: DataFrame) -> DataFrame:
     """``hits`` (..., class, k0, component, home), in which a class has one least band value.
 
@@ -167,29 +176,31 @@ def told_apart(hits: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, first_word, n_words, component_id (the doc_id that keeps it), removed."""
     u = materialize(cut_documents(docs))
-    classes = u.groupBy("class").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    keys = u.select("class", F.explode(F.array(*KEYS)).alias("bucket"))
-    # buckets in which different classes meet
-    met = keys.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-    members = materialize(keys.join(met, "bucket").select("bucket", F.col("class").alias("node")).distinct())
-    place = u.select(F.col("class").alias("node"), "doc_id", "first", "words").join(members.select("node").distinct(), "node")
-    place = place.groupBy("node").agg(F.min(F.struct("doc_id", "first", "words")).alias("p"))
-    place = place.groupBy("p.doc_id").agg(F.collect_list(F.struct(F.col("node").alias("class"), "p.first", "p.words")).alias("parts"))
+    # a row a class: the documents it spans, a place in the smallest and the band values; equal paragraphs have as many words
+    classes = u.groupBy("class").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("first", "doc_id").alias("first"), F.min("words").alias("words"), *[F.min(k).alias(k) for k in KEYS])
+    classes = materialize(classes)
+    members = materialize(meeting(classes))
+    # a class of one document that meets no other repeats nothing
+    nodes = members.select("node").distinct().withColumn("meets", F.lit(True))
+    known = classes.select("class", "lo", "hi", "first", "words").join(nodes, F.col("class") == F.col("node"), "left").where("meets or lo != hi")
+    known = materialize(known.drop("node"))
+    place = known.where("meets").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct("class", "first", "words")).alias("parts"))
     texts = pick(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
     sets = texts.join(place, "doc_id").select("parts", "text").mapInArrow(_sets, "node long, items array<long>")
     sets = materialize(sets.dropDuplicates(["node"]).withColumn("n", F.size("items").cast("long")))
     parts = link_buckets(members, sets, percent)
     # a class of one document that links with no other repeats nothing
-    named = classes.join(parts, F.col("class") == F.col("node"), "left").where("component is not null or lo != hi")
+    named = known.join(parts, F.col("class") == F.col("node"), "left").where("component is not null or lo != hi")
     named = materialize(named.select("class", "lo", "hi", F.coalesce("component", "class").alias("component")))
     home = named.groupBy("component").agg(F.min("lo").alias("home"), F.max("hi").alias("hi")).where("home != hi").select("component", "home")
     again = materialize(named.join(home, "component").select("class", "component", "home"))
-    hits = told_apart(materialize(u.select("doc_id", "at", "first", "words", "class", "k0").join(again, "class").distinct())).drop("k0")
-    # neighbouring repeats of one home form a run
+    # the repeated classes of a partition are hashed, some tens of bytes each, so that paragraphs are not sorted
+    hits = told_apart(materialize(u.select("doc_id", "at", "first", "words", "class", "k0").join(again.hint("shuffle_hash"), "class").distinct())).drop("k0")
+    # neighbouring repeats of one home form a run; runs are told within the window's partitions
     w = W.partitionBy("doc_id", "home").orderBy("at")
     p = F.struct("first", "words", "class")
     same = hits.where("doc_id = home").groupBy("class").agg(F.min(p).alias("same"))
-    runs = hits.withColumn("part", F.col("at") - F.row_number().over(w)).join(same, "class", "left")
+    runs = hits.join(same, "class", "left").withColumn("part", F.col("at") - F.row_number().over(w))
     # a run grows from its outermost paragraphs that are also in the home, else from those like the home's
     runs = runs.groupBy("doc_id", "home", "part").agg(
         F.min("first").alias("a"), F.max(F.col("first") + F.col("words")).alias("b"),
@@ -233,8 +244,10 @@ def advance(x: np.ndarray, y: np.ndarray, more_x: bool, more_y: bool) -> tuple[i
         i, j = i + e, j + e
         if e == k:
             return i, j, (more_x or i < len(x)) and (more_y or j < len(y))
+        # a few words as lists, which compare much faster than short arrays
+        u, v = x[i : i + EDIT + SHINGLE].tolist(), y[j : j + EDIT + SHINGLE].tolist()
         for p, q in SKIPS:
-            if min(len(x) - i - p, len(y) - j - q) >= SHINGLE and np.array_equal(x[i + p : i + p + SHINGLE], y[j + q : j + q + SHINGLE]):
+            if min(len(u) - p, len(v) - q) >= SHINGLE and u[p : p + SHINGLE] == v[q : q + SHINGLE]:
                 i, j = i + p, j + q
                 break
         else:

@@ -810,6 +810,39 @@ def test_recall_of_words(spark):
         assert sum(len(got[i] & x) for i, x in own.items()) >= 0.9 * total and sum(len(got[i] - x) for i, x in own.items()) <= 0.05 * total
 
 
+def test_classes_meet_in_one_exchange(spark):
+    """Classes that share a band value, as brute force has them; the values cross the network once and no other column is sorted."""
+    rng = random.Random(31)
+    rows = [(i, rng.randrange(60), rng.randrange(60, 140), rng.randrange(140, 900)) for i in range(150)] + [(200, 7, 7, 2000), (201, 3000, 3000, 3000)]
+    got = passages.meeting(spark.createDataFrame(rows, "class long, k0 long, k1 long, k2 long"))
+    held = collections.defaultdict(set)
+    for c, *keys in rows:
+        for k in keys:
+            held[k].add(c)
+    want = sorted((k, c) for k, own in held.items() if len(own) > 1 for c in own)
+    assert sorted((r.bucket, r.node) for r in got.collect()) == want and want
+    plan = got._jdf.queryExecution().sparkPlan().toString(), got._jdf.queryExecution().executedPlan().toString()
+    assert sum(x.count("Join") for x in plan) == 0 and plan[1].split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_paragraphs_cross_the_network_twice(spark, monkeypatch):
+    """Once for their classes and once for the repeated ones: no other table that is written reads the cut paragraphs and shuffles them."""
+    kept, real = [], passages.materialize
+
+    def seen(df, *names):
+        out = real(df, *names)
+        kept.append((df, out))
+        return out
+
+    monkeypatch.setattr(passages, "materialize", seen)
+    rng = random.Random(32)
+    both = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    docs = spark.createDataFrame([(i, prose(rng, 30) + " " + both) for i in range(6)], "doc_id long, text string")
+    assert passages.repeated_passages(docs).count() > 0
+    cut = kept[0][1].inputFiles()[0].rsplit("/", 1)[0]
+    assert sum(cut.removeprefix("file://") in str(df.inputFiles()) for df, _ in kept) == 2
+
+
 def test_classes_are_told_apart_by_128_bits(spark):
     """One class with three values: two documents with one value, one document with each of the others."""
     rows = [(1, 0, 5, 10, 0, 1), (2, 0, 5, 11, 0, 1), (3, 0, 5, 10, 0, 1), (4, 0, 5, 12, 0, 1), (1, 1, 6, 7, 9, 1), (2, 1, 6, 7, 9, 1)]
