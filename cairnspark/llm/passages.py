@@ -177,8 +177,8 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY, min_words: int
     """doc_id, first_word, n_words, component_id (the doc_id that keeps it), removed."""
     u = materialize(cut_documents(docs))
     # a row a class: the documents it spans, a place in the smallest and the band values; equal paragraphs have as many words
+    # not stored: it is nearly as large as the paragraphs, and its two uses need different columns
     classes = u.groupBy("class").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("first", "doc_id").alias("first"), F.min("words").alias("words"), *[F.min(k).alias(k) for k in KEYS])
-    classes = materialize(classes)
     members = materialize(meeting(classes))
     # a class of one document that meets no other repeats nothing
     nodes = members.select("node").distinct().withColumn("meets", F.lit(True))

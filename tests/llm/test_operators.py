@@ -825,8 +825,8 @@ def test_classes_meet_in_one_exchange(spark):
     assert sum(x.count("Join") for x in plan) == 0 and plan[1].split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
 
 
-def test_paragraphs_cross_the_network_twice(spark, monkeypatch):
-    """Once for their classes and once for the repeated ones: no other table that is written reads the cut paragraphs and shuffles them."""
+def test_paragraphs_are_read_three_times(spark, monkeypatch):
+    """For the classes that meet, for those that may repeat and for the hits: no other table that is written reads the cut paragraphs."""
     kept, real = [], passages.materialize
 
     def seen(df, *names):
@@ -840,7 +840,7 @@ def test_paragraphs_cross_the_network_twice(spark, monkeypatch):
     docs = spark.createDataFrame([(i, prose(rng, 30) + " " + both) for i in range(6)], "doc_id long, text string")
     assert passages.repeated_passages(docs).count() > 0
     cut = kept[0][1].inputFiles()[0].rsplit("/", 1)[0]
-    assert sum(cut.removeprefix("file://") in str(df.inputFiles()) for df, _ in kept) == 2
+    assert sum(cut.removeprefix("file://") in str(df.inputFiles()) for df, _ in kept) == 3
 
 
 def test_classes_are_told_apart_by_128_bits(spark):
