@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 DIM, SPAN, GROUP_WEIGHT, WAVE, WAVE_STEP = 384, 30, 0.8, 0.2, 0.1
 HASH_CHARS, HASH_MOD, HASH_DIVISOR, FILL_STEP, FILL_WEIGHT = 100, 1000, 10_000.0, 0.001, 0.1
@@ -32,30 +35,30 @@ def keyword_embedding(text: Column) -> Column:
     Each group of words found lifts its 30 dimensions along a sine; what is then
     still 0 gets a small value from the first characters' code points.
     """
-    # the lower-cased text is bound as a lambda's variable: it is made once, not once a word
-    found = lambda low: F.array(*[F.lit(GROUP_WEIGHT) * sum(F.contains(low, F.lit(w)).cast("double") for w in ws) / len(ws) for ws in KEYWORDS.values()])
-    hits = F.transform(F.array(F.lower(text)), found)[0]
     points = F.transform(F.split(F.substring(text, 1, HASH_CHARS), ""), F.ascii)
     total = F.aggregate(points, F.lit(0).cast("long"), lambda a, x: a + x)
     base = F.pmod(total, F.lit(HASH_MOD)) / F.lit(HASH_DIVISOR)
 
-    # hits and base are bound as a lambda's variables: computed once, not once a dimension
-    def vector(b: Column) -> Column:
-        def dim(i: Column) -> Column:
-            a = F.get(b["hits"], (i / SPAN).cast("int"))
-            lifted = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a + WAVE * F.sin(WAVE_STEP * F.pmod(i, F.lit(SPAN)))))
-            fill = b["base"] + FILL_WEIGHT * F.abs(F.sin(FILL_STEP * i))
-            return F.when((a > 0) & (lifted != 0), lifted).otherwise(fill)
-
-        return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), dim)
-
-    raw = F.transform(F.array(F.struct(hits.alias("hits"), base.alias("base"))), vector)[0]
-
-    def unit(v: Column) -> Column:
-        size = F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("n"))
-        return F.transform(F.array(size), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))[0]
-
-    return F.transform(F.array(raw), unit)[0]
+    return _expanded(F.lower(text), base)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))  # no text: a session need not be there yet
+def _expanded(low: pa.Array, base: pa.Array) -> pa.Array:
+    """The vectors of lower-cased texts and their base values: a batch's dimensions are made at once."""
+    at = np.arange(DIM)
+    wave, fill = WAVE * np.sin(WAVE_STEP * (at % SPAN)), FILL_WEIGHT * np.abs(np.sin(FILL_STEP * at))
+    b = base.to_numpy(zero_copy_only=False).astype(np.float64)
+    group = np.zeros((len(b), -(-DIM // SPAN)))
+    for i, t in enumerate(low.to_pylist()):
+        group[i, : len(KEYWORDS)] = [GROUP_WEIGHT * sum(w in t for w in ws) / len(ws) for ws in KEYWORDS.values()] if t else 0
+    a = group[:, at // SPAN]
+    lifted = np.clip(a + wave, 0.0, 1.0)
+    x = np.where((a > 0) & (lifted != 0), lifted, b[:, None] + fill)
+    # summed in the order of the dimensions
+    size = np.sqrt(np.cumsum(x * x, axis=1)[:, -1:])
+    x = np.divide(x, size, out=x, where=size > 0)
+    offsets = pa.array(np.arange(len(b) + 1, dtype=np.int32) * DIM)
+    return pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), mask=np.repeat(np.isnan(b), DIM)))
 
 
 def embed_with(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "content") -> DataFrame:

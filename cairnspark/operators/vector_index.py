@@ -102,11 +102,20 @@ def build(vectors: DataFrame, path: str, metric: str = "cosine01", cells: int |
     known = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0")
     shape = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("width")).first()
     cells = max(1, min(cells or round(shape.n**0.5), MOST_CELLS, shape.n))
-    # by hash of the id: the same rows at every run, ordered by tasks that keep ``sample`` rows each
-    some = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    filled = F.transform(F.sequence(F.lit(0), F.lit(shape.width - 1)), lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0)))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    rows = some.select(filled.alias("x")).withColumn("x", F.when(norm > 0, F.transform("x", lambda v: v / norm)).otherwise(F.col("x")) if metric == "cosine01" else F.col("x"))
+    # by hash of the id: the same rows at every run; only hashes are ordered, vectors stay where they are
+    h = F.xxhash64("vec_id")
+    last = known.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0] if shape.n > sample else None
+    some = known if last is None else known.where(h <= last)
+    place = Cells(np.zeros((1, shape.width)), metric == "cosine01")
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = place.placed(b.column("embedding"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([lists], ["x"])
+
+    # by arrays: as a column, a norm inside a lambda is made once a dimension
+    rows = some.select("embedding").mapInArrow(filled, "x array<double>")
     centres = [np.zeros(shape.width)]
     if cells > 1:
         fitted = KMeans(k=cells, seed=seed, maxIter=10, initMode="random", featuresCol="f").fit(materialize(rows).select(array_to_vector("x").alias("f")))

@@ -345,7 +345,8 @@ def hybrid_search(spark, sf_dir: str) -> DataFrame:
 def hybrid_search_indexed(spark, sf_dir: str) -> DataFrame:
     """The same answer from stored indexes: what is searched for is one row of each, the corpus is not read again."""
     d, path = tables.table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark)
-    vector_index.build(d.select(F.col("doc_id").alias("vec_id"), embedding.keyword_embedding(F.col("text")).alias("embedding")), path)
+    # made once: the index reads its vectors several times
+    vector_index.build(materialize(d.select(F.col("doc_id").alias("vec_id"), embedding.keyword_embedding(F.col("text")).alias("embedding"))), path)
     words = _lexical_index(spark, sf_dir)
     asked = vector_index.stored(spark, path).where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
     near = vector_index.search(asked, path, 50).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("semantic"))
